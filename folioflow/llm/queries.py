@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import lookalike, scan_repair
+from folioflow.llm import lookalike, repeats, scan_repair, sentences, splitting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scan_repair.found,
     "p1_repaired": scan_repair.repaired,
+    "p2_found": sentences.found,
+    "p2_sentences": sentences.sentences,
+    "p3_found": repeats.found,
+    "p3_cleaned": repeats.cleaned,
+    "p4_found": splitting.found,
+    "p4_pieces": splitting.pieces,
     "p5_found": lookalike.found,
     "p5_normalised": lookalike.normalised,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p3_found": repeats.FOUND_SQL,
+    "p4_found": splitting.FOUND_SQL,
+}
