@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import map_columns, spoken_blocks
+from folioflow.sources.tables import checkpointed
 
 # Code points without an image of their own.
 IGNORABLE_CHARS = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb\U000e0000-\U000e0fff"
@@ -172,7 +173,8 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
         forms = [visual_form(t) for t in c["text"]]
         return {"book": c["book"], "block_no": c["block_no"], "form": [_key(f) if f else None for f in forms], "stored": [_key(t) for t in c["text"]]}
 
-    rows = map_columns(spoken_blocks(spark, sf_dir), keys, "book string, block_no int, form binary, stored binary").where(F.col("form").isNotNull())
+    # read twice below, so the digests are written once
+    rows = checkpointed(map_columns(spoken_blocks(spark, sf_dir), keys, "book string, block_no int, form binary, stored binary").where(F.col("form").isNotNull()))
     mixed = rows.groupBy("form").agg(F.min("stored").alias("a"), F.max("stored").alias("b")).where(F.col("a") != F.col("b")).select("form")
     group = rows.join(mixed, "form", "left_semi").dropDuplicates(["book", "block_no"])
     a = group.select("form", F.col("book").alias("book_a"), F.col("block_no").alias("block_a"), F.col("stored").alias("sa"))
