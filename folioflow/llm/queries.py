@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import lookalike, repeats, scan_repair, sentences, splitting
+from folioflow.llm import lookalike, mixing, packing, quality, repeats, scan_repair, sentences, splitting, subjects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": scan_repair.found,
@@ -19,6 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": splitting.pieces,
     "p5_found": lookalike.found,
     "p5_normalised": lookalike.normalised,
+    "p6_found": quality.found,
+    "p6_pages": quality.pages,
+    "p7_packed": packing.packed,
+    "p7_fill": packing.fill_report,
+    "p8_mixed": mixing.mixed,
+    "p8_shares": mixing.shares,
+    "p9_found": subjects.found,
+    "p9_shares": subjects.subject_shares,
 }
 
 ORACLE_SQL: dict[str, str] = {
