@@ -59,13 +59,21 @@ def clauses(x: str) -> str:
     return f"string_split({sub(x, rf'([,;]){WS}+', chr(92) + '1' + chr(1))}, chr(1))"
 
 
-def line_class(x: str) -> str:
-    s, m = strip(x), strip_markdown(x)
+def number_list(x: str) -> str:
+    s = strip(x)
     rest = sub(strip(sub(s, "^[-•]+", "", "")), r"^[A-Za-z][A-Za-z0-9 ]{0,15}:\s*", "", "")
     words = f"list_filter(string_split_regex({rest}, {q(WS + '+')}), lambda w: w <> '')"
     numbers = f"len(list_filter({words}, lambda w: {match(sub('w', '^[.,;]+|[.,;]+$'), '^(?:[0-9]+|dead)$')}))"
-    bullets = f"({match(s, '^[-•]')} AND len({words}) > 0 AND {numbers} >= greatest(1, len({words}) // 2))"
-    heading = f"(length({m}) BETWEEN 2 AND 60 AND NOT {match(m, '[.:,;]$')} AND {match(m, chr(92) + 'p{L}')} AND NOT {match(sub(m, chr(92) + 'p{Lu}'), chr(92) + 'p{L}')})"
+    return f"({match(s, '^[-•]')} AND len({words}) > 0 AND {numbers} >= greatest(1, len({words}) // 2))"
+
+
+def line_is_heading(x: str) -> str:
+    m = strip_markdown(x)
+    return f"(length({m}) BETWEEN 2 AND 60 AND NOT {match(m, '[.:,;]$')} AND {match(m, chr(92) + 'p{L}')} AND NOT {match(sub(m, chr(92) + 'p{Lu}'), chr(92) + 'p{L}')})"
+
+
+def line_class(x: str) -> str:
+    s, m = strip(x), strip_markdown(x)
     java = lambda p: p.replace(r"\A", "^").replace(r"\z", "$")
     return f"""CASE WHEN {s} = '' THEN 'blank'
  WHEN {match(s, '^[0-9]{1,4}$')} THEN 'page_number'
@@ -76,8 +84,8 @@ def line_class(x: str) -> str:
  WHEN starts_with({s}, '|') AND ends_with({s}, '|') AND length({s}) > 1 THEN 'table_row'
  WHEN {match(m, java(T.DICE_HEADER))} THEN 'dice_header'
  WHEN {match(m, java(T.DICE_ROW))} THEN 'dice_row'
- WHEN {bullets} THEN 'number_list'
- WHEN {heading} THEN 'heading'
+ WHEN {number_list(x)} THEN 'number_list'
+ WHEN {line_is_heading(x)} THEN 'heading'
  WHEN {match(m, java(T.DIALOGUE))} THEN 'dialogue'
  ELSE 'body' END"""
 

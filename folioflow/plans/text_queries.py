@@ -128,7 +128,8 @@ def str16(spark, d):
 
 @query("prd_line_class", f"SELECT book, block_no, line_no, {S.line_class('line')} AS kind FROM {LINES_SQL}")
 def prd_line_class(spark, d):
-    return block_lines(spark, d).select("book", "block_no", "line_no", T.line_class(F.col("line")).alias("kind"))
+    rows = block_lines(spark, d).withColumn("plain", T.strip_markdown(F.col("line")))
+    return rows.select("book", "block_no", "line_no", T.line_class(F.col("line"), F.col("plain")).alias("kind"))
 
 
 _H = [S.match(S.strip("line"), S.rx(T.HEADING_LINE)), S.match("line", S.rx(T.CHAPTER_PREFIX)), S.match(S.collapse("line"), S.rx(T.START_HEADING))]
