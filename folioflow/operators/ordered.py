@@ -44,3 +44,27 @@ def previous_row(df: DataFrame, key: str, order: str, columns: list[str], prefix
     joined = rows.withColumn("_lag", F.lag("_row").over(inner)).join(carried, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")))
     before = F.coalesce("_lag", "_carry")
     return joined.select(*df.columns, *(before[c].alias(prefix + c) for c in columns))
+
+
+def next_row(df: DataFrame, key: str, order: str, columns: list[str], prefix: str = "next_", width: int = WIDTH) -> DataFrame:
+    """``df`` with the ``columns`` of the row after it in its key, null for the last."""
+    return previous_row(df.withColumn("_neg", -F.col(order)), key, "_neg", columns, prefix, width).drop("_neg")
+
+
+def asof_forward(left: DataFrame, right: DataFrame, key: str, order: str, take: str, width: int = WIDTH) -> DataFrame:
+    """``left`` with ``take`` of the first row of ``right`` at or after it in its key; null where there is none.
+
+    Of rows of ``right`` with equal order the least ``take`` counts.  Both are merged by key and
+    order and scanned block by block; only one row per block is carried back, so a long key is spread.
+    """
+    fields = [F.struct(*[F.col(c) for c in left.columns]).alias("_left")]
+    a = left.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.lit(0).alias("_side"), *fields, F.lit(None).cast(right.schema[take].dataType).alias("_take"))
+    b = right.groupBy(F.col(key).alias("_k"), F.col(order).alias("_o")).agg(F.min(take).alias("_take"))
+    b = b.select("_k", "_o", F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), "_take")
+    rows = a.unionByName(b).withColumn("_b", F.floor(F.col("_o") / width).cast("bigint"))
+    inner = Window.partitionBy("_k", "_b").orderBy("_o", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    firsts = rows.groupBy("_k", "_b").agg(F.min_by("_take", F.when(F.col("_side") == 1, F.col("_o"))).alias("_first"))
+    later = Window.partitionBy("_k").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    carry = firsts.select("_k", "_b", F.first("_first", ignorenulls=True).over(later).alias("_carry"))
+    seen = rows.withColumn("_in", F.first("_take", ignorenulls=True).over(inner)).where("_side = 0")
+    return seen.join(carry, ["_k", "_b"], "left").select("_left.*", F.coalesce("_in", "_carry").alias(take))
