@@ -68,3 +68,24 @@ def asof_forward(left: DataFrame, right: DataFrame, key: str, order: str, take:
     carry = firsts.select("_k", "_b", F.first("_first", ignorenulls=True).over(later).alias("_carry"))
     seen = rows.withColumn("_in", F.first("_take", ignorenulls=True).over(inner)).where("_side = 0")
     return seen.join(carry, ["_k", "_b"], "left").select("_left.*", F.coalesce("_in", "_carry").alias(take))
+
+
+def size_rank(df: DataFrame, key: str, size: str, order: str, name: str, width: int = WIDTH) -> DataFrame:
+    """``df`` with ``name``: the place, from 0, of each row of a key by (size, order) (ORD01).
+
+    Smaller sizes are counted over the histogram of sizes, equal ones by blocks of orders, so no
+    task sorts a whole key.  Null sizes come last.
+    """
+    rows = _blocked(df, order, width).withColumn("_none", F.col(size).isNull().cast("int"))
+    same = ["_none", size]
+    histogram = rows.groupBy(key, *same).agg(F.count("*").alias("_c"))
+    below = F.sum("_c").over(Window.partitionBy(key).orderBy(*same).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = rows.groupBy(key, *same, "_block").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(key, *same).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    a = histogram.select(F.col(key).alias("_k"), F.col("_none").alias("_kn"), F.col(size).alias("_ks"), F.coalesce(below, F.lit(0)).alias("_below"))
+    b = blocks.select(F.col(key).alias("_k"), F.col("_none").alias("_kn"), F.col(size).alias("_ks"), F.col("_block").alias("_kb"), F.coalesce(before, F.lit(0)).alias("_before"))
+    base = a.join(b, (a["_k"] == b["_k"]) & (a["_kn"] == b["_kn"]) & a["_ks"].eqNullSafe(b["_ks"])).select(b["_k"], b["_kn"], b["_ks"], "_kb", (F.col("_below") + F.col("_before")).alias("_base"))
+    inner = F.row_number().over(Window.partitionBy(key, *same, "_block").orderBy(order)) - 1
+    ranked = rows.withColumn("_in", inner)
+    on = (F.col(key) == F.col("_k")) & (F.col("_none") == F.col("_kn")) & F.col(size).eqNullSafe(F.col("_ks")) & (F.col("_block") == F.col("_kb"))
+    return ranked.join(base, on).select(*df.columns, (F.col("_base") + F.col("_in")).alias(name))
