@@ -65,11 +65,17 @@ def schedule(blocks: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mix, source, target_share, max_repeats), one row per mix and source; a null share is 0, null repeats are 1."""
+    rows = table(spark, sf_dir, "mix_targets").where("mix is not null and source is not null").dropDuplicates(["mix", "source"])
+    return rows.select("mix", "source", F.greatest(F.lit(0.0), F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
+
+
 def _plan(spark: SparkSession, sf_dir: str, total: int | None):
     """(sizes, targets with quotas, blocks with slots); the last two are bounded by mix_targets and SLOTS."""
-    targets = [(r["mix"], r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").distinct().collect()]
+    targets = [tuple(r) for r in _targets(spark, sf_dir).collect()]
     sizes = checkpointed(document_sizes(spark, sf_dir).where(F.col("source").isNotNull()))
-    names = spark.createDataFrame(sorted({(t[1],) for t in targets}), "source string")
+    names = _targets(spark, sf_dir).select("source").distinct()
     sums = sizes.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
     has = {r["source"]: r["tokens"] for r in sums.collect()}
     rows, slots = [], []
@@ -119,8 +125,7 @@ def shares(spark: SparkSession, sf_dir: str, total: int | None = None) -> DataFr
     A source that gives nothing has tokens 0; short marks those whose text didn't suffice.
     """
     rows = mixed(spark, sf_dir, total).groupBy("mix", "source").agg(F.sum("tokens").alias("tokens"), F.max("copy").alias("most_copies"))
-    targets = table(spark, sf_dir, "mix_targets").distinct()
-    joined = targets.join(rows, ["mix", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    joined = _targets(spark, sf_dir).join(rows, ["mix", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     all_of = F.sum("tokens").over(Window.partitionBy("mix"))
     share = F.coalesce(F.col("tokens") / F.nullif(all_of, F.lit(0)), F.lit(0.0))
-    return joined.select("mix", "source", "target_share", "tokens", F.round(share, 6).alias("share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (share < F.col("target_share") * 0.98).alias("short"))
+    return joined.select("mix", "source", "target_share", F.col("tokens"), F.round(share, 6).alias("share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (share < F.col("target_share") * 0.98).alias("short"))

@@ -120,6 +120,11 @@ def pack(sizes: list[int], capacity: int, windows: int = WINDOWS) -> list[list[t
     return out
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container, capacity_tokens): kinds of container with a capacity."""
+    return table(spark, sf_dir, "containers").where("container is not null and capacity_tokens > 0").dropDuplicates(["container"]).select("container", "capacity_tokens")
+
+
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(container, container_no, doc_id, piece_no, first_token, end_token): every document, for each capacity.
 
@@ -128,7 +133,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     sizes = checkpointed(document_sizes(spark, sf_dir).select("doc_id", "tokens"))
     shards = max(1, -(-sizes.count() // SHARD))
-    kinds = table(spark, sf_dir, "containers").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    kinds = _kinds(spark, sf_dir).select("container", F.col("capacity_tokens").cast("bigint").alias("capacity"))
     # containers holds one row per kind of container, the same at every scale
     work = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).join(F.broadcast(kinds))
     schema = pa.schema([("container", pa.string()), ("container_no", pa.int64()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("first_token", pa.int64()), ("end_token", pa.int64())])
@@ -149,7 +154,7 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(container, capacity_tokens, containers, tokens, fill, least_containers) of each kind."""
     rows = packed(spark, sf_dir).groupBy("container").agg(F.count_distinct("container_no").alias("containers"), F.sum(F.col("end_token") - F.col("first_token")).alias("tokens"))
-    kinds = table(spark, sf_dir, "containers")
+    kinds = _kinds(spark, sf_dir)
     return kinds.join(rows, "container").select(
         "container",
         "capacity_tokens",

@@ -59,6 +59,8 @@ _NEXT_WORDS = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
 _IGNORE = re.compile(f"[{IGNORABLE_CHARS}]")
 _DOTTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\.[  ]?)+[^\W\d_]$")
 _SURE = 6.0
+#: Signs after a mark that are looked at, and doubtful marks that one sentence may hold.
+AHEAD, MAX_DOUBTFUL = 1000, 32
 
 
 def _evidence(line: str, start: int, end: int, cjk: bool) -> tuple[float, bool]:
@@ -74,7 +76,7 @@ def _evidence(line: str, start: int, end: int, cjk: bool) -> tuple[float, bool]:
     if ellipsis and (cjk or wide):
         return -_SURE, True
     quote = any(c in "”»›’'\"」』“" for c in closed)
-    rest = line[end:]
+    rest = line[end : end + AHEAD]
     if cjk:
         if stop[0] == ".":
             if not after.isspace() or line[max(0, start - 1)].isdigit() and rest.lstrip()[:1].isdigit():
@@ -217,7 +219,7 @@ def _best(line: str, base: int, end: int, nodes: list[tuple[int, float, bool]])
     best: list[tuple[float, int]] = [(0.0, -1)]
     for j in range(1, len(at)):
         top, back = -1e18, 0
-        for i in range(j - 1, -1, -1):
+        for i in range(j - 1, max(-1, j - 1 - MAX_DOUBTFUL), -1):
             start = at[i][0]
             while start < at[j][0] and line[start].isspace():
                 start += 1

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,48 +60,59 @@ class Stitch:
             raise ValueError("the limit must be positive and the overlap below it")
         self.limit, self.overlap = limit, overlap
         self.start = self.cut = self.known = 0
-        self.marks: list[tuple[int, int]] = []
-        self.joined: set[int] = set()
-
-    def add(self, marks: list[tuple[int, int]], known: int, joined: set[int], last: bool) -> Iterator[tuple[int, int]]:
-        """The pieces that are settled when everything up to ``known`` has been seen."""
-        self.marks += marks
-        self.joined |= joined
+        self.places: list[int] = []
+        self.strengths: list[int] = []
+        self.joined: list[int] = []
+
+    def add(self, marks: list[tuple[int, int]], known: int, joined: list[int], last: bool) -> Iterator[tuple[int, int]]:
+        """The pieces that are settled when everything up to ``known`` has been seen; ``joined`` ascends."""
+        k = bisect_right(self.places, self.start)
+        self.places, self.strengths = self.places[k:], self.strengths[k:]
+        self.places += [p for p, _ in marks]
+        self.strengths += [s for _, s in marks]
+        self.joined = self.joined[bisect_right(self.joined, self.start) :] + joined
         self.known = known
         while self.known - self.start > self.limit:
-            yield self.start, self._next()
+            start = self.start
+            yield start, self._next()
         if last and (self.known > self.cut or not self.cut):
             yield self.start, self.known
 
+    def _is_joined(self, place: int) -> bool:
+        k = bisect_left(self.joined, place)
+        return k < len(self.joined) and self.joined[k] == place
+
+    def _window(self, after: int, upto: int) -> list[tuple[int, int]]:
+        """(strength, place) of the marks with after < place <= upto."""
+        i, j = bisect_right(self.places, after), bisect_right(self.places, upto)
+        return list(zip(self.strengths[i:j], self.places[i:j]))
+
     def _next(self) -> int:
         a, most = self.start, self.start + self.limit
-        least = max(self.cut, a + self.limit // 2)
-        inside = [(s, p) for p, s in self.marks if self.cut < p <= most]
-        far = [x for x in inside if x[1] > least]
+        inside = self._window(self.cut, most)
+        far = [x for x in inside if x[1] > max(self.cut, a + self.limit // 2)]
         if far:
             strong = max(s for s, _ in far)
             end = max(p for s, p in far if s == strong)
         elif inside:
-            end = max(p for _, p in inside)
+            end = inside[-1][1]
         else:
             end = most
-            while end > self.cut + 1 and end in self.joined:
+            while end > self.cut + 1 and self._is_joined(end):
                 end -= 1
         # the next piece begins at the first good place that repeats at most ``overlap``
-        from_ = max(end - self.overlap, a + 1)
-        starts = [(s, p) for p, s in self.marks if from_ <= p < end]
+        least = max(end - self.overlap, a + 1)
+        starts = self._window(least - 1, end - 1)
         if starts:
             strong = max(s for s, _ in starts)
             begin = min(p for s, p in starts if s == strong)
-        elif not any(a < p <= end for p, _ in self.marks):  # a text without blanks
-            begin = from_
-            while begin < end and begin in self.joined:
+        elif not self._window(a, end):  # a text without blanks
+            begin = least
+            while begin < end and self._is_joined(begin):
                 begin += 1
         else:
             begin = end
         self.start, self.cut = begin, end
-        self.marks = [x for x in self.marks if x[0] > begin]
-        self.joined = {x for x in self.joined if x > begin}
         return end
 
 
@@ -108,7 +120,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of one text, as one range."""
     if not text:
         return []
-    return list(Stitch(limit, overlap).add(boundaries(text, 0, len(text), 0), len(text), {m.start() for m in _BOUND.finditer(text)}, True))
+    return list(Stitch(limit, overlap).add(boundaries(text, 0, len(text), 0), len(text), [m.start() for m in _BOUND.finditer(text)], True))
 
 
 def split_column(items: DataFrame, keys: list[str], text: str, limit: str, overlap: str) -> DataFrame:
@@ -154,7 +166,7 @@ def _split_ranges(long: DataFrame, keys: list[str], key_schema: str) -> DataFram
                 size = min(RANGE, n - at)
                 marks = boundaries(p, at, size, lead)
                 known.append(at + size), places.append([x for x, _ in marks]), strengths.append([s for _, s in marks])
-                joined.append([at + m.start() - lead for m in _BOUND.finditer(p) if 0 <= m.start() - lead <= size])
+                joined.append([at + m.start() - lead for m in _BOUND.finditer(p) if 0 < m.start() - lead <= size])
             fixed = batch.select([*keys, "_limit", "_overlap", "_n", "_r"]).columns
             yield pa.RecordBatch.from_arrays(
                 [*fixed, pa.array(known, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(strengths, pa.list_(pa.int32())), pa.array(joined, pa.list_(pa.int64()))],
@@ -170,7 +182,7 @@ def _split_ranges(long: DataFrame, keys: list[str], key_schema: str) -> DataFram
                 key = tuple(row[k] for k in keys)
                 if key != now:
                     now, fold, no = key, Stitch(row["_limit"], row["_overlap"]), 0
-                pieces = list(fold.add(list(zip(row["_places"], row["_strengths"])), row["_known"], set(row["_joined"]), row["_known"] == row["_n"]))
+                pieces = list(fold.add(list(zip(row["_places"], row["_strengths"])), row["_known"], row["_joined"], row["_known"] == row["_n"]))
                 if pieces:
                     yield pa.RecordBatch.from_pylist([dict(zip(keys, key)) | {"piece_no": no + k, "start": s, "end": e} for k, (s, e) in enumerate(pieces, 1)], schema=out_schema)
                     no += len(pieces)
@@ -240,7 +252,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int,
                 byte_of |= {base + c: p for c, p in zip(row["letters"], row["places"])}
                 base += row["chars"]
                 byte_of[base] = row["known"]
-                pieces = list(fold.add(marks, base, set(), row["last"]))
+                pieces = list(fold.add(marks, base, [], row["last"]))
                 rows = []
                 for a, b in pieces:
                     no += 1
@@ -274,7 +286,9 @@ def _byte(byte_of: dict[int, int], place: int, path: str) -> int:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = table(spark, sf_dir, "split_limits")
+    # a null overlap is none, and an overlap is always below the limit
+    limits = table(spark, sf_dir, "split_limits").where("item_table is not null and max_chars > 0").dropDuplicates(["item_table"])
+    limits = limits.select("item_table", "max_chars", F.greatest(F.lit(0), F.least(F.coalesce("overlap_chars", F.lit(0)), F.col("max_chars") - 1)).alias("overlap_chars"))
     blocks = table(spark, sf_dir, "blocks").select(F.lit("blocks").alias("item_table"), "book", F.col("block_no").alias("item_no"), "text")
     plan = table(spark, sf_dir, "chunk_plan").select(F.lit("chunk_plan").alias("item_table"), "book", F.col("chunk_idx").alias("item_no"), "text")
     # split_limits has one row per table: its size is fixed
