@@ -60,7 +60,8 @@ def batches(items: DataFrame, key: str, order: str, size: str, max_batch: int =
     kind = "array<struct<s:bigint,at:bigint,b:bigint,rest:bigint,room:bigint>>"
     start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("at"))
     sizes = F.array_sort(F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_c").alias("c"))))
-    starts = histogram.groupBy(key).agg(F.aggregate(sizes, start, fold)["out"].alias("_e")).select(F.col(key).alias("_k"), F.inline("_e"))
+    starts = histogram.groupBy(key).agg(F.aggregate(sizes, start, fold)["out"].alias("_e"))
+    starts = starts.select(F.col(key).alias("_k"), F.explode("_e").alias("_e")).select("_k", *(F.col(f"_e.{c}").alias(f"_e_{c}") for c in ("s", "at", "b", "rest", "room")))
     # the rank among equal items, in two steps
     rows = rows.withColumn("_blk", F.floor(F.col(order) / 4096).cast("bigint"))
     counts = rows.groupBy(key, "_s", "_blk").agg(F.count("*").alias("_n"))
@@ -68,10 +69,11 @@ def batches(items: DataFrame, key: str, order: str, size: str, max_batch: int =
     base = counts.select(key, "_s", "_blk", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
     rank = F.row_number().over(Window.partitionBy(key, "_s", "_blk").orderBy(order)) - 1
     ranked = rows.withColumn("_rank", rank).join(base, [key, "_s", "_blk"]).withColumn("_i", F.col("_base") + F.col("_rank"))
-    placed = ranked.join(starts, (F.col(key) == F.col("_k")) & (F.col("_s") == F.col("s")))
-    batch = F.when(F.col("_i") < F.col("rest"), F.col("b")).otherwise(F.col("b") + 1 + F.floor((F.col("_i") - F.col("rest")) / F.col("room")))
+    placed = ranked.join(starts, (F.col(key) == F.col("_k")) & (F.col("_s") == F.col("_e_s")))
+    over_ = F.col("_i") - F.col("_e_rest")
+    batch = F.when(over_ < 0, F.col("_e_b")).otherwise(F.col("_e_b") + 1 + F.floor(over_ / F.col("_e_room")))
     # numbers from 0: the first item of a key opens batch 0
-    return placed.select(*items.columns, (F.col("at") + F.col("_i")).alias("place"), batch.cast("bigint").alias("batch_no"))
+    return placed.select(*items.columns, (F.col("_e_at") + F.col("_i")).alias("place"), batch.cast("bigint").alias("batch_no"))
 
 
 def first_sound(attempts: DataFrame, keys: list[str], attempt: str, size: Column, cap: int = CAP) -> DataFrame:
