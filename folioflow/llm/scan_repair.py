@@ -140,11 +140,9 @@ class Trie:
             node, prefix, states = stack.pop()
             if "" in node:
                 for i, m, f, due in states:
-                    rest = n - i
-                    if not due and f + rest <= free and m + f:
+                    rest = n - i  # letters too many at the end
+                    if not due and f + rest <= free:
                         found[prefix] = min(found.get(prefix, (9, 0)), (m + f + rest, node[""]))
-                    elif not due and not rest and not m + f:
-                        found[prefix] = (0, node[""])
             step: dict[str, set] = defaultdict(set)
             any_letter = set()
             for i, m, f, due in states:
@@ -234,7 +232,7 @@ class Scan:
         for form in dict.fromkeys([core, bare.lstrip("!")]):  # a final ! may be a letter
             if form != core and bare.endswith("!") and not form[-1:] == "!":
                 continue
-            if self.trie.candidates(form, 2 if len(form) > 4 else 1):
+            if self.trie.candidates(form, 2 if len(form) > 4 or not form.isalpha() else 1):
                 return 1, form
         if any(ch.isdigit() for ch in core):
             return 0, core

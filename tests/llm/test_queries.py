@@ -1,0 +1,134 @@
+"""The pN_ queries on tables of odd rows: nulls in every column, clashing extra columns, empty tables, repeated rows."""
+
+import datetime
+import os
+
+import pytest
+
+from folioflow.llm import queries
+
+DATA = os.environ.get("FOLIOFLOW_TESTDATA", "/root/testdata/sf0.001")
+AT = datetime.datetime(2031, 1, 1)
+NOTICE = "Printed for the members of the Harbour Library, issue 12"
+
+TABLES = {
+    "blocks": "book string, block_no int, type string, text string, source_page int, source_page_end int",
+    "jobs": "id string, title string, pdf_path string, folder string, path string, style string, lang string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint, title string",
+    "chunk_plan": "book string, chunk_idx int, text string, before_ms int, after_ms int, heading string, source_page int, source_page_end int",
+    "subjects": "subject string, gloss string",
+    "subject_examples": "example_id int, subject string, lang string, text string",
+    "split_limits": "item_table string, max_chars int, overlap_chars int",
+    "containers": "container string, capacity_tokens int",
+    "mix_targets": "mix string, source string, target_share double, max_repeats int",
+}
+#: Names that the operators use inside.
+CLASHING = ["word", "n", "line", "chunk", "chunks", "form", "stored", "f", "ends", "shard", "tokens", "s", "position", "_t", "_n", "gone", "defect", "share", "capacity", "overlap"]
+
+
+def rows():
+    books = [f"b{i}" for i in range(6)]
+    blocks = [(b, 1, "body", f"{NOTICE.replace('12', str(i))}\nA line of book {chr(97 + i) * 3} alone", 1, None) for i, b in enumerate(books)]
+    blocks += [("b0", 2, "body", "The old mill was calm. The southern road was long.", 1, 2), ("b1", 2, "body", "The old mill was cаlm. The southern road was long.", 2, None)]
+    blocks += [("b0", 3, "body", "The south-\nern mill\n— 3 —\nwas old and the old mi11 was calm", 2, None)] * 2
+    blocks += [("b0", 4, None, None, None, None), (None, None, "body", "x", None, None), ("b0", 5, "body", "", 3, None), ("b0", 6, "dialogue", " \n ", 3, None), ("b9", 7, "body", "No job at all.", 1, 1)]
+    blocks += [("b2", 8, "body", "A very long text. " * 20_000, 4, None), ("b2", 9, "table", "| a | 1 | 2 |\n| b | 3 | 4 |", 5, None), ("b3", 9, "body", "x" * 100_000, 6, None)]
+    blocks += [("b0", 10 + i, "body", "the old southern mill was calm and long", 7, None) for i in range(4)]
+    jobs = [(b, None if i % 2 else "The Mill", "/shelf/the_mill_01.pdf", "/shelf", "AB"[i % 2 == 0], "prose", None) for i, b in enumerate(books)]
+    jobs += [jobs[0], ("b7", None, None, None, None, None, None), (None,) * 7]
+    docs = [(1, "The mill has a wheel. The judge read the law.", "en", "s1", 10, None), (2, None, None, None, None, None), (3, "", "en", "s1", 0, "t"), (4, "  \n", None, "s2", 3, None), (5, "The law is long. " * 9000, "en", "s1", None, None), (6, "The law.", "en", None, 8, None), (7, "The law.", "en", "s2", 8, None), (None, "The law.", "en", "s2", 8, None)]
+    plan = [("b0", 1, "y" * 900, 0, 0, None, None, None), ("b0", 2, None, None, None, None, None, None), (None, None, "z " * 300, 0, 0, None, None, None), ("b0", 3, "A piece. " * 60, 0, 0, None, 1, 1)] * 2
+    examples = [(i, ("law", "mill")[i % 2], "en", ("The judge read the law in the court.", "The wheel of the mill grinds the corn.")[i % 2]) for i in range(20)] + [(30, None, None, None), (31, "law", "en", ""), (None, "other", "en", "x")]
+    return {
+        "blocks": blocks, "jobs": jobs, "documents": docs, "chunk_plan": plan,
+        "subjects": [("law", None), ("mill", "g"), (None, None)], "subject_examples": examples,
+        "split_limits": [("blocks", 1200, 120), ("chunk_plan", 400, None), (None, None, None)],
+        "containers": [("small", 16), ("odd", None), (None, 8), ("zero", 0), ("large", 4096)],
+        "mix_targets": [("m", "s1", 0.5, 2), ("m", "s2", 0.5, None), ("m", "none", None, 3), (None, "s1", 1.0, 1), ("m", "s1", 0.5, 2)],
+    }
+
+
+def write(spark, folder, tables, extra=()):
+    from pyspark.sql import functions as F
+
+    for name, kind in TABLES.items():
+        df = spark.createDataFrame(tables.get(name, []), kind).coalesce(1)
+        for c in extra:
+            if c not in df.columns:
+                df = df.withColumn(c, F.lit("clash"))
+        df.write.parquet(os.path.join(folder, f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    return write(spark, tmp_path_factory.mktemp("odd"), rows(), CLASHING)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    return write(spark, tmp_path_factory.mktemp("none"), {})
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_odd_rows(spark, odd, name):
+    df = queries.QUERIES[name](spark, odd)
+    got = [tuple(r) for r in df.collect()]
+    if name.endswith("_found"):
+        assert len(got) == len(set(got))
+    want = {
+        "p1_found": {("b0", 3, "hyphen"), ("b0", 3, "glyph"), ("b0", 3, "furniture")},
+        "p3_found": {(f"b{i}", 1, 1) for i in range(6)},
+        "p4_found": {("blocks", "b2", 8), ("blocks", "b3", 9), ("chunk_plan", "b0", 1), ("chunk_plan", "b0", 3), ("chunk_plan", None, None)},
+        "p5_found": {("b0", 2, "b1", 2)},
+        "p6_found": {("b2", 5), ("b3", 6)},
+        "p9_found": {(1, "law"), (1, "mill"), (5, "law"), (6, "law"), (7, "law"), (None, "law")},
+    }
+    if name in want:
+        assert set(got) == want[name]
+    if name == "p2_found":
+        assert {("b1", 1, 55), ("b1", 2, 22), ("b1", 2, 50)} <= set(got)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, empty, name):
+    df = queries.QUERIES[name](spark, empty)
+    assert df.collect() == [] and df.columns
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for f in os.listdir(DATA):
+        c.execute(f"CREATE VIEW {f[: -len('.parquet')]} AS SELECT * FROM '{DATA}/{f}'")
+    want = c.execute(queries.ORACLE_SQL[name])
+    cols = [x[0] for x in want.description]
+    got = queries.QUERIES[name](spark, DATA).select(cols).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_ranges_give_the_same_pieces(spark, tmp_path, monkeypatch):
+    from folioflow.llm import splitting
+
+    text = "Hello there, this is a sentence. And another one; yes.\n" * 200 + "日本語の文です。次の文。" * 50
+    df = spark.createDataFrame([(1, text, 100, 10), (2, "x" * 950, 100, 10), (3, None, 100, 10)], "k int, text string, l int, o int")
+    pieces = lambda: sorted(map(tuple, splitting.split_column(df, ["k"], "text", "l", "o").collect()))
+    one = pieces()
+    monkeypatch.setattr(splitting, "RANGE", 997)
+    assert pieces() == one
+    f = tmp_path / "big.txt"
+    f.write_text(text, encoding="utf-8")
+    cut = sorted(map(tuple, splitting.split_files(spark, [str(f)], 100, 10, range_bytes=4096).collect()), key=lambda r: r[1])
+    assert [r[4] for r in cut] == [r[4] for r in one if r[0] == 1]
+
+
+def test_mixing_and_packing_invariants(spark, odd):
+    packed = queries.QUERIES["p7_packed"](spark, odd).toPandas()
+    packed["n"] = packed.end_token - packed.first_token
+    assert packed.groupby(["container", "container_no"]).n.sum().max() <= 4096
+    assert set(packed.container) == {"small", "large"}
+    mixed = queries.QUERIES["p8_mixed"](spark, odd).toPandas()
+    assert (mixed.groupby(["mix", "source", "doc_id"], dropna=False).size() <= 2).all()
