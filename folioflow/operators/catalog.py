@@ -60,18 +60,21 @@ def contained(passages: DataFrame, texts: DataFrame, key: str, passage_id: str,
     the texts (by one word where it has fewer), and the pairs found are checked sign by sign.  A passage must begin where a word begins.
     """
     words = lambda c: F.filter(F.split(c, r"(?U)\s+", -1), lambda w: w != "")
-    p = passages.select(key, passage_id, F.col("text").alias("_pt"), words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    # the last word of a passage may be cut, so it counts only where another follows
-    p = p.withColumn("_a", F.when(F.size("_w") > 3, F.xxhash64(F.array_join(F.slice("_w", 1, 3), " "))))
-    t = texts.select(key, text_id, F.col("text").alias("_tt"), words(F.col("text")).alias("_w"))
-    triples = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(3)), " ")))
-    grams = t.where(F.size("_w") > 2).select(key, text_id, "_tt", F.explode(F.array_distinct(triples)).alias("_a"))
-    long = p.where(F.col("_a").isNotNull()).join(grams, [key, "_a"]).where(F.contains("_tt", "_pt"))
-    short = p.where(F.col("_a").isNull()).withColumn("_f", F.when(F.size("_w") > 1, F.col("_w")[0]))
-    first = t.select(key, text_id, "_tt", F.explode(F.array_distinct("_w")).alias("_f"))
-    two = short.where(F.col("_f").isNotNull()).join(first, [key, "_f"]).where(F.contains("_tt", "_pt"))
-    # one word, maybe cut: every beginning of each word is a key
-    heads = t.select(key, text_id, "_tt", F.explode(F.array_distinct("_w")).alias("_x")).select(key, text_id, "_tt", F.explode(F.transform(F.sequence(F.lit(1), F.length("_x")), lambda i: F.substring("_x", 1, i))).alias("_h")).distinct()
-    one = short.where(F.col("_f").isNull()).withColumn("_h", F.col("_w")[0]).join(heads, [key, "_h"]).where(F.contains("_tt", "_pt"))
-    cols = [key, passage_id, text_id]
-    return long.select(*cols).unionByName(two.select(*cols)).unionByName(one.select(*cols)).distinct()
+    p = passages.select(key, passage_id, words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    t = texts.select(key, text_id, words(F.col("text")).alias("_w"))
+    # only ids and digests are shuffled; the last word of a passage may be cut, so it counts only where another follows
+    three = p.where(F.size("_w") > 3).select(key, passage_id, F.xxhash64(F.get("_w", F.lit(0)), F.get("_w", F.lit(1)), F.get("_w", F.lit(2))).alias("_a"))
+    triples = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
+    grams = t.where(F.size("_w") > 2).select(key, text_id, F.explode(F.array_distinct(triples)).alias("_a"))
+    pairs = three.join(grams, [key, "_a"]).select(key, passage_id, text_id)
+    two = p.where(F.size("_w").between(2, 3)).select(key, passage_id, F.get("_w", F.lit(0)).alias("_a"))
+    firsts = t.join(two.select(key).distinct(), key, "left_semi").select(key, text_id, F.explode(F.array_distinct("_w")).alias("_a"))
+    pairs = pairs.unionByName(two.join(firsts, [key, "_a"]).select(key, passage_id, text_id))
+    # a single word, maybe cut, is looked up among the beginnings of its length
+    one = p.where(F.size("_w") == 1).select(key, passage_id, F.get("_w", F.lit(0)).alias("_a"))
+    sizes = one.groupBy(key).agg(F.collect_set(F.length("_a")).alias("_l"))
+    heads = t.join(sizes, key).select(key, text_id, "_l", F.explode(F.array_distinct("_w")).alias("_x"))
+    heads = heads.select(key, text_id, F.explode(F.transform("_l", lambda n: F.substring("_x", F.lit(1), n))).alias("_a"))
+    pairs = pairs.unionByName(one.join(heads, [key, "_a"]).select(key, passage_id, text_id)).distinct()
+    full = pairs.join(passages.select(key, passage_id, F.col("text").alias("_pt")), [key, passage_id]).join(texts.select(key, text_id, F.col("text").alias("_tt")), [key, text_id])
+    return full.where(F.contains("_tt", "_pt")).select(key, passage_id, text_id).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators.ordered import running_sum
+from folioflow.sources.tables import checkpointed
 
 CEILING = 400
 # Milliseconds of silence by kind of job.
@@ -61,6 +62,8 @@ def build_plan(blocks: DataFrame, paths: DataFrame) -> DataFrame:
     rows = blocks.where(F.col("text").isNotNull()).withColumn("text", text).where(F.col("text") != "")
     rows = rows.join(last, "book").join(paths.select("book", "path"), "book")
     rows = rows.withColumn("_parts", F.when(F.col("type") == "heading", F.array("text")).otherwise(pack_text(F.col("text"))))
+    # packed once: the numbering reads the pieces' counts first
+    rows = checkpointed(rows.select("book", "block_no", "type", "path", "_last", "source_page", "source_page_end", "_parts"))
     rows = running_sum(rows, "book", "block_no", F.size("_parts"), "_before")
     out = rows.select("*", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_i", "_piece"))
     head, end = F.col("type") == "heading", F.col("_i") == F.col("_n") - 1
