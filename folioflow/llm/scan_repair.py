@@ -32,19 +32,24 @@ MIN_SHARE = 2e-6
 MIN_COUNT = 3
 #: A word that is a misreading of one this many times as frequent isn't of the vocabulary.
 MISREAD_RATIO = 8
+#: A word with a capital isn't taken for one that has a capital more rarely than this.
+LEAST_CAPITALS = 0.005
 #: A form is a misreading of another form of its book if that is this many times as frequent.
 BOOK_RATIO = 3
 
 # What a scanner reads -> what was printed.
 CONFUSIONS = {
-    "@": "a", "0": "o", "5": "s", "9": "g", "6": "b", "8": "b", "†": "t", "|": "il", "3": "e",
-    "1": "li", "!": "li", "ſ": "fs", "c": "e", "e": "c",
+    "@": "a", "0": "o", "5": "s", "9": "g", "6": "bé", "8": "b", "†": "t", "|": "il", "3": "e",
+    "1": "li", "!": "li", "ſ": "fs", "c": "e", "e": "c", "b": "ß",
 }
-CONFUSIONS_LONG = [("cl", "d"), ("li", "h"), ("rn", "m"), ("m", "rn"), ("ii", "u"), ("h", "li"), ("n", "ll"), ("m", "ni"), ("vv", "w"), ("d", "cl"), ("u", "ii"), ("h", "b")]
+CONFUSIONS_LONG = [
+    ("cl", "d"), ("c1", "d"), ("c|", "d"), ("c!", "d"), ("li", "h"), ("l1", "h"), ("l|", "h"), ("l!", "h"), ("rn", "m"), ("m", "rn"), ("ii", "u"), ("ii", "ü"), ("h", "li"), ("n", "ll"),
+    ("m", "ni"), ("mi", "nn"), ("fi", "ñ"), ("vv", "w"), ("d", "cl"), ("u", "ii"), ("h", "b"),
+]
 
 TOKEN = re.compile(r"[^\s.,;:?…“”„\"«»()\[\]{}—–/*·=+<>¿¡。！？，、「」।]+")
 SURE = re.compile(r"[@†ſ]|[^\W\d_][|!0-9]+[^\W\d_]")
-EDGE = "'\u2019\u2018-\u2010\u2011\u00ac\u00ad_&#%$^~`|"
+EDGE = "'\u2019\u2018-\u2010\u2011\u00ac\u00ad_&#%$^~`"
 HYPHENS = "-\u2010\u00ac\u00ad"
 LINE_HYPHEN = re.compile(r"([^\s\-\u2010\u00ac\u00ad“”\"(«„][^\s“”\"(«„—]*)[\-\u2010\u00ac\u00ad][ \t]*$")
 FIRST_WORD = re.compile(r"\s*([^\W\d_][\w@†!|'’\-‐]*)")
@@ -173,7 +178,7 @@ class Trie:
 
 # Spellings that one reading class stands for, longest first.
 _CLASSES = [("rn", "m"), ("ni", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("ll", "n"), ("vv", "w")]
-_CLASS_OF = str.maketrans({"@": "a", "0": "o", "5": "s", "9": "g", "6": "b", "8": "b", "†": "t", "|": "i", "1": "i", "!": "i", "l": "i", "ſ": "s", "f": "s", "e": "c", "3": "c", "h": "b"})
+_CLASS_OF = str.maketrans({"@": "a", "0": "o", "5": "s", "9": "g", "6": "bé", "8": "b", "†": "t", "|": "i", "1": "i", "!": "i", "l": "i", "ſ": "s", "f": "s", "e": "c", "3": "c", "h": "b"})
 
 
 def skeleton(word: str) -> str:
@@ -183,24 +188,36 @@ def skeleton(word: str) -> str:
     return word.translate(_CLASS_OF)
 
 
+def capitals(word: str, counts: dict[str, int]) -> float:
+    """The share of a word's occurrences with a capital; they are counted under ^word."""
+    return counts.get("^" + word, 0) / max(1, counts.get(word, 0))
+
+
 def cleaned_vocabulary(counts: dict[str, int]) -> dict[str, int]:
-    """``counts`` without the words that are misreadings of a much more frequent word."""
-    trie = Trie(counts)
+    """``counts`` without the words that are misreadings of a much more frequent word.
+
+    A word that mostly has a capital (a name) is no misreading of one that hardly ever has.
+    """
+    trie = Trie({w: n for w, n in counts.items() if w[0] != "^"})
     good = {}
     for w, n in counts.items():
-        if SURE.search(w):
+        if w[0] == "^" or SURE.search(w):
             continue
-        if any(e and c >= MISREAD_RATIO * n for _, e, c in trie.candidates(w, 2 if len(w) > 4 else 1)):
+        name = capitals(w, counts) > 0.5
+        if any(e and c >= MISREAD_RATIO * n and not (name and capitals(x, counts) < LEAST_CAPITALS) for x, e, c in trie.candidates(w, 2 if len(w) > 4 else 1)):
             continue
         good[w] = n
-    return good
+    return good | {w: n for w, n in counts.items() if w[0] == "^" and w[1:] in good}
 
 
 class Scan:
     """What a worker needs to judge words: the vocabulary, its trie and verdicts so far."""
 
     def __init__(self, words: dict[str, int], pairs: dict[str, int] | None = None):
-        self.words, self.trie, self.verdicts = words, Trie(words), {}
+        self.counts, self.verdicts = words, {}
+        self.words = {w: n for w, n in words.items() if w[:1] != "^"}
+        self.trie = Trie(self.words)
+        self.total = sum(self.words.values()) or 1
         self.pairs = pairs or {}
 
     def verdict(self, tok: str) -> tuple[int, str]:
@@ -232,7 +249,10 @@ class Scan:
         for form in dict.fromkeys([core, bare.lstrip("!")]):  # a final ! may be a letter
             if form != core and bare.endswith("!") and not form[-1:] == "!":
                 continue
-            if self.trie.candidates(form, 2 if len(form) > 4 or not form.isalpha() else 1):
+            options = self.trie.candidates(form, 2 if len(form) > 4 or not form.isalpha() else 1)
+            if tok[0].isupper() and not tok.isupper():
+                options = [o for o in options if capitals(o[0], self.counts) >= LEAST_CAPITALS]
+            if options:
                 return 1, form
         if any(ch.isdigit() for ch in core):
             return 0, core
@@ -262,11 +282,9 @@ class Scan:
             plain = core.translate(str.maketrans("@05968†|1!ſ", "aosgbbtilis"))
             best = plain
         else:
-            total = sum(self.words.values()) or 1
-
             def score(o: tuple[str, int, int]) -> float:
                 pair = self.pairs.get(f"{before} {o[0]}", 0) + self.pairs.get(f"{o[0]} {after}", 0)
-                return -4.0 * o[1] + math.log(o[2] / total) * 0.3 + math.log1p(pair)
+                return -4.0 * o[1] + math.log(o[2] / self.total) * 0.3 + math.log1p(pair)
 
             best = max(options, key=lambda o: (score(o), o[0]))[0]
         cased = best.upper() if len(core) > 1 and tok[at : at + len(core)].isupper() else best.capitalize() if tok[at].isupper() else best
@@ -363,12 +381,23 @@ def _counted(texts: DataFrame, pairs: bool) -> dict[str, int]:
     def count(columns: dict[str, list]) -> dict[str, list]:
         counts: Counter = Counter()
         for text in columns["text"]:
-            words = [w.strip(EDGE).rstrip("!") for w in TOKEN.findall(_folded(text).lower())]
-            counts.update(zip(words, words[1:]) if pairs else words)
+            words = [w.strip(EDGE).rstrip("!") for w in TOKEN.findall(_folded(text))]
+            if pairs:
+                low = [w.lower() for w in words]
+                counts.update(zip(low, low[1:]))
+            else:
+                counts.update(words)
         counts.pop("", None)
         if pairs:
             counts = Counter({f"{a} {b}": n for (a, b), n in counts.items()})
-        counts[""] = sum(counts.values())
+        total = sum(counts.values())
+        if not pairs:
+            cased, counts = counts, Counter()
+            for w, n in cased.items():
+                counts[low := w.lower()] += n
+                if w[0].isupper() and not w.isupper():
+                    counts["^" + low] += n
+        counts[""] = total
         return {"word": list(counts), "n": list(counts.values())}
 
     sums = checkpointed(map_columns(texts.select("text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
