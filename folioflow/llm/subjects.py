@@ -8,7 +8,11 @@ step (Adam) is taken.  As average and output are linear, a trained model is one
 logits per bucket, a table of fixed size that is sent to the workers, which score
 every sentence of every document.
 
-Examples are a bounded sample: at most ``MAX_EXAMPLES`` of them, those with the least hash of their id.
+The model is trained twice.  The few examples know few words, so the first model reads a sample of the documents, and
+the sentences of those that are mostly about one subject join the examples of the second.
+
+Both are bounded samples: at most ``MAX_EXAMPLES`` examples and ``MAX_DOCUMENTS`` documents, those with the least hash
+of their id.
 """
 
 from __future__ import annotations
@@ -25,28 +29,31 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import kept, map_columns, token
 from folioflow.llm.sentences import sentence_ends
-from folioflow.sources.tables import table
+from folioflow.sources.tables import checkpointed, table
 
 MAX_EXAMPLES = 50_000
+MAX_DOCUMENTS = 1_000
+#: Signs of a sampled document that are read, and the share of one subject from which on its sentences are examples.
+SAMPLE_SIGNS, CLEAR = 20_000, 0.75
 BUCKETS = 1 << 16
 SIZE = 16
 ROUNDS = 40
 STEP = 0.15
 DECAY = 1e-5
 PARTS = 4
-#: A sentence is about a subject if its logit is at least LEAST and at most NEAR below the best one.  Averages over
-#: a sentence of common words with one telling word give low logits, so LEAST is low; on held-out
-#: examples it keeps 99 of 100 sentences (tests/llm/test_subjects.py).
-LEAST = -2.5
-NEAR = 0.7
-#: Weight of the logits of the sentences before and after.
-BESIDE = 0.3
+#: A sentence of common words with one telling word has low logits in the average, and that word may belong to
+#: several subjects.  So its document counts: CONTEXT times the log of the share of the document's certain sentences (best
+#: logit at least CERTAIN, and MARGIN above the next) is added to a subject's logit, and LOCAL for each
+#: certain one beside it.  SMOOTH is added to the counts.
+CERTAIN, MARGIN, CONTEXT, LOCAL, SMOOTH = 1.5, 1.0, 1.0, 0.7, 0.3
+#: A sentence is about the subjects within NEAR of its best score whose own logit is at least LEAST.
+LEAST, NEAR = -9.0, 0.3
 #: A document is about a subject from this share of its sentences on.
 SHARE = 0.25
 
 _STOP = re.compile(r"[.!?…।。！？][”»’'\")\]」』“ ]*$")
 _SOFT = re.compile(r"(?<=[^\W\d_])[-‐¬\u00ad]\s*$")
-_ALONE = re.compile(r"[\W\d_]*(?:(?:page|seite|página|p|s)\b\.?\s*)?[\divxlc]*[\W\d_]*(?:(?:of|von|de|sur)\s*\d+[\W_]*)?", re.I)
+_ALONE = re.compile(r"[\W\d_]*(?:(?:page|seite|página|p|s|chapter|part|book|kapitel|teil|chapitre|partie|capítulo|parte)\b\.?\s*)?[\divxlc]*[\W\d_]*(?:(?:of|von|de|sur)\s*\d+[\W_]*)?", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -237,16 +244,14 @@ class Model:
         return out
 
 
-def train(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray, frozenset[str]]:
-    """(subjects, logits of each bucket, biases, known words), trained on subject_examples."""
-    names = sorted(r[0] for r in table(spark, sf_dir, "subjects").select("subject").where(F.col("subject").isNotNull()).distinct().collect())
-    examples = table(spark, sf_dir, "subject_examples").where(F.col("text").isNotNull() & F.col("subject").isin(names))
-    bounded = examples.dropDuplicates(["example_id"]).orderBy(F.xxhash64("example_id"), "example_id").limit(MAX_EXAMPLES)
-    data = bounded.repartition(PARTS, "example_id").select("subject", "text").persist()
-    # at most MAX_EXAMPLES short texts
-    known = known_words(r["text"] for r in data.select("text").collect())
-    sc, n, name = spark.sparkContext, len(names), token()
+Parameters = tuple[np.ndarray, np.ndarray, frozenset[str]]
+
+
+def _fit(data: DataFrame, names: list[str], known: frozenset[str], rounds: int) -> Parameters:
+    """Trains on (subject, text), a bounded sample in PARTS partitions; gradients are summed once a round."""
+    sc, n, name = data.sparkSession.sparkContext, len(names), token()
     shared = sc.broadcast(known)
+    kind = pa.schema([("t", pa.binary()), ("g", pa.binary()), ("o", pa.binary()), ("b", pa.binary()), ("k", pa.int64())])
 
     def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> Iterator[tuple]:
         sent = sc.broadcast((emb.astype(np.float32), out, bias))
@@ -258,22 +263,55 @@ def train(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> tuple[list[
                 subjects += batch.column("subject").to_pylist()
             if not texts:
                 return
-            key = f"{name}:{hash(tuple(texts))}"
-            rows = kept(key, lambda: example_rows(texts, subjects, names, shared.value))
+            rows = kept(f"{name}:{hash(tuple(texts))}", lambda: example_rows(texts, subjects, names, shared.value))
             if not len(rows.size):
                 return
             touched, g, o, b, _ = gradient(rows, *sent.value)
             yield pa.RecordBatch.from_pydict({"t": [touched.astype(np.int64).tobytes()], "g": [g.astype(np.float32).tobytes()], "o": [o.tobytes()], "b": [b.tobytes()], "k": [len(rows.size)]}, schema=kind)
 
-        kind = pa.schema([("t", pa.binary()), ("g", pa.binary()), ("o", pa.binary()), ("b", pa.binary()), ("k", pa.int64())])
         # PARTS rows, each no larger than the parameters
         for r in data.mapInArrow(part, "t binary, g binary, o binary, b binary, k bigint").collect():
             yield np.frombuffer(r["t"], np.int64), np.frombuffer(r["g"], np.float32).reshape(-1, SIZE), np.frombuffer(r["o"]).reshape(SIZE, n), np.frombuffer(r["b"]), r["k"]
         sent.unpersist()
 
-    table_, bias = fit(gradients, n, rounds)
+    return (*fit(gradients, n, rounds), known)
+
+
+def _clear_documents(docs: DataFrame, names: list[str], parameters: Parameters) -> DataFrame:
+    """(subject, text): the sentences of the sampled documents that are mostly about one subject."""
+    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS).select(F.substring("text", 1, SAMPLE_SIGNS).alias("text"))
+    sent, name = docs.sparkSession.sparkContext.broadcast(parameters), token()
+
+    def label(c: dict[str, list], model: Model) -> dict[str, list]:
+        out: dict[str, list] = {"subject": [], "text": []}
+        for t, found_ in zip(c["text"], document_subjects(c["text"], model, names)):
+            subject, share = max(found_, key=lambda x: (x[1], x[0]), default=(None, 0.0))
+            if share >= CLEAR:
+                own = parts_of(t)
+                out["subject"] += [subject] * len(own)
+                out["text"] += own
+        return out
+
+    return map_columns(sample, label, "subject string, text string", lambda: kept(name, lambda: Model(*sent.value)))
+
+
+def train(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> tuple[list[str], Parameters]:
+    """(subjects, (logits of each bucket, biases, known words)), trained on subject_examples and clear documents."""
+    names = sorted(r[0] for r in table(spark, sf_dir, "subjects").select("subject").where(F.col("subject").isNotNull()).distinct().collect())
+    examples = table(spark, sf_dir, "subject_examples").where(F.col("text").isNotNull() & F.col("subject").isin(names))
+    bounded = examples.dropDuplicates(["example_id"]).orderBy(F.xxhash64("example_id"), "example_id").limit(MAX_EXAMPLES).select("subject", "text")
+    spread = lambda df: df.repartition(PARTS, F.xxhash64("text")).persist()
+    data = spread(bounded)
+    # short texts, bounded in number
+    texts = [r["text"] for r in data.select("text").collect()]
+    first = _fit(data, names, known_words(texts), rounds)
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    more = spread(data.unionByName(checkpointed(_clear_documents(docs, names, first))))
+    texts = [r["text"] for r in more.select("text").collect()]
+    second = _fit(more, names, known_words(texts), rounds)
     data.unpersist()
-    return names, table_, bias, known
+    more.unpersist()
+    return names, second
 
 
 def document_subjects(texts: list[str | None], model: Model, names: list[str]) -> list[list[tuple[str, float]]]:
@@ -289,13 +327,18 @@ def document_subjects(texts: list[str | None], model: Model, names: list[str]) -
         return out
     logits = model.logits(sents)
     own = np.array(owner)
-    # a sentence with few telling words leans on those beside it
+    order = np.sort(logits, axis=1)
+    certain = (order[:, -1] >= CERTAIN) & (order[:, -1] - order[:, -2] >= MARGIN) if logits.shape[1] > 1 else order[:, -1] >= CERTAIN
+    counts = np.full((len(texts), len(names)), SMOOTH)
+    np.add.at(counts, (own[certain], logits.argmax(1)[certain]), 1)
+    sure = np.zeros_like(logits)
+    sure[np.flatnonzero(certain), logits.argmax(1)[certain]] = 1
     same = (own[1:] == own[:-1])[:, None]
     beside = np.zeros_like(logits)
-    beside[1:] += np.where(same, logits[:-1], 0)
-    beside[:-1] += np.where(same, logits[1:], 0)
-    logits = logits + BESIDE * beside
-    about = (logits >= LEAST) & (logits >= logits.max(1, keepdims=True) - NEAR)
+    beside[1:] += np.where(same, sure[:-1], 0)
+    beside[:-1] += np.where(same, sure[1:], 0)
+    scores = logits + CONTEXT * np.log(counts / counts.sum(1, keepdims=True))[own] + LOCAL * beside
+    about = (logits >= LEAST) & (scores >= scores.max(1, keepdims=True) - NEAR)
     total = np.bincount(own, minlength=len(texts))
     for k, name in enumerate(names):
         hits = np.bincount(own, about[:, k], minlength=len(texts))
@@ -306,8 +349,8 @@ def document_subjects(texts: list[str | None], model: Model, names: list[str]) -
 
 def subject_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, subject, share): the share of a document's sentences about each subject, where above 0."""
-    names, *parameters = train(spark, sf_dir)
-    sent, name = spark.sparkContext.broadcast(tuple(parameters)), token()
+    names, parameters = train(spark, sf_dir)
+    sent, name = spark.sparkContext.broadcast(parameters), token()
 
     def score(c: dict[str, list], model: Model) -> dict[str, list]:
         found_ = document_subjects(c["text"], model, names)
