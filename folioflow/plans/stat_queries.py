@@ -14,6 +14,7 @@ from folioflow.plans import sqlgen as S
 from folioflow.plans.page_queries import PLACED, placed_lines
 from folioflow.plans.plan_queries import _ENDS, _OUTLINE, DONE, TIME, finished, outline, plan_once, timed
 from folioflow.plans.text_queries import blocks_once
+from folioflow.sources import readers
 from folioflow.sources.tables import checkpointed, jobs_once, table
 
 QUERIES: dict = {}
@@ -400,3 +401,99 @@ def dat01(spark, d):
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     late = F.greatest(F.lit(0.0), (micros("loaded_at") - micros("written_at")) / 1e6)
     return rows.select("book", "chunk_idx", late.alias("late"), F.date_format("written_at", "HH:mm:ss").alias("clock")).distinct()
+
+
+# ---- the rest of the inventory
+
+
+@query(
+    "src03_raster_zoom",
+    "SELECT path, round(CASE WHEN mp > 12 THEN z * sqrt(12 / mp) ELSE z END, 6) AS zoom FROM (SELECT path, 300 / 72.0::DOUBLE AS z, (595.0::DOUBLE * 300 / 72.0::DOUBLE) * ((pages * 10.0)::DOUBLE * 300 / 72.0::DOUBLE) / 1e6 AS mp FROM library WHERE pages IS NOT NULL)",
+)
+def src03(spark, d):
+    """Zoom for 300 dots an inch within 12 million pixels; a page is taken to be 10 points high for each page of its file."""
+    rows = table(spark, d, "library").where(F.col("pages").isNotNull())
+    return rows.select("path", F.round(readers.raster_zoom(F.lit(595.0), F.col("pages") * 10.0, 300), 6).alias("zoom"))
+
+
+@query("src05_largest_file", "SELECT folder, path, pages FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY pages DESC, path) AS r FROM library WHERE pages IS NOT NULL) WHERE r = 1")
+def src05(spark, d):
+    """The largest file of each folder, the first by path of equal ones: an aggregate, so a large folder isn't sorted."""
+    rows = table(spark, d, "library").where(F.col("pages").isNotNull())
+    most = rows.groupBy("folder").agg(F.max("pages").alias("pages"))
+    return rows.join(most, ["folder", "pages"]).groupBy("folder", "pages").agg(F.min("path").alias("path")).select("folder", "path", "pages")
+
+
+_PARAS = f"list_filter(list_transform(string_split_regex(text, '\\n[\\t-\\r ]*\\n'), lambda p: {S.collapse('p')}), lambda p: p <> '')"
+
+
+@query("src10_paragraphs", f"SELECT doc_id, unnest({_PARAS}) AS paragraph, CAST(generate_subscripts({_PARAS}, 1) AS INTEGER) AS pos FROM documents WHERE text IS NOT NULL")
+def src10(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", F.posexplode(readers.paragraphs(F.col("text"))).alias("i", "paragraph")).select("doc_id", "paragraph", (F.col("i") + 1).alias("pos"))
+
+
+@query("src14_settings", "SELECT id AS book, coalesce(nullif(voice, ''), nullif(lang, ''), 'Default') AS setting FROM (SELECT DISTINCT id, voice, lang FROM jobs)")
+def src14(spark, d):
+    return jobs_once(spark, d, "voice", "lang").select("book", readers.setting(F.col("voice"), F.col("lang"), F.lit("Default")).alias("setting"))
+
+
+@query("prd18_segment_names", r"SELECT book, chunk_idx, name, regexp_matches(name, '^seg_[0-9]{6}\.wav$') AS final FROM (SELECT DISTINCT book, chunk_idx, 'seg_' || lpad(chunk_idx::VARCHAR, 6, '0') || CASE WHEN frames IS NULL THEN '.wav.tmp' ELSE '.wav' END AS name FROM segments)")
+def prd18(spark, d):
+    name = F.concat(F.lit("seg_"), F.lpad(F.col("chunk_idx").cast("string"), 6, "0"), F.when(F.col("frames").isNull(), ".wav.tmp").otherwise(".wav"))
+    rows = table(spark, d, "segments").select("book", "chunk_idx", name.alias("name")).distinct()
+    return rows.select("book", "chunk_idx", "name", F.col("name").rlike(r"\Aseg_[0-9]{6}\.wav\z").alias("final"))
+
+
+@query("prd20_valid_tokens", "SELECT vec_id, list_filter(list_transform(embedding::DOUBLE[], lambda x: floor(abs(x) * 40000)::INTEGER), lambda t: t < 6561) AS tokens FROM embeddings")
+def prd20(spark, d):
+    tokens = F.transform(A.doubles(F.col("embedding")), lambda x: F.floor(F.abs(x) * 40000).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", F.filter(tokens, lambda t: t < 6561).alias("tokens"))
+
+
+@query("pln04_arms", f"SELECT arm, book, chunk_idx, 20260730 + chunk_idx * 10 AS seed, CASE WHEN arm = 'short' THEN least(after_ms, 150) ELSE after_ms END AS after_ms FROM {S.PLAN} p, (VALUES ('plain'), ('short')) a(arm)")
+def pln04(spark, d):
+    rows = plan_once(spark, d).withColumn("arm", F.explode(F.array(F.lit("plain"), F.lit("short"))))
+    return rows.select("arm", "book", "chunk_idx", (20260730 + F.col("chunk_idx") * 10).alias("seed"), F.when(F.col("arm") == "short", F.least("after_ms", F.lit(150))).otherwise(F.col("after_ms")).alias("after_ms"))
+
+
+@query("agg20_pause_share", f"SELECT book, round(sum(before_ms + after_ms) / (sum(before_ms + after_ms) + sum(frames * 1000 // sr)), 6) AS share FROM {S.PLAN} p JOIN {DONE} d USING (book, chunk_idx) GROUP BY book HAVING sum(frames) > 0")
+def agg20(spark, d):
+    rows = plan_once(spark, d).join(finished(spark, d), ["book", "chunk_idx"])
+    pause, sound = F.sum(F.col("before_ms") + F.col("after_ms")), F.sum(F.floor(F.col("frames") * 1000 / F.col("sr")))
+    return rows.groupBy("book").agg(F.sum("frames").alias("f"), F.round(pause / (pause + sound), 6).alias("share")).where("f > 0").select("book", "share")
+
+
+@query("ord08_blind_labels")
+def ord08(spark, d):
+    """Each plan's two arms under the letters A and B, in an order that a salted digest conceals."""
+    first = F.pmod(F.xxhash64("book", F.lit("concealed")), F.lit(2)) == 0
+    books = table(spark, d, "chunk_plan").select("book").distinct()
+    arms = F.when(first, F.array(F.lit("plain"), F.lit("short"))).otherwise(F.array(F.lit("short"), F.lit("plain")))
+    rows = books.select("book", F.posexplode(arms).alias("i", "arm"))
+    return rows.select("book", F.when(F.col("i") == 0, "A").otherwise("B").alias("label"), "arm")
+
+
+@query("set01_roots", "SELECT folder, min(r) AS origin FROM (SELECT folder, 1 AS r FROM library UNION ALL SELECT folder, 2 FROM jobs) WHERE folder IS NOT NULL GROUP BY folder")
+def set01(spark, d):
+    both = table(spark, d, "library").select("folder", F.lit(1).alias("r")).unionByName(table(spark, d, "jobs").select("folder", F.lit(2).alias("r")))
+    return both.where(F.col("folder").isNotNull()).groupBy("folder").agg(F.min("r").alias("origin"))
+
+
+@query("arr05_page_text", f"SELECT book, source_page AS page, string_agg(text, chr(10) ORDER BY block_no) AS text FROM {S.BLOCKS} b WHERE text IS NOT NULL AND source_page IS NOT NULL GROUP BY book, source_page")
+def arr05(spark, d):
+    parts = F.array_sort(F.collect_list(F.struct("block_no", "text")))
+    rows = blocks_once(spark, d).where(F.col("source_page").isNotNull())
+    return rows.groupBy("book", F.col("source_page").alias("page")).agg(F.array_join(F.transform(parts, lambda r: r["text"]), "\n").alias("text"))
+
+
+@query("arr04_silence", "SELECT book, chunk_idx, floor(24000 * before_ms / 1000.0)::INTEGER + floor(24000 * after_ms / 1000.0)::INTEGER AS zeros FROM (SELECT DISTINCT * FROM chunk_plan) WHERE after_ms < 200")
+def arr04(spark, d):
+    quiet = lambda c: F.size(A.silence(F.lit(24000), F.col(c)))
+    return plan_once(spark, d).where(F.col("after_ms") < 200).select("book", "chunk_idx", (quiet("before_ms") + quiet("after_ms")).alias("zeros"))
+
+
+@query("agg13_workers", "SELECT path, greatest(1, least(3, floor((pages / 10.0 - 2) / 6.5)))::INTEGER AS workers FROM library WHERE pages IS NOT NULL")
+def agg13(spark, d):
+    """Workers that fit, a file's tenth of pages taken as memory in GB."""
+    return table(spark, d, "library").where(F.col("pages").isNotNull()).select("path", metrics.workers(F.col("pages") / 10.0).alias("workers"))
