@@ -190,7 +190,20 @@ def seq11(spark, d):
     return stitch.chapters_by_image(pages, "book", "page", "has")
 
 
-@query("src01_drop_caps", None)
+_LIGATED = "text"
+for _a, _b in T.LIGATURES.items():
+    _LIGATED = f"replace({_LIGATED}, {S.q(_a)}, {S.q(_b)})"
+_DROPS = f"""WITH r AS (SELECT * FROM (SELECT book, page, line_no, x0, y0, size, {S.strip(_LIGATED)} AS text FROM {PLACED}) WHERE text <> '' AND NOT {S.match('text', '^[0-9]{1,4}$')}),
+m AS (SELECT *, list_sort(list(size) OVER p)[count(*) OVER p // 2 + 1] AS med FROM r WINDOW p AS (PARTITION BY book, page)),
+c AS (SELECT *, {S.match('text', '^[\"“‘' + chr(39) + ']?[A-Z]$')} AND size >= 1.4 * med AS cap FROM m),
+g AS (SELECT *, sum(CASE WHEN cap THEN 0 ELSE 1 END) OVER (PARTITION BY book, page ORDER BY line_no) AS run FROM c),
+i AS (SELECT *, sum(cap::INT) OVER (PARTITION BY book, page, run ORDER BY line_no) AS i FROM g),
+t AS (SELECT *, cap AND i % 2 = 1 AND lead(text) OVER w IS NOT NULL AS takes, lead(text) OVER w AS nxt FROM i WINDOW w AS (PARTITION BY book, page ORDER BY line_no)),
+u AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY book, page ORDER BY line_no), false) AS taken FROM t)
+SELECT book, page, line_no, x0, y0, CASE WHEN takes THEN text || nxt ELSE text END AS text FROM u WHERE NOT taken"""
+
+
+@query("src01_drop_caps", _DROPS)
 def src01(spark, d):
     return layout.merge_drop_caps(placed_lines(spark, d), PAGE, "line_no")
 

@@ -362,9 +362,9 @@ def ord04(spark, d):
     return picked.unionByName(heads)
 
 
-@query("ord05_systematic", "SELECT container, list_sort(list_distinct(list_transform(range(4), lambda i: least(capacity_tokens - 1, round_even(i * capacity_tokens / 4, 0))::INTEGER))) AS at FROM containers")
+@query("ord05_systematic", "SELECT container, list_sort(list_distinct(list_transform(range(4), lambda i: least(capacity_tokens - 1, round_even(i * capacity_tokens / 4, 0))::INTEGER))) AS picks FROM containers")
 def ord05(spark, d):
-    return table(spark, d, "containers").select("container", A.systematic(F.col("capacity_tokens"), F.lit(4)).alias("at"))
+    return table(spark, d, "containers").select("container", A.systematic(F.col("capacity_tokens"), F.lit(4)).alias("picks"))
 
 
 @query("ord06_page_sample", "SELECT path, CASE WHEN pages < 1 THEN [] WHEN pages <= 24 THEN list_transform(range(pages), lambda i: i::INTEGER) ELSE list_transform(range(24), lambda i: floor(i * pages / 24.0)::INTEGER) END AS sample FROM library WHERE pages IS NOT NULL")
@@ -464,11 +464,14 @@ def agg20(spark, d):
     return rows.groupBy("book").agg(F.sum("frames").alias("f"), F.round(pause / (pause + sound), 6).alias("share")).where("f > 0").select("book", "share")
 
 
-@query("ord08_blind_labels")
+@query(
+    "ord08_blind_labels",
+    """SELECT book, label, CASE WHEN (label = 'A') = f THEN 'plain' ELSE 'short' END AS arm FROM (SELECT DISTINCT book, substr(sha256(book || 'concealed'), 1, 1) < '8' AS f FROM chunk_plan WHERE book IS NOT NULL), (VALUES ('A'), ('B')) l(label)""",
+)
 def ord08(spark, d):
     """Each plan's two arms under the letters A and B, in an order that a salted digest conceals."""
-    first = F.pmod(F.xxhash64("book", F.lit("concealed")), F.lit(2)) == 0
-    books = table(spark, d, "chunk_plan").select("book").distinct()
+    first = F.substring(F.sha2(F.concat("book", F.lit("concealed")), 256), 1, 1) < "8"
+    books = table(spark, d, "chunk_plan").select("book").where(F.col("book").isNotNull()).distinct()
     arms = F.when(first, F.array(F.lit("plain"), F.lit("short"))).otherwise(F.array(F.lit("short"), F.lit("plain")))
     rows = books.select("book", F.posexplode(arms).alias("i", "arm"))
     return rows.select("book", F.when(F.col("i") == 0, "A").otherwise("B").alias("label"), "arm")
@@ -497,3 +500,21 @@ def arr04(spark, d):
 def agg13(spark, d):
     """Workers that fit, a file's tenth of pages taken as memory in GB."""
     return table(spark, d, "library").where(F.col("pages").isNotNull()).select("path", metrics.workers(F.col("pages") / 10.0).alias("workers"))
+
+
+def _by_row(name: str, key: str, values: str) -> None:
+    """The arrays of a query as rows (key, i, value), i from 1."""
+    whole = QUERIES[name]
+
+    def rows(spark: SparkSession, d: str) -> DataFrame:
+        return whole(spark, d).select(key, F.posexplode(values).alias("_i", values)).select(key, (F.col("_i") + 1).alias("i"), values)
+
+    QUERIES[name] = rows
+    ORACLE_SQL[name] = f"SELECT {key}, CAST(i AS INTEGER) AS i, x AS {values} FROM (SELECT {key}, unnest({values}) AS x, generate_subscripts({values}, 1) AS i FROM ({ORACLE_SQL[name]}))"
+
+
+for _n, _k, _v in (
+    ("arr01_unit", "vec_id", "unit"), ("arr03_fade", "vec_id", "faded"), ("arr06_quantise", "vec_id", "samples"), ("arr07_pad", "vec_id", "padded"), ("arr08_positions", "vec_id", "positions"),
+    ("prd20_valid_tokens", "vec_id", "tokens"), ("ord05_systematic", "container", "picks"), ("ord06_page_sample", "path", "sample"), ("ord07_stride", "book", "pages"),
+):
+    _by_row(_n, _k, _v)
