@@ -31,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "p3_found": repeats.FOUND_SQL,
+    "p3_cleaned": repeats.CLEANED_SQL,
     "p4_found": splitting.FOUND_SQL,
 }
