@@ -245,10 +245,10 @@ ENDED = f"(SELECT book, start_ms, CASE WHEN e <= start_ms THEN start_ms + 1000 E
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # read four times below
+    # what is read several times below is written first; marks and chapters are a few rows a book
     rows = checkpointed(timed(spark, sf_dir).select("book", "chunk_idx", "heading", "source_page", "start_sample", "samples", "sr", "start_ms"))
-    marks = timeline.outline_marks(outline(spark, sf_dir), timeline.page_starts(rows))
-    chosen = timeline.with_opening(timeline.chosen_chapters(marks, timeline.spoken_chapters(rows)))
+    marks = checkpointed(timeline.outline_marks(outline(spark, sf_dir), timeline.page_starts(rows)))
+    chosen = checkpointed(timeline.with_opening(timeline.chosen_chapters(marks, timeline.spoken_chapters(rows))))
     return timeline.chapter_ends(chosen, timeline.totals(rows))
 
 
