@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from folioflow.sources.tables import table
+from folioflow.sources.tables import checkpointed, table
 
 #: Code points (of a column) or bytes (of a file) of one range, and of its halo.
 RANGE = 1 << 20
@@ -132,6 +132,8 @@ def split_column(items: DataFrame, keys: list[str], text: str, limit: str, overl
     are shuffled range by range.
     """
     long = items.where(F.length(text) > F.col(limit)).select(*keys, F.col(text).alias("_t"), F.col(limit).alias("_limit"), F.col(overlap).alias("_overlap"), F.length(text).cast("bigint").alias("_n"))
+    # the oversized items alone are written, so the table is read once for both ways below
+    long = checkpointed(long)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.select(*keys).schema)
     kind = f"{key_schema}, piece_no int, start bigint, end bigint, text string"
 
