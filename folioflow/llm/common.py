@@ -26,7 +26,7 @@ def token() -> str:
 def kept(name: str, build: Callable[[], Any]) -> Any:
     """What ``build`` makes, made once per worker; only the latest few are kept."""
     if name not in _KEPT:
-        while len(_KEPT) > 3:
+        while len(_KEPT) > 11:
             _KEPT.pop(next(iter(_KEPT)))
         _KEPT[name] = build()
     return _KEPT[name]

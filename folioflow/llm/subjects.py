@@ -17,6 +17,7 @@ of their id.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -29,16 +30,16 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import kept, map_columns, token
 from folioflow.llm.sentences import sentence_ends
-from folioflow.sources.tables import checkpointed, table
+from folioflow.sources.tables import table
 
 MAX_EXAMPLES = 50_000
 MAX_DOCUMENTS = 1_000
 #: Signs of a sampled document that are read, and the share of one subject from which on its sentences are examples.
 SAMPLE_SIGNS, CLEAR = 20_000, 0.75
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 SIZE = 16
-ROUNDS = 40
-STEP = 0.15
+ROUNDS = 30
+STEP = 0.2
 DECAY = 1e-5
 PARTS = 4
 #: A sentence of common words with one telling word has low logits in the average, and that word may belong to
@@ -247,34 +248,47 @@ class Model:
 Parameters = tuple[np.ndarray, np.ndarray, frozenset[str]]
 
 
-def _fit(data: DataFrame, names: list[str], known: frozenset[str], rounds: int) -> Parameters:
-    """Trains on (subject, text), a bounded sample in PARTS partitions; gradients are summed once a round."""
-    sc, n, name = data.sparkSession.sparkContext, len(names), token()
-    shared = sc.broadcast(known)
+def _fit(spark: SparkSession, examples: list[tuple[str, str]], names: list[str], rounds: int) -> Parameters:
+    """Trains on (subject, text), a bounded sample, in PARTS partitions whose gradients are summed once a round.
+
+    The examples are sent once.  Parameters travel as rows (those that training has touched), not as broadcasts,
+    of which every round would leave a file on every executor.
+    """
+    n, name, known = len(names), token(), known_words(t for _, t in examples)
+    sent = spark.sparkContext.broadcast((examples, known))
     kind = pa.schema([("t", pa.binary()), ("g", pa.binary()), ("o", pa.binary()), ("b", pa.binary()), ("k", pa.int64())])
 
-    def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> Iterator[tuple]:
-        sent = sc.broadcast((emb.astype(np.float32), out, bias))
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            texts, subjects = [], []
-            for batch in batches:
-                texts += batch.column("text").to_pylist()
-                subjects += batch.column("subject").to_pylist()
-            if not texts:
-                return
-            rows = kept(f"{name}:{hash(tuple(texts))}", lambda: example_rows(texts, subjects, names, shared.value))
-            if not len(rows.size):
-                return
-            touched, g, o, b, _ = gradient(rows, *sent.value)
-            yield pa.RecordBatch.from_pydict({"t": [touched.astype(np.int64).tobytes()], "g": [g.astype(np.float32).tobytes()], "o": [o.tobytes()], "b": [b.tobytes()], "k": [len(rows.size)]}, schema=kind)
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, blob in zip(batch.column("part").to_pylist(), batch.column("p").to_pylist()):
+                own = sent.value[0][i::PARTS]
+                rows = kept(f"{name}:{i}", lambda: example_rows([t for _, t in own], [s for s, _ in own], names, sent.value[1]))
+                if not len(rows.size):
+                    continue
+                active, values, out, bias = pickle.loads(blob)
+                emb = kept(f"{name}:start", lambda: start(n)[0].astype(np.float32)).copy()
+                emb[active] = values
+                touched, g, o, b, _ = gradient(rows, emb, out, bias)
+                yield pa.RecordBatch.from_pydict({"t": [touched.tobytes()], "g": [g.astype(np.float32).tobytes()], "o": [o.tobytes()], "b": [b.tobytes()], "k": [len(rows.size)]}, schema=kind)
+
+    active = np.zeros(0, np.int64)
 
+    def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> Iterator[tuple]:
+        nonlocal active
+        blob = pickle.dumps((active, emb[active].astype(np.float16), out, bias))
+        work = spark.createDataFrame(pa.table({"part": pa.array(range(PARTS), pa.int32()), "p": pa.array([blob] * PARTS, pa.binary())}))
+        seen = [active]
         # PARTS rows, each no larger than the parameters
-        for r in data.mapInArrow(part, "t binary, g binary, o binary, b binary, k bigint").collect():
-            yield np.frombuffer(r["t"], np.int64), np.frombuffer(r["g"], np.float32).reshape(-1, SIZE), np.frombuffer(r["o"]).reshape(SIZE, n), np.frombuffer(r["b"]), r["k"]
-        sent.unpersist()
+        for r in work.mapInArrow(part, "t binary, g binary, o binary, b binary, k bigint").collect():
+            touched = np.frombuffer(r["t"], np.int64)
+            seen.append(touched)
+            yield touched, np.frombuffer(r["g"], np.float32).reshape(-1, SIZE), np.frombuffer(r["o"]).reshape(SIZE, n), np.frombuffer(r["b"]), r["k"]
+        del work
+        active = np.unique(np.concatenate(seen))
 
-    return (*fit(gradients, n, rounds), known)
+    logits, bias = fit(gradients, n, rounds)
+    sent.destroy()
+    return logits, bias, known
 
 
 def _clear_documents(docs: DataFrame, names: list[str], parameters: Parameters) -> DataFrame:
@@ -299,19 +313,14 @@ def train(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> tuple[list[
     """(subjects, (logits of each bucket, biases, known words)), trained on subject_examples and clear documents."""
     names = sorted(r[0] for r in table(spark, sf_dir, "subjects").select("subject").where(F.col("subject").isNotNull()).distinct().collect())
     examples = table(spark, sf_dir, "subject_examples").where(F.col("text").isNotNull() & F.col("subject").isin(names))
-    bounded = examples.dropDuplicates(["example_id"]).orderBy(F.xxhash64("example_id"), "example_id").limit(MAX_EXAMPLES).select("subject", "text")
-    spread = lambda df: df.repartition(PARTS, F.xxhash64("text")).persist()
-    data = spread(bounded)
-    # short texts, bounded in number
-    texts = [r["text"] for r in data.select("text").collect()]
-    first = _fit(data, names, known_words(texts), rounds)
+    bounded = examples.dropDuplicates(["example_id"]).orderBy(F.xxhash64("example_id"), "example_id").limit(MAX_EXAMPLES)
+    # at most MAX_EXAMPLES short texts
+    data = sorted((r["subject"], r["text"]) for r in bounded.select("subject", "text").collect())
+    first = _fit(spark, data, names, rounds)
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
-    more = spread(data.unionByName(checkpointed(_clear_documents(docs, names, first))))
-    texts = [r["text"] for r in more.select("text").collect()]
-    second = _fit(more, names, known_words(texts), rounds)
-    data.unpersist()
-    more.unpersist()
-    return names, second
+    # the sentences of at most MAX_DOCUMENTS documents
+    more = sorted((r["subject"], r["text"]) for r in _clear_documents(docs, names, first).collect())
+    return names, _fit(spark, data + more, names, rounds)
 
 
 def document_subjects(texts: list[str | None], model: Model, names: list[str]) -> list[list[tuple[str, float]]]:
