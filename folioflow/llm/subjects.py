@@ -255,6 +255,8 @@ def _fit(spark: SparkSession, examples: list[tuple[str, str]], names: list[str],
     of which every round would leave a file on every executor.
     """
     n, name, known = len(names), token(), known_words(t for _, t in examples)
+    if not examples:
+        return np.zeros((BUCKETS, n), np.float32), np.full(n, -99, np.float32), known
     sent = spark.sparkContext.broadcast((examples, known))
     kind = pa.schema([("t", pa.binary()), ("g", pa.binary()), ("o", pa.binary()), ("b", pa.binary()), ("k", pa.int64())])
 
@@ -317,6 +319,8 @@ def train(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> tuple[list[
     # at most MAX_EXAMPLES short texts
     data = sorted((r["subject"], r["text"]) for r in bounded.select("subject", "text").collect())
     first = _fit(spark, data, names, rounds)
+    if not data:
+        return names, first
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
     # the sentences of at most MAX_DOCUMENTS documents
     more = sorted((r["subject"], r["text"]) for r in _clear_documents(docs, names, first).collect())
@@ -359,6 +363,8 @@ def document_subjects(texts: list[str | None], model: Model, names: list[str]) -
 def subject_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, subject, share): the share of a document's sentences about each subject, where above 0."""
     names, parameters = train(spark, sf_dir)
+    if not names:
+        return spark.createDataFrame([], "doc_id bigint, subject string, share double")
     sent, name = spark.sparkContext.broadcast(parameters), token()
 
     def score(c: dict[str, list], model: Model) -> dict[str, list]:
