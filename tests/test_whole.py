@@ -36,3 +36,17 @@ def test_embedded_holds_the_rows_of_the_sql(spark):
     columns = ("book", "block_no", "role", "text", "after_ms")
     got, part = run(spark, "src16_embedded", DATA, *columns), sql_rows("src16_embedded", *columns)
     assert part < set(got) and len(got) == len(set(got))
+
+
+def test_silence_of_every_piece(spark, tmp_path):
+    pauses = [(0, 0), (0, 50), (0, 150), (0, 199), (0, 200), (200, 250), (0, 650), (200, 800), (1, 5000), (7, 333)]
+    rows = [("b", i, "text", before, after) for i, (before, after) in enumerate(pauses)]
+    spark.createDataFrame(rows + rows[4:6], "book string, chunk_idx int, text string, before_ms int, after_ms int").write.parquet(str(tmp_path / "chunk_plan.parquet"))
+    got = run(spark, "arr04_silence", tmp_path, "book", "chunk_idx", "zeros")
+    assert sorted(got) == [("b", i, int(24000 * before / 1000) + int(24000 * after / 1000)) for i, (before, after) in enumerate(pauses)]
+
+
+def test_silence_holds_the_rows_of_the_sql(spark):
+    columns = ("book", "chunk_idx", "zeros")
+    got, part = run(spark, "arr04_silence", DATA, *columns), sql_rows("arr04_silence", *columns)
+    assert part < set(got) and len(got) == len(set(got))
