@@ -50,3 +50,18 @@ def test_silence_holds_the_rows_of_the_sql(spark):
     columns = ("book", "chunk_idx", "zeros")
     got, part = run(spark, "arr04_silence", DATA, *columns), sql_rows("arr04_silence", *columns)
     assert part < set(got) and len(got) == len(set(got))
+
+
+def test_stratified_reads_every_finished_piece(spark, tmp_path):
+    n, done = 23, [i for i in range(23) if i % 4 != 3 and not 11 <= i < 17] + [40]  # the third stratum is empty, 40 isn't in the plan
+    frames = {i: 1000 * i + (7 if i % 5 else 90_000) for i in done}
+    plan = [("b", i) for i in range(n)] + [("only", 0), ("only", 1)]
+    segments = [("b", i, f, 24000, i, i) for i, f in frames.items()] + [("b", 0, 1, 24000, -1, 0), ("only", 1, 500, 24000, 0, 0), ("only", 0, None, 24000, 0, 0)]
+    spark.createDataFrame(plan, "book string, chunk_idx int").write.parquet(str(tmp_path / "chunk_plan.parquet"))
+    spark.createDataFrame(segments, "book string, chunk_idx int, frames long, sr int, written_at long, loaded_at long").write.parquet(str(tmp_path / "segments.parquet"))
+    mean = lambda v: sum(v) / len(v)
+    inside = [i for i in frames if i < n]
+    cells = [(n * s // 4, n * (s + 1) // 4) for s in range(4)]
+    assert not [i for i in inside if cells[2][0] <= i < cells[2][1]]
+    want = sum(mean([frames[i] for i in inside if lo <= i < hi] or [frames[i] for i in inside]) * (hi - lo) for lo, hi in cells)
+    assert sorted(run(spark, "agg17_stratified", tmp_path, "book", "estimate")) == [("b", pytest.approx(want, abs=1e-3)), ("only", 1000.0)]
