@@ -9,8 +9,9 @@ edits, by the words beside them and by how common they are.  Page furniture
 
 The vocabulary holds the words whose share of all words is at least ``MIN_SHARE``,
 so it has at most 1 / MIN_SHARE words whatever the size of the corpus: that is the
-bound of what is broadcast.  Names and other rarer words are compared only with
-the words of their own book, by a join on (book, skeleton).
+bound of what is broadcast.  Names and other rarer words are compared with the words of
+their own book, by a join on (book, skeleton), and with all words of the corpus that
+occur ``MIN_COUNT`` times but are below the share, by a join on ``reading_key``.
 """
 
 from __future__ import annotations
@@ -188,6 +189,23 @@ def skeleton(word: str) -> str:
     return word.translate(_CLASS_OF)
 
 
+# What every rewriting of CONFUSIONS and CONFUSIONS_LONG leaves as it is, so the join on it is complete.
+_READING = str.maketrans({
+    "@": "a", "0": "o", "5": "s", "f": "s", "ſ": "s", "9": "g", "†": "t", "3": "e", "c": "e", "d": "ei", "w": "vv", "ñ": "si", "m": "iii",
+    **dict.fromkeys("l1|!r", "i"), **dict.fromkeys("nhbuü6é8ß", "ii"),
+})
+
+
+def reading_key(word: str) -> str:
+    """A key that a word shares with whatever any number of listed misreadings make of it."""
+    return word.translate(_READING)
+
+
+def reach(form: str) -> int:
+    """The number of misreadings allowed in a form."""
+    return 2 if len(form) > 4 or not form.isalpha() else 1
+
+
 def capitals(word: str, counts: dict[str, int]) -> float:
     """The share of a word's occurrences with a capital; they are counted under ^word."""
     return counts.get("^" + word, 0) / max(1, counts.get(word, 0))
@@ -221,7 +239,7 @@ class Scan:
         self.pairs = pairs or {}
 
     def verdict(self, tok: str) -> tuple[int, str]:
-        """0 sound, 1 misread, 2 unknown word that its book must tell; with the word itself."""
+        """0 sound, 1 misread, 2 unknown word that its book must tell, 3 unknown with a digit; with the word itself."""
         got = self.verdicts.get(tok)
         if got is None:
             if len(self.verdicts) > 500_000:
@@ -249,15 +267,33 @@ class Scan:
         for form in dict.fromkeys([core, bare.lstrip("!")]):  # a final ! may be a letter
             if form != core and bare.endswith("!") and not form[-1:] == "!":
                 continue
-            options = self.trie.candidates(form, 2 if len(form) > 4 or not form.isalpha() else 1)
+            options = self.trie.candidates(form, reach(form))
             if tok[0].isupper() and not tok.isupper():
                 options = [o for o in options if capitals(o[0], self.counts) >= LEAST_CAPITALS]
             if options:
                 return 1, form
         if any(ch.isdigit() for ch in core):
-            return 0, core
+            return 3, core
         return 2, core
 
+    def doubtful(self, tok: str) -> list[tuple[str, str, bool]]:
+        """(form, word, named) of a token, or its parts, that the vocabulary doesn't tell; named: only its first letter is a capital."""
+        code, word = self.verdict(tok)
+        if code == 1:
+            return []
+        bare = tok.strip(EDGE)
+        core = bare.rstrip("!")
+        if core.lower() in self.words or core.lower().rstrip("'’s") in self.words:
+            return []
+        parts = [x for x in re.split(r"[-‐‑]", core) if x]
+        if len(parts) > 1:
+            return [d for x in parts for d in self.doubtful(x)]
+        if code < 2:
+            return []
+        named = tok[0].isupper() and not tok.isupper()
+        forms = {word, bare.lower().lstrip("!")} if bare.endswith("!") else {word}  # a final ! may be a letter
+        return [(form, word, named) for form in forms]
+
     def hyphen(self, left: str, right: str) -> bool:
         """Whether left- / right is one word divided, not a compound at its own hyphen."""
         left, right = left.lower(), right.lower().rstrip("!'’")
@@ -301,8 +337,8 @@ def _folded(text: str) -> str:
     return fold_script(_INLINE.sub("", text))
 
 
-def examine(text: str, title: str, page: int | None, scan: Scan) -> tuple[set[str], set[str]]:
-    """(defects, unknown words) of one block."""
+def examine(text: str, title: str, page: int | None, scan: Scan) -> tuple[set[str], set[str], set[tuple[str, str, bool]]]:
+    """(defects, unknown words, doubtful forms) of one block."""
     text = _folded(text)
     defects: set[str] = set()
     lines = []
@@ -326,14 +362,15 @@ def examine(text: str, title: str, page: int | None, scan: Scan) -> tuple[set[st
                 lines[k] = lines[k][: m.start()]
                 lines[k + 1] = left + ("" if one else "-") + lines[k + 1].lstrip()
         k += 1
-    unknown = set()
+    unknown, doubtful = set(), set()
     for tok in set(TOKEN.findall(" ".join(lines))):
         code, word = scan.verdict(tok)
+        doubtful.update(scan.doubtful(tok))
         if code == 1:
             defects.add("glyph")
         elif code == 2:
             unknown.add(word)
-    return defects, unknown
+    return defects, unknown, doubtful
 
 
 def repair(text: str, title: str, page: int | None, scan: Scan, forms: dict[str, str] | None = None) -> str:
@@ -375,8 +412,8 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("book", "block_no", "source_page", "text").join(jobs, "book")
 
 
-def _counted(texts: DataFrame, pairs: bool) -> dict[str, int]:
-    """Words (or pairs of words) with a share of at least MIN_SHARE, collected: at most 1 / MIN_SHARE."""
+def _counted(texts: DataFrame, pairs: bool) -> tuple[dict[str, int], DataFrame, int]:
+    """Words (or pairs of words) with a share of at least MIN_SHARE, collected: at most 1 / MIN_SHARE; all of them; the least count."""
 
     def count(columns: dict[str, list]) -> dict[str, list]:
         counts: Counter = Counter()
@@ -403,15 +440,54 @@ def _counted(texts: DataFrame, pairs: bool) -> dict[str, int]:
     sums = checkpointed(map_columns(texts.select("text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     total = sums.where(F.col("word") == "").select("n").first()
     least = max(MIN_COUNT, math.ceil((total[0] if total else 0) * MIN_SHARE))
-    return {r[0]: r[1] for r in sums.where((F.col("word") != "") & (F.col("n") >= least)).collect()}
+    return {r[0]: r[1] for r in sums.where((F.col("word") != "") & (F.col("n") >= least)).collect()}, sums, least
 
 
 def _model(blocks: DataFrame, context: bool):
-    """A function that gives a worker its Scan; the vocabulary has at most 1 / MIN_SHARE words."""
-    words = cleaned_vocabulary(_counted(blocks, False))
-    pairs = _counted(blocks, True) if context else {}
+    """A function that gives a worker its Scan, the counts of all words and the vocabulary's least; it has at most 1 / MIN_SHARE words."""
+    counts, sums, least = _counted(blocks, False)
+    words = cleaned_vocabulary(counts)
+    pairs = _counted(blocks, True)[0] if context else {}
     sent, name = blocks.sparkSession.sparkContext.broadcast((words, pairs)), token()
-    return lambda: kept(name, lambda: Scan(*sent.value))
+    return lambda: kept(name, lambda: Scan(*sent.value)), sums, least
+
+
+def rare_misread(doubtful: DataFrame, sums: DataFrame, least: int, model) -> DataFrame:
+    """(word, base, named, right, edits, n): forms that are misreadings of a word with at least MIN_COUNT but fewer than ``least`` occurrences.
+
+    ``doubtful`` holds (word, base, named).  As in the vocabulary, a form with MIN_COUNT occurrences counts as a word
+    itself, unless the right one is MISREAD_RATIO times as frequent.  Every step is a join of distinct words.
+    """
+    plain = sums.where(~F.col("word").startswith("^"))
+    caps = sums.where(F.col("word").startswith("^")).select(F.expr("substring(word, 2)").alias("word"), F.col("n").alias("caps"))
+    some = plain.where((F.col("word") != "") & (F.col("n") >= MIN_COUNT) & (F.col("n") < least)).join(caps, "word", "left").select("word", "n", F.coalesce("caps", F.lit(0)).alias("caps"))
+
+    def judged(c: dict[str, list], scan: Scan) -> dict[str, list]:
+        # names are judged as such, so a common word without capitals doesn't claim them
+        rows = [(w, n, k, reading_key(w)) for w, n, k in zip(c["word"], c["n"], c["caps"]) if scan.verdict(w.capitalize() if 2 * k > n else w)[0] == 2]
+        return dict(zip(("right", "n", "caps", "key"), map(list, zip(*rows)))) if rows else {x: [] for x in ("right", "n", "caps", "key")}
+
+    def keyed(c: dict[str, list]) -> dict[str, list]:
+        return c | {"key": [reading_key(w) for w in c["word"]]}
+
+    def checked(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {x: [] for x in ("word", "base", "named", "right", "edits", "n", "own")}
+        for word, base, named, right, n, caps, own in zip(*(c[x] for x in ("word", "base", "named", "right", "n", "caps", "own"))):
+            if named and caps < LEAST_CAPITALS * n:
+                continue
+            if got := Trie({right: n}).candidates(word, reach(word)):
+                for k, v in zip(out, (word, base, named, right, got[0][1], n, own)):
+                    out[k].append(v)
+        return out
+
+    rights = checkpointed(map_columns(some, judged, "right string, n bigint, caps bigint, key string", model))
+    itself = rights.select(F.col("right").alias("word"), F.col("right").alias("base"), (2 * F.col("caps") > F.col("n")).alias("named"))
+    left = map_columns(doubtful.unionByName(itself).distinct(), keyed, "word string, base string, named boolean, key string")
+    owned = left.join(plain.select(F.col("word").alias("base"), F.col("n").alias("own")), "base", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    near = owned.join(rights, "key").where((F.col("base") != F.col("right")) & ((F.col("own") < MIN_COUNT) | (F.col("n") >= MISREAD_RATIO * F.col("own"))))
+    both = checkpointed(map_columns(near, checked, "word string, base string, named boolean, right string, edits int, n bigint, own bigint"))
+    wrong = both.where(F.col("own") >= MIN_COUNT).select(F.col("base").alias("right")).distinct()
+    return both.join(wrong, "right", "left_anti").select("word", "base", "named", "right", "edits", "n")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,32 +498,39 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     only drops the comparison of printed with stored page numbers.
     """
     blocks = scanned(spark, sf_dir)
-    model = _model(blocks, context=False)
+    model, sums, least = _model(blocks, context=False)
 
     def look(c: dict[str, list], scan: Scan) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("book", "block_no", "defect", "word", "skeleton")}
+        out: dict[str, list] = {k: [] for k in ("book", "block_no", "defect", "word", "skeleton", "named")}
         titles: dict = {}
         for book, no, page, text, title, pdf in zip(c["book"], c["block_no"], c["source_page"], c["text"], c["title"], c["pdf_path"]):
             if (t := titles.get(book)) is None:
                 t = titles[book] = title_of(title, pdf)
-            defects, unknown = examine(text, t, page, scan)
-            rows = [(d, None, None) for d in defects] + ([] if "glyph" in defects else [(None, w, skeleton(w)) for w in unknown])
+            defects, unknown, doubtful = examine(text, t, page, scan)
+            rows = [(d, None, None, None) for d in defects] + ([] if "glyph" in defects else [(None, w, skeleton(w), None) for w in unknown])
             # an unknown word counts for its book even where the block needs no verdict
             if "glyph" in defects:
-                rows += [("", w, skeleton(w)) for w in unknown]
-            for d, w, s in rows:
-                for k, v in zip(out, (book, no, d, w, s)):
+                rows += [("", w, skeleton(w), None) for w in unknown]
+            elif least > MIN_COUNT:
+                rows += [("?", form, base, named) for form, base, named in doubtful]
+            for d, w, s, named in rows:
+                for k, v in zip(out, (book, no, d, w, s, named)):
                     out[k].append(v)
         return out
 
-    seen = checkpointed(map_columns(blocks, look, "book string, block_no int, defect string, word string, skeleton string", model))
-    sure = seen.where(F.col("defect") != "").select("book", "block_no", "defect")
-    words = seen.where(F.col("word").isNotNull())
+    seen = checkpointed(map_columns(blocks, look, "book string, block_no int, defect string, word string, skeleton string, named boolean", model))
+    sure = seen.where(~F.col("defect").isin("", "?")).select("book", "block_no", "defect")
+    words = seen.where(F.col("word").isNotNull() & ~F.col("defect").eqNullSafe("?"))
     counts = words.groupBy("book", "skeleton", "word").agg(F.count("*").alias("n"))
     most = counts.groupBy("book", "skeleton").agg(F.max("n").alias("most"), F.count("*").alias("forms")).where(F.col("forms") > 1)
     misread = counts.join(most, ["book", "skeleton"]).where(F.col("most") >= BOOK_RATIO * F.col("n")).select("book", "word")
     by_book = words.where(F.col("defect").isNull()).join(misread, ["book", "word"], "left_semi").select("book", "block_no", F.lit("glyph").alias("defect"))
-    return sure.unionByName(by_book).distinct()
+    every = sure.unionByName(by_book)
+    if least > MIN_COUNT:  # else the vocabulary holds them all
+        doubtful = seen.where(F.col("defect") == "?").select("book", "block_no", "word", F.col("skeleton").alias("base"), "named")
+        misread = rare_misread(doubtful.select("word", "base", "named").distinct(), sums, least, model)
+        every = every.unionByName(doubtful.join(misread, ["word", "base", "named"], "left_semi").select("book", "block_no", F.lit("glyph").alias("defect")))
+    return every.distinct()
 
 
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -456,7 +539,7 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     Blank texts stay as they are apart from blanks; whole rows stored twice give one row.
     """
     blocks = scanned(spark, sf_dir)
-    model = _model(blocks, context=True)
+    model, _, _ = _model(blocks, context=True)
 
     def mend(c: dict[str, list], scan: Scan) -> dict[str, list]:
         texts = [repair(t, title_of(title, pdf), page, scan) for t, title, pdf, page in zip(c["text"], c["title"], c["pdf_path"], c["source_page"])]
