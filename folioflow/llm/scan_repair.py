@@ -2,7 +2,7 @@
 
 A vocabulary is counted over all scanned text and kept as a trie.  A word outside
 it is run as a Levenshtein automaton, whose edits are the misreadings of scanners
-(and, for repair, one free edit), over that trie: the walk visits only the nodes
+(and, for the repair of a word judged misread, one free edit), over that trie: the walk visits only the nodes
 that both accept, so every candidate is found.  Candidates are ranked by
 edits, by the words beside them and by how common they are.  Page furniture
 (page numbers, running headers) is cut, divided words are joined and lines are reflowed.
@@ -305,10 +305,13 @@ class Scan:
             return True
         return not self.trie.candidates(apart, 2)
 
-    def fix(self, tok: str, before: str, after: str) -> str:
-        """The best candidate for a misread token, by edits, neighbours and count."""
+    def fix(self, tok: str, before: str, after: str, forms: dict[tuple[str, bool], str] | None = None) -> str:
+        """The best candidate for a misread token, by edits, neighbours and count; else what ``forms`` has for (form, named)."""
         code, core = self.verdict(tok)
         if code != 1:
+            for form, _, named in self.doubtful(tok) if forms else ():
+                if (best := forms.get((form, named))) and (at := tok.lower().find(form)) >= 0:
+                    tok = _replaced(tok, at, form, best)
             return tok
         at = tok.lower().find(core)
         if at < 0:
@@ -323,8 +326,13 @@ class Scan:
                 return -4.0 * o[1] + math.log(o[2] / self.total) * 0.3 + math.log1p(pair)
 
             best = max(options, key=lambda o: (score(o), o[0]))[0]
-        cased = best.upper() if len(core) > 1 and tok[at : at + len(core)].isupper() else best.capitalize() if tok[at].isupper() else best
-        return tok[:at] + cased + tok[at + len(core) :]
+        return _replaced(tok, at, core, best)
+
+
+def _replaced(tok: str, at: int, core: str, best: str) -> str:
+    """``tok`` with ``best`` for ``core`` at ``at``, in its case."""
+    cased = best.upper() if len(core) > 1 and tok[at : at + len(core)].isupper() else best.capitalize() if tok[at].isupper() else best
+    return tok[:at] + cased + tok[at + len(core) :]
 
 
 _INLINE = re.compile(f"[{IGNORABLE_CHARS}](?!\\s*\\n)")
@@ -373,10 +381,10 @@ def examine(text: str, title: str, page: int | None, scan: Scan) -> tuple[set[st
     return defects, unknown, doubtful
 
 
-def repair(text: str, title: str, page: int | None, scan: Scan, forms: dict[str, str] | None = None) -> str:
+def repair(text: str, title: str, page: int | None, scan: Scan, forms: dict[tuple[str, bool], str] | None = None) -> str:
     """The text without furniture, with divided words joined, misreadings mended and lines reflowed.
 
-    Blank lines and lines that begin with a bullet, a number or a bar stay breaks.
+    ``forms`` has the right words of those (form, named) that the vocabulary doesn't tell.  Blank lines and lines that begin with a bullet, a number or a bar stay breaks.
     """
     paragraphs: list[str] = [""]
     for line in _folded(text).split("\n"):
@@ -398,8 +406,8 @@ def repair(text: str, title: str, page: int | None, scan: Scan, forms: dict[str,
         words = [p[a:b].lower() for a, b in toks]
         new, last = [], 0
         for k, (a, b) in enumerate(toks):
-            fixed = scan.fix(p[a:b], words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "")
-            new += [p[last:a], (forms or {}).get(fixed.lower().strip(EDGE), fixed) if forms else fixed]
+            fixed = scan.fix(p[a:b], words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "", forms)
+            new += [p[last:a], fixed]
             last = b
         out.append("".join(new) + p[last:])
     return "\n".join(out)
@@ -490,15 +498,11 @@ def rare_misread(doubtful: DataFrame, sums: DataFrame, least: int, model) -> Dat
     return both.join(wrong, "right", "left_anti").select("word", "base", "named", "right", "edits", "n")
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book, block_no, defect), one row per kind of defect of a block.
+def _seen(blocks: DataFrame, model, least: int, mending: bool) -> DataFrame:
+    """(book, block_no, defect, word, skeleton, named): defects; unknown words, whose defect is null or empty; doubtful forms, whose defect is ?.
 
-    Null and blank texts have no row; a block stored twice counts once; ties between
-    candidates don't matter here.  A null title is read from the file name, a null page
-    only drops the comparison of printed with stored page numbers.
+    For mending, the doubtful forms of every block, else of those without a sure misreading.
     """
-    blocks = scanned(spark, sf_dir)
-    model, sums, least = _model(blocks, context=False)
 
     def look(c: dict[str, list], scan: Scan) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("book", "block_no", "defect", "word", "skeleton", "named")}
@@ -511,19 +515,36 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
             # an unknown word counts for its book even where the block needs no verdict
             if "glyph" in defects:
                 rows += [("", w, skeleton(w), None) for w in unknown]
-            elif least > MIN_COUNT:
+            if mending or least > MIN_COUNT and "glyph" not in defects:
                 rows += [("?", form, base, named) for form, base, named in doubtful]
             for d, w, s, named in rows:
                 for k, v in zip(out, (book, no, d, w, s, named)):
                     out[k].append(v)
         return out
 
-    seen = checkpointed(map_columns(blocks, look, "book string, block_no int, defect string, word string, skeleton string, named boolean", model))
+    return checkpointed(map_columns(blocks, look, "book string, block_no int, defect string, word string, skeleton string, named boolean", model))
+
+
+def _book_misread(words: DataFrame) -> DataFrame:
+    """(book, word, right): unknown words that are misreadings of another of their book."""
+    counts = words.groupBy("book", "skeleton", "word").agg(F.count("*").alias("n"))
+    most = counts.groupBy("book", "skeleton").agg(F.max(F.struct("n", "word")).alias("most"), F.count("*").alias("forms")).where(F.col("forms") > 1)
+    return counts.join(most, ["book", "skeleton"]).where(F.col("most.n") >= BOOK_RATIO * F.col("n")).select("book", "word", F.col("most.word").alias("right"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, block_no, defect), one row per kind of defect of a block.
+
+    Null and blank texts have no row; a block stored twice counts once; ties between
+    candidates don't matter here.  A null title is read from the file name, a null page
+    only drops the comparison of printed with stored page numbers.
+    """
+    blocks = scanned(spark, sf_dir)
+    model, sums, least = _model(blocks, context=False)
+    seen = _seen(blocks, model, least, mending=False)
     sure = seen.where(~F.col("defect").isin("", "?")).select("book", "block_no", "defect")
     words = seen.where(F.col("word").isNotNull() & ~F.col("defect").eqNullSafe("?"))
-    counts = words.groupBy("book", "skeleton", "word").agg(F.count("*").alias("n"))
-    most = counts.groupBy("book", "skeleton").agg(F.max("n").alias("most"), F.count("*").alias("forms")).where(F.col("forms") > 1)
-    misread = counts.join(most, ["book", "skeleton"]).where(F.col("most") >= BOOK_RATIO * F.col("n")).select("book", "word")
+    misread = _book_misread(words)
     by_book = words.where(F.col("defect").isNull()).join(misread, ["book", "word"], "left_semi").select("book", "block_no", F.lit("glyph").alias("defect"))
     every = sure.unionByName(by_book)
     if least > MIN_COUNT:  # else the vocabulary holds them all
@@ -539,10 +560,23 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     Blank texts stay as they are apart from blanks; whole rows stored twice give one row.
     """
     blocks = scanned(spark, sf_dir)
-    model, _, _ = _model(blocks, context=True)
+    model, sums, least = _model(blocks, context=True)
+    seen = _seen(blocks, model, least, mending=True)
+    doubtful = seen.where(F.col("defect") == "?").select("book", "block_no", "word", F.col("skeleton").alias("base"), "named")
+    books = _book_misread(seen.where(F.col("word").isNotNull() & ~F.col("defect").eqNullSafe("?")))
+    right = doubtful.join(books.withColumnRenamed("word", "base"), ["book", "base"]).where(F.col("word") == F.col("base")).select("book", "block_no", "word", "named", "right", F.lit(0).alias("rank"))
+    if least > MIN_COUNT:
+        rare = rare_misread(doubtful.select("word", "base", "named").distinct(), sums, least, model)
+        best = rare.groupBy("word", "base", "named").agg(F.min(F.struct("edits", -F.col("n"), "right"))["right"].alias("right"))
+        right = right.unionByName(doubtful.join(best, ["word", "base", "named"]).select("book", "block_no", "word", "named", "right", F.lit(1).alias("rank")))
+    # the forms of one block; the word of its own book goes first
+    forms = right.groupBy("book", "block_no").agg(F.collect_set(F.struct("rank", "word", "named", "right")).alias("forms"))
 
     def mend(c: dict[str, list], scan: Scan) -> dict[str, list]:
-        texts = [repair(t, title_of(title, pdf), page, scan) for t, title, pdf, page in zip(c["text"], c["title"], c["pdf_path"], c["source_page"])]
+        texts = []
+        for t, title, pdf, page, rows in zip(c["text"], c["title"], c["pdf_path"], c["source_page"], c["forms"]):
+            own = {(r["word"], r["named"]): r["right"] for r in sorted(rows or (), key=lambda r: -r["rank"])}
+            texts.append(repair(t, title_of(title, pdf), page, scan, own))
         return {"book": c["book"], "block_no": c["block_no"], "text": texts}
 
-    return map_columns(blocks, mend, "book string, block_no int, text string", model).dropDuplicates(["book", "block_no"])
+    return map_columns(blocks.join(forms, ["book", "block_no"], "left"), mend, "book string, block_no int, text string", model).dropDuplicates(["book", "block_no"])

@@ -51,3 +51,28 @@ def test_lookup_is_complete(spark, monkeypatch):
     trie = scan_repair.Trie({w: 4 for w in words})
     want = {(f, c) for f in forms for c, *_ in trie.candidates(f, scan_repair.reach(f))}
     assert len(want) > 100 and {(f, w) for f, w in got if f in set(forms)} == want
+
+
+def test_repair_mends_what_is_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan_repair, "MIN_SHARE", 0.01)
+    own = [("d", i, f"{FILLER} Moldrath {FILLER}") for i in range(3)] + [("d", 3, f"{FILLER} ‘Mo1drath!’ and Molclrath, {FILLER}"), ("d", 4, None)]
+    at = tables(spark, tmp_path, corpus() + own)
+    got = {(r.book, r.block_no): r.text for r in scan_repair.repaired(spark, at).collect()}
+    rare = ["quondhal", "zarthmoel", "großvarn", "Vinumbra", "quondhal", "unseen"]
+    assert [got["b", i] for i in range(6)] == [f"{FILLER} {w} {FILLER}" for w in rare]
+    assert got["d", 3] == f"{FILLER} ‘Moldrath!’ and Moldrath, {FILLER}"
+    assert all(got[b, i] == t for b, i, t in corpus() if b in "ac")
+    assert len(got) == 19
+
+
+def test_repair_mends_names_of_the_own_book(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scan_repair, "MIN_SHARE", 0.05)
+    # three misreadings in one word are beyond the automaton, so the book alone tells
+    at = tables(spark, tmp_path, [("f", i, f"{FILLER} {w} {FILLER}") for i, w in enumerate(["Tadodedo"] * 4 + ["Taclocleclo"])])
+    assert [(r.block_no, r.defect) for r in scan_repair.found(spark, at).collect()] == [(4, "glyph")]
+    assert {r.text for r in scan_repair.repaired(spark, at).collect()} == {f"{FILLER} Tadodedo {FILLER}"}
+
+
+def test_repair_keeps_case_and_edges():
+    scan = scan_repair.Scan({w: 50 for w in FILLER.split()})
+    assert scan_repair.repair("The ‘quonclhal’ QUONCLHAL old", "t", None, scan, {("quonclhal", False): "quondhal"}) == "The ‘quondhal’ QUONDHAL old"
