@@ -34,8 +34,8 @@ from folioflow.sources.tables import table
 
 MAX_EXAMPLES = 50_000
 MAX_DOCUMENTS = 1_000
-#: Signs of a sampled document that are read, and the share of one subject from which on its sentences are examples.
-SAMPLE_SIGNS, CLEAR = 20_000, 0.75
+#: The share of one subject from which on the sentences of a sampled document are examples.
+CLEAR = 0.75
 BUCKETS = 1 << 15
 SIZE = 16
 ROUNDS = 30
@@ -294,8 +294,8 @@ def _fit(spark: SparkSession, examples: list[tuple[str, str]], names: list[str],
 
 
 def _clear_documents(docs: DataFrame, names: list[str], parameters: Parameters) -> DataFrame:
-    """(subject, text): the sentences of the sampled documents that are mostly about one subject."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS).select(F.substring("text", 1, SAMPLE_SIGNS).alias("text"))
+    """(subject, text): all sentences of the sampled documents that are mostly about one subject."""
+    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS).select("text")
     sent, name = docs.sparkSession.sparkContext.broadcast(parameters), token()
 
     def label(c: dict[str, list], model: Model) -> dict[str, list]:
