@@ -59,8 +59,8 @@ _NEXT_WORDS = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
 _IGNORE = re.compile(f"[{IGNORABLE_CHARS}]")
 _DOTTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\.[  ]?)+[^\W\d_]$")
 _SURE = 6.0
-#: Signs after a mark that are looked at, and doubtful marks that one sentence may hold.
-AHEAD, MAX_DOUBTFUL = 1000, 32
+#: Signs after a mark that are looked at.
+AHEAD = 1000
 
 
 def _evidence(line: str, start: int, end: int, cjk: bool) -> tuple[float, bool]:
@@ -152,7 +152,7 @@ def _evidence(line: str, start: int, end: int, cjk: bool) -> tuple[float, bool]:
 def _span_score(line: str, a: int, b: int, weak: bool) -> float:
     """How well line[a:b] makes a sentence by itself."""
     span = line[a:b]
-    words = span.split()
+    words = span.split(None, 5)
     score = 0.0
     if not words:
         return -9.0
@@ -164,7 +164,7 @@ def _span_score(line: str, a: int, b: int, weak: bool) -> float:
             score -= 3.0
         if first.lower() in OPENERS and len(words) <= 4:
             score -= 3.0
-    tail = words[-1].rstrip(".!?…").lower()
+    tail = span.rsplit(None, 1)[-1].rstrip(".!?…").lower()
     if tail in LINKS:
         score -= 2.0
     if span.count("(") > span.count(")"):
@@ -217,9 +217,12 @@ def _best(line: str, base: int, end: int, nodes: list[tuple[int, float, bool]])
     """The semi-Markov programme between two sure ends."""
     at = [(base, 0.0, False), *nodes, (end, 0.0, False)]
     best: list[tuple[float, int]] = [(0.0, -1)]
+    most = [0.0]  # the best score up to each node; a span's own score is never above 0, so what is below the bound can't win
     for j in range(1, len(at)):
         top, back = -1e18, 0
-        for i in range(j - 1, max(-1, j - 1 - MAX_DOUBTFUL), -1):
+        for i in range(j - 1, -1, -1):
+            if most[i] + at[j][1] <= top:
+                break
             start = at[i][0]
             while start < at[j][0] and line[start].isspace():
                 start += 1
@@ -227,6 +230,7 @@ def _best(line: str, base: int, end: int, nodes: list[tuple[int, float, bool]])
             if got > top:
                 top, back = got, i
         best.append((top, back))
+        most.append(max(most[-1], top))
     ends, j = [], len(at) - 1
     while j > 0:
         ends.append(at[j][0])
