@@ -1,15 +1,19 @@
 """Problem 9: the subject areas of each document.
 
 Words and subwords (letter n-grams) hash to buckets with an embedding each; a text is the
-average of its embeddings, and every subject has a logistic output of its own.  Training
-runs over the partitions of the labelled examples: in each round every partition computes the
-gradient of its rows from the same parameters, the gradients are summed and one
-step (Adam) is taken.  As average and output are linear, a trained model is one row of
-logits per bucket, a table of fixed size that is sent to the workers, which score
-every sentence of every document.
+average of its embeddings, and every subject has a logistic output of its own.  The labelled examples
+stay a partitioned table, one packed row a partition.  In each round every partition computes the gradient of its
+rows from the same parameters, the gradients are summed and one step (Adam) is taken.  As average and output are
+linear, a trained model is one row of logits per bucket, a table of fixed size that is sent to the workers, which
+score every sentence of every document.
+
+A sentence is about every subject that a logistic decision of its own gives at least one half, whatever the others get.  The
+decision reads the sentence's logit for the subject and how much of the rest of the document is about it, since a word
+may belong to several subjects; its three weights are the same for all subjects and are fitted on documents put together from
+the examples that training left out.
 
 The model is trained twice.  The few examples know few words, so the first model reads a sample of the documents, and
-the sentences of those that are mostly about one subject join the examples of the second.
+the sentences of those that are about one subject only join the examples of the second.
 
 Both are bounded samples: at most ``MAX_EXAMPLES`` examples and ``MAX_DOCUMENTS`` documents, those with the least hash
 of their id.
@@ -21,34 +25,31 @@ import pickle
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import kept, map_columns, token
 from folioflow.llm.sentences import sentence_ends
-from folioflow.sources.tables import table
+from folioflow.sources.tables import checkpointed, table
 
 MAX_EXAMPLES = 50_000
 MAX_DOCUMENTS = 1_000
-#: The share of one subject from which on the sentences of a sampled document are examples.
-CLEAR = 0.75
-BUCKETS = 1 << 15
+#: A sampled document gives examples if so much of it is about one subject, and less than ``OTHER`` about any other.
+CLEAR, OTHER = 0.5, 0.1
+BUCKETS = 1 << 16
 SIZE = 16
-ROUNDS = 30
+ROUNDS = 40
 STEP = 0.2
 DECAY = 1e-5
 PARTS = 4
-#: A sentence of common words with one telling word has low logits in the average, and that word may belong to
-#: several subjects.  So its document counts: CONTEXT times the log of the share of the document's certain sentences (best
-#: logit at least CERTAIN, and MARGIN above the next) is added to a subject's logit, and LOCAL for each
-#: certain one beside it.  SMOOTH is added to the counts.
-CERTAIN, MARGIN, CONTEXT, LOCAL, SMOOTH = 1.5, 1.0, 1.0, 0.7, 0.3
-#: A sentence is about the subjects within NEAR of its best score whose own logit is at least LEAST.
-LEAST, NEAR = -9.0, 0.3
+#: One example of so many is left out of training, for the weights of the decision.
+FOLDS = 5
+#: Documents put together to fit the weights of the decision, and what is added to a document's count of a subject.
+MADE, SMOOTH = 1500, 0.3
 #: A document is about a subject from this share of its sentences on.
 SHARE = 0.25
 
@@ -76,12 +77,6 @@ def is_name(word: str, known: frozenset[str]) -> bool:
     return word[0].isupper() and word.lower() not in known
 
 
-def known_words(texts: Iterable[str]) -> frozenset[str]:
-    """Words that at least two of the (bounded) examples hold."""
-    counts = Counter(w for t in texts for w in {x.lower() for x in _WORD.findall(t)})
-    return frozenset(w for w, n in counts.items() if n > 1)
-
-
 def text_buckets(text: str, known: frozenset[str], cache: dict[str, list[int]]) -> list[int]:
     """Buckets of all words but names; bucket 0 where nothing else is left."""
     out: list[int] = []
@@ -126,28 +121,21 @@ def parts_of(text: str) -> list[str]:
 class Rows:
     """Examples as flat bucket lists, for averaging."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray, weights: np.ndarray, known: frozenset[str]):
-        cache: dict[str, list[int]] = {}
-        lists = [text_buckets(t, known, cache) for t in texts]
-        self.flat = np.concatenate([np.array(x, np.int64) for x in lists]) if lists else np.zeros(0, np.int64)
-        self.size = np.array([len(x) for x in lists], np.int64)
+    def __init__(self, flat: np.ndarray, size: np.ndarray, labels: np.ndarray):
+        self.flat, self.size = flat.astype(np.int64), size.astype(np.int64)
         self.start = np.cumsum(self.size) - self.size
         order = np.argsort(self.flat, kind="stable")
-        self.owner = np.repeat(np.arange(len(lists)), self.size)[order]  # by bucket
+        self.owner = np.repeat(np.arange(len(size)), self.size)[order]  # by bucket
         self.touched, self.first = np.unique(self.flat[order], return_index=True)
-        self.labels, self.weights = labels, weights
+        self.labels = labels
 
 
-def gradient(rows: Rows, emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """(touched buckets, gradient of their embeddings, of the outputs, of the biases, loss)."""
+def gradient(rows: Rows, emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(touched buckets, gradient of their embeddings, of the outputs, of the biases)."""
     mean = np.add.reduceat(emb[rows.flat], rows.start, axis=0) / rows.size[:, None]
-    p = 1 / (1 + np.exp(-(mean @ out + bias)))
-    err = (p - rows.labels) * rows.weights[:, None]
-    eps = 1e-7
-    loss = -float((rows.weights[:, None] * (rows.labels * np.log(p + eps) + (1 - rows.labels) * np.log(1 - p + eps))).sum())
+    err = 1 / (1 + np.exp(-(mean @ out + bias))) - rows.labels
     back = (err @ out.T) / rows.size[:, None]
-    g = np.add.reduceat(back[rows.owner], rows.first, axis=0)
-    return rows.touched, g, mean.T @ err, err.sum(0), loss
+    return rows.touched, np.add.reduceat(back[rows.owner], rows.first, axis=0), mean.T @ err, err.sum(0)
 
 
 class Adam:
@@ -161,19 +149,24 @@ class Adam:
         x -= self.step * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def example_rows(texts: list[str], subjects: list[str], names: list[str], known: frozenset[str]) -> Rows:
-    """Each example whole, and each of its sentences under the same subject."""
-    out, labels, weights = [], [], []
-    for t, s in zip(texts, subjects):
+def example_lists(texts: list[str | None], subjects: list[str | None], out_of: list[bool], names: list[str], known: frozenset[str]) -> list[tuple[list[int], int, bool]]:
+    """(buckets, label, left out of training) of each example whole and of each of its sentences."""
+    out, cache = [], {}
+    for t, s, held in zip(texts, subjects, out_of):
         if not t or s not in names:
             continue
-        y = [float(s == n) for n in names]
+        k = names.index(s)
         sents = parts_of(t)
-        for x in sents:
-            out.append(x), labels.append(y), weights.append(1.0)
-        if len(sents) > 1:
-            out.append(t), labels.append(y), weights.append(1.0)
-    return Rows(out, np.array(labels).reshape(-1, len(names)), np.array(weights), known)
+        out += [(text_buckets(x, known, cache), k, held) for x in (sents + [t] if len(sents) > 1 else sents)]
+    return out
+
+
+def pack(lists: list[tuple[list[int], int]], n: int) -> Rows:
+    """Rows of (buckets, label)."""
+    labels = np.zeros((len(lists), n))
+    labels[np.arange(len(lists)), [k for _, k in lists]] = 1
+    flat = np.concatenate([np.array(x, np.int32) for x, _ in lists]) if lists else np.zeros(0, np.int32)
+    return Rows(flat, np.array([len(x) for x, _ in lists], np.int32), labels)
 
 
 def start(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,8 +195,8 @@ def fit(gradients, n: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray
 class Model:
     """Scores sentences; a word's logits are summed over its buckets once."""
 
-    def __init__(self, table: np.ndarray, bias: np.ndarray, known: frozenset[str]):
-        self.table, self.bias, self.known = table, bias, known
+    def __init__(self, table: np.ndarray, bias: np.ndarray, known: frozenset[str], weights: np.ndarray):
+        self.table, self.bias, self.known, self.weights = table, bias, known, weights
         self._clear()
 
     def _clear(self) -> None:
@@ -245,90 +238,174 @@ class Model:
         return out
 
 
-Parameters = tuple[np.ndarray, np.ndarray, frozenset[str]]
+Parameters = tuple[np.ndarray, np.ndarray, frozenset[str], np.ndarray]
 
 
-def _fit(spark: SparkSession, examples: list[tuple[str, str]], names: list[str], rounds: int) -> Parameters:
-    """Trains on (subject, text), a bounded sample, in PARTS partitions whose gradients are summed once a round.
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    The examples are sent once.  Parameters travel as rows (those that training has touched), not as broadcasts,
-    of which every round would leave a file on every executor.
+
+def around(logits: np.ndarray) -> np.ndarray:
+    """For each sentence of a document (rows) and each subject, the log of the subject's share of the other sentences."""
+    p = _logistic(logits)
+    return np.log((p.sum(0) - p + SMOOTH) / (len(p) - 1 + SMOOTH * p.shape[1]))
+
+
+def decision_weights(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights of (logit, ``around``, 1), by logistic regression over documents of one to three subjects put together from rows."""
+    rng = np.random.default_rng(9)
+    groups = [g for g in (np.flatnonzero(labels[:, k]) for k in range(labels.shape[1])) if len(g)]
+    x, y = [], []
+    for _ in range(MADE if groups else 0):
+        own = rng.choice(len(groups), size=min(int(rng.integers(1, 4)), len(groups)), replace=False)
+        picked = rng.choice(own, size=int(rng.integers(3, 13)), p=rng.dirichlet(np.full(len(own), 2.0)))
+        rows = np.array([rng.choice(groups[k]) for k in picked])
+        x.append(np.stack([logits[rows], around(logits[rows])], 2).reshape(-1, 2))
+        y.append(labels[rows].reshape(-1))
+    w = np.array([1.0, 0.0, 0.0])
+    if not x:
+        return w
+    z, true = np.column_stack([np.concatenate(x), np.ones(sum(map(len, x)))]), np.concatenate(y)
+    for _ in range(30):  # Newton's steps
+        p = _logistic(z @ w)
+        w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(3), z.T @ (true - p) - 1e-3 * w)
+    return w
+
+
+def _packed(examples: DataFrame, names: list[str], known: frozenset[str]) -> DataFrame:
+    """PARTS rows (k, part, flat, size, label, held): the examples (subject, text, held) of a bounded sample as buckets."""
+    sent, name = examples.sparkSession.sparkContext.broadcast(known), token()
+    kind = "k int, part int, flat binary, size binary, label binary, held binary"
+    arrow = pa.schema([("k", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in ("flat", "size", "label", "held"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rows = []
+        for b in batches:
+            rows += example_lists(b.column("text").to_pylist(), b.column("subject").to_pylist(), b.column("held").to_pylist(), names, kept(name, lambda: sent.value))
+        if rows:
+            flat = np.concatenate([np.array(x, np.int32) for x, _, _ in rows])
+            columns = [flat, np.array([len(x) for x, _, _ in rows], np.int32), np.array([k for _, k, _ in rows], np.int32), np.array([h for *_, h in rows], np.int8)]
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=arrow)
+
+    spread = examples.repartition(PARTS, F.xxhash64("text"))
+    return checkpointed(spread.mapInArrow(run, kind))
+
+
+def _unpacked(row: dict, n: int, held: bool) -> Rows:
+    flat, size, label = (np.frombuffer(row[x], np.int32) for x in ("flat", "size", "label"))
+    take = np.frombuffer(row["held"], np.int8).astype(bool) == held
+    labels = np.zeros((int(take.sum()), n))
+    labels[np.arange(len(labels)), label[take]] = 1
+    return Rows(flat[np.repeat(take, size)], size[take], labels)
+
+
+def _known(examples: DataFrame) -> frozenset[str]:
+    """Words that at least two of the examples hold: at most those of a bounded sample."""
+
+    def words(c: dict[str, list]) -> dict[str, list]:
+        out = Counter(w for t in c["text"] for w in {x.lower() for x in _WORD.findall(t)})
+        return {"word": list(out), "n": list(out.values())}
+
+    rows = map_columns(examples.select("text"), words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return frozenset(r[0] for r in rows.select("word").collect())
+
+
+def _fit(examples: DataFrame, names: list[str], rounds: int) -> Parameters:
+    """Trains on the partitions of (subject, text, held), a bounded sample.
+
+    Parameters travel as one row (those that training has touched), joined to the packed partitions; the
+    driver gets one gradient a partition, no larger than the parameters.
     """
-    n, name, known = len(names), token(), known_words(t for _, t in examples)
-    if not examples:
-        return np.zeros((BUCKETS, n), np.float32), np.full(n, -99, np.float32), known
-    sent = spark.sparkContext.broadcast((examples, known))
+    spark, n, name, known = examples.sparkSession, len(names), token(), _known(examples)
+    packed = _packed(examples, names, known)
     kind = pa.schema([("t", pa.binary()), ("g", pa.binary()), ("o", pa.binary()), ("b", pa.binary()), ("k", pa.int64())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, blob in zip(batch.column("part").to_pylist(), batch.column("p").to_pylist()):
-                own = sent.value[0][i::PARTS]
-                rows = kept(f"{name}:{i}", lambda: example_rows([t for _, t in own], [s for s, _ in own], names, sent.value[1]))
+            for row in batch.to_pylist():
+                rows = kept(f"{name}:{row['part']}", lambda: _unpacked(row, n, False))
                 if not len(rows.size):
                     continue
-                active, values, out, bias = pickle.loads(blob)
+                active, values, out, bias = pickle.loads(row["p"])
                 emb = kept(f"{name}:start", lambda: start(n)[0].astype(np.float32)).copy()
                 emb[active] = values
-                touched, g, o, b, _ = gradient(rows, emb, out, bias)
+                touched, g, o, b = gradient(rows, emb, out, bias)
                 yield pa.RecordBatch.from_pydict({"t": [touched.tobytes()], "g": [g.astype(np.float32).tobytes()], "o": [o.tobytes()], "b": [b.tobytes()], "k": [len(rows.size)]}, schema=kind)
 
     active = np.zeros(0, np.int64)
 
     def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> Iterator[tuple]:
         nonlocal active
-        blob = pickle.dumps((active, emb[active].astype(np.float16), out, bias))
-        work = spark.createDataFrame(pa.table({"part": pa.array(range(PARTS), pa.int32()), "p": pa.array([blob] * PARTS, pa.binary())}))
+        blob = pickle.dumps((active, emb[active].astype(np.float32), out, bias))
+        now = spark.createDataFrame(pa.table({"k": pa.array([0], pa.int32()), "p": pa.array([blob], pa.binary())}))
         seen = [active]
         # PARTS rows, each no larger than the parameters
-        for r in work.mapInArrow(part, "t binary, g binary, o binary, b binary, k bigint").collect():
+        for r in packed.join(F.broadcast(now), "k").mapInArrow(part, "t binary, g binary, o binary, b binary, k bigint").collect():
             touched = np.frombuffer(r["t"], np.int64)
             seen.append(touched)
             yield touched, np.frombuffer(r["g"], np.float32).reshape(-1, SIZE), np.frombuffer(r["o"]).reshape(SIZE, n), np.frombuffer(r["b"]), r["k"]
-        del work
         active = np.unique(np.concatenate(seen))
 
     logits, bias = fit(gradients, n, rounds)
+    sent = spark.sparkContext.broadcast((logits, bias))
+
+    def score(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"part": c["part"], "score": [], "label": []}
+        for i in range(len(c["part"])):
+            rows = _unpacked({x: v[i] for x, v in c.items()}, n, True)
+            scores = np.add.reduceat(sent.value[0][rows.flat], rows.start, axis=0) / rows.size[:, None] + sent.value[1] if len(rows.size) else np.zeros((0, n))
+            out["score"].append(scores.astype(np.float32).tobytes())
+            out["label"].append(rows.labels.astype(np.int8).tobytes())
+        return out
+
+    # the logits of the examples left out: a part of a bounded sample
+    held = sorted(map(tuple, map_columns(packed, score, "part int, score binary, label binary").collect()))
     sent.destroy()
-    return logits, bias, known
+    scores = np.concatenate([np.frombuffer(h[1], np.float32).reshape(-1, n) for h in held]).astype(float)
+    return logits, bias, known, decision_weights(scores, np.concatenate([np.frombuffer(h[2], np.int8).reshape(-1, n) for h in held]))
 
 
 def _clear_documents(docs: DataFrame, names: list[str], parameters: Parameters) -> DataFrame:
-    """(subject, text): all sentences of the sampled documents that are mostly about one subject."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS).select("text")
+    """(subject, text, held): all sentences of the sampled documents that are about one subject only; one document of FOLDS is held out."""
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCUMENTS)
+    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0).alias("held"))
     sent, name = docs.sparkSession.sparkContext.broadcast(parameters), token()
 
     def label(c: dict[str, list], model: Model) -> dict[str, list]:
-        out: dict[str, list] = {"subject": [], "text": []}
-        for t, found_ in zip(c["text"], document_subjects(c["text"], model, names)):
-            subject, share = max(found_, key=lambda x: (x[1], x[0]), default=(None, 0.0))
-            if share >= CLEAR:
+        out: dict[str, list] = {"subject": [], "text": [], "held": []}
+        for t, held, found_ in zip(c["text"], c["held"], document_subjects(c["text"], model, names)):
+            best = sorted(found_, key=lambda x: (-x[1], x[0]))
+            if best and best[0][1] >= CLEAR and all(x < OTHER for _, x in best[1:]):
                 own = parts_of(t)
-                out["subject"] += [subject] * len(own)
+                out["subject"] += [best[0][0]] * len(own)
                 out["text"] += own
+                out["held"] += [held] * len(own)
         return out
 
-    return map_columns(sample, label, "subject string, text string", lambda: kept(name, lambda: Model(*sent.value)))
+    return map_columns(sample, label, "subject string, text string, held boolean", lambda: kept(name, lambda: Model(*sent.value)))
 
 
 def train(spark: SparkSession, sf_dir: str, rounds: int = ROUNDS) -> tuple[list[str], Parameters]:
-    """(subjects, (logits of each bucket, biases, known words)), trained on subject_examples and clear documents."""
+    """(subjects, (logits of each bucket, biases, known words, weights of the decision)), trained on subject_examples and clear documents."""
     names = sorted(r[0] for r in table(spark, sf_dir, "subjects").select("subject").where(F.col("subject").isNotNull()).distinct().collect())
     examples = table(spark, sf_dir, "subject_examples").where(F.col("text").isNotNull() & F.col("subject").isin(names))
     bounded = examples.dropDuplicates(["example_id"]).orderBy(F.xxhash64("example_id"), "example_id").limit(MAX_EXAMPLES)
-    # at most MAX_EXAMPLES short texts
-    data = sorted((r["subject"], r["text"]) for r in bounded.select("subject", "text").collect())
-    first = _fit(spark, data, names, rounds)
-    if not data:
-        return names, first
+    # every FOLDS-th example of a subject is left out, so the first ones always train; a window over the bounded sample
+    nth = F.row_number().over(Window.partitionBy("subject").orderBy(F.xxhash64("example_id"), "example_id", "text"))
+    bounded = bounded.select("subject", "text", (nth % FOLDS == 0).alias("held"))
+    if not names or bounded.isEmpty():
+        return names, (np.zeros((BUCKETS, len(names)), np.float32), np.full(len(names), -99, np.float32), frozenset(), np.array([1.0, 0.0, 0.0]))
+    bounded = checkpointed(bounded)
+    first = _fit(bounded, names, rounds)
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
-    # the sentences of at most MAX_DOCUMENTS documents
-    more = sorted((r["subject"], r["text"]) for r in _clear_documents(docs, names, first).collect())
-    return names, _fit(spark, data + more, names, rounds)
+    more = checkpointed(_clear_documents(docs, names, first))
+    return names, _fit(bounded.unionByName(more), names, rounds)
 
 
 def document_subjects(texts: list[str | None], model: Model, names: list[str]) -> list[list[tuple[str, float]]]:
-    """For each text, (subject, share of its sentences) of all subjects of any sentence."""
+    """For each text, (subject, share of its sentences) of all subjects of any sentence; each subject is decided by itself."""
     sents: list[str] = []
     owner: list[int] = []
     for i, t in enumerate(texts):
@@ -338,23 +415,13 @@ def document_subjects(texts: list[str | None], model: Model, names: list[str]) -
     out: list[list[tuple[str, float]]] = [[] for _ in texts]
     if not sents:
         return out
-    logits = model.logits(sents)
-    own = np.array(owner)
-    order = np.sort(logits, axis=1)
-    certain = (order[:, -1] >= CERTAIN) & (order[:, -1] - order[:, -2] >= MARGIN) if logits.shape[1] > 1 else order[:, -1] >= CERTAIN
-    counts = np.full((len(texts), len(names)), SMOOTH)
-    np.add.at(counts, (own[certain], logits.argmax(1)[certain]), 1)
-    sure = np.zeros_like(logits)
-    sure[np.flatnonzero(certain), logits.argmax(1)[certain]] = 1
-    same = (own[1:] == own[:-1])[:, None]
-    beside = np.zeros_like(logits)
-    beside[1:] += np.where(same, sure[:-1], 0)
-    beside[:-1] += np.where(same, sure[1:], 0)
-    scores = logits + CONTEXT * np.log(counts / counts.sum(1, keepdims=True))[own] + LOCAL * beside
-    about = (logits >= LEAST) & (scores >= scores.max(1, keepdims=True) - NEAR)
-    total = np.bincount(own, minlength=len(texts))
+    logits, own = model.logits(sents).astype(float), np.array(owner)
+    edges = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+    rest = np.concatenate([around(logits[a:b]) for a, b in zip(edges, edges[1:])])
+    about = logits * model.weights[0] + rest * model.weights[1] + model.weights[2] >= 0
+    total = np.bincount(owner, minlength=len(texts))
     for k, name in enumerate(names):
-        hits = np.bincount(own, about[:, k], minlength=len(texts))
+        hits = np.bincount(owner, about[:, k], minlength=len(texts))
         for i in np.flatnonzero(hits):
             out[i].append((name, float(hits[i] / total[i])))
     return out

@@ -295,15 +295,22 @@ def test_subjects_held_out():
     random.Random(3).shuffle(rows)
     train, held = rows[:600], rows[600:]
     names = sorted({r["subject"] for r in rows})
-    known = subjects.known_words(r["text"] for r in train)
-    parts = [subjects.example_rows([r["text"] for r in train[i::3]], [r["subject"] for r in train[i::3]], names, known) for i in range(3)]
+    counts = {}
+    for r in train:
+        for w in {x.lower() for x in subjects._WORD.findall(r["text"])}:
+            counts[w] = counts.get(w, 0) + 1
+    known = frozenset(w for w, n in counts.items() if n > 1)
+    lists = [subjects.example_lists([r["text"] for r in train[i::3]], [r["subject"] for r in train[i::3]], [k % 5 == 4 for k in range(len(train[i::3]))], names, known) for i in range(3)]
+    parts = [subjects.pack([(x, k) for x, k, left in own if not left], len(names)) for own in lists]
 
     def gradients(*parameters):
         for p in parts:
-            *g, _ = subjects.gradient(p, *parameters)
-            yield *g, len(p.size)
+            yield *subjects.gradient(p, *parameters), len(p.size)
 
-    model = subjects.Model(*subjects.fit(gradients, len(names)), known)
+    table, bias = subjects.fit(gradients, len(names))
+    out = subjects.pack([(x, k) for own in lists for x, k, left in own if left], len(names))
+    scores = np.add.reduceat(table[out.flat], out.start, axis=0) / out.size[:, None] + bias
+    model = subjects.Model(table, bias, known, subjects.decision_weights(scores, out.labels))
     sents = [(s, r["subject"]) for r in held for s in subjects.parts_of(r["text"])]
     top = [names[k] for k in model.logits([s for s, _ in sents]).argmax(1)]
     assert np.mean([a == b for a, (_, b) in zip(top, sents)]) > 0.97

@@ -9,6 +9,6 @@ def test_sampled_documents_are_read_whole(spark):
     text = "\n\n".join(f"The clerk carried lantern number {i} through the old village." for i in range(600))
     assert len(text) > 30_000
     docs = spark.createDataFrame([("x", text)], "doc_id string, text string")
-    parameters = (np.zeros((subjects.BUCKETS, 1), np.float32), np.full(1, 9, np.float32), frozenset())
+    parameters = (np.zeros((subjects.BUCKETS, 1), np.float32), np.full(1, 9, np.float32), frozenset(), np.array([1.0, 0.0, 0.0]))
     got = [r["text"] for r in subjects._clear_documents(docs, ["trade"], parameters).collect()]
     assert got == subjects.parts_of(text) and "599" in got[-1]
