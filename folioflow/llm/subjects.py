@@ -2,10 +2,10 @@
 
 Words and subwords (letter n-grams) hash to buckets with an embedding each; a text is the
 average of its embeddings, and every subject has a logistic output of its own.  The labelled examples
-stay a partitioned table, one packed row a partition.  In each round every partition computes the gradient of its
-rows from the same parameters, the gradients are summed and one step (Adam) is taken.  As average and output are
-linear, a trained model is one row of logits per bucket, a table of fixed size that is sent to the workers, which
-score every sentence of every document.
+stay in PARTS partitions, which train together as one barrier stage: in each round every partition computes the
+gradient of its rows, all exchange their gradients, and each takes the same step (Adam) on the same sum.  A lost
+executor repeats the stage.  As average and output are linear, a trained model is one row of logits per bucket, a table of fixed
+size that is sent to the workers, which score every sentence of every document.
 
 A sentence is about every subject that a logistic decision of its own gives at least one half, whatever the others get.  The
 decision reads the sentence's logit for the subject and how much of the rest of the document is about it, since a word
@@ -21,11 +21,12 @@ of their id.
 
 from __future__ import annotations
 
-import pickle
+import os
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,7 @@ def gradient(rows: Rows, emb: np.ndarray, out: np.ndarray, bias: np.ndarray) ->
 
 class Adam:
     def __init__(self, shape: tuple[int, ...], step: float):
-        self.m, self.v, self.step, self.t = np.zeros(shape), np.zeros(shape), step, 0
+        self.m, self.v, self.step, self.t = np.zeros(shape, np.float32), np.zeros(shape, np.float32), step, 0
 
     def take(self, x: np.ndarray, g: np.ndarray) -> None:
         self.t += 1
@@ -171,7 +172,7 @@ def pack(lists: list[tuple[list[int], int]], n: int) -> Rows:
 
 def start(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(9)
-    return rng.uniform(-0.5 / SIZE, 0.5 / SIZE, (BUCKETS, SIZE)), rng.normal(0, 0.1, (SIZE, n)), np.full(n, -2.0)
+    return rng.uniform(-0.5 / SIZE, 0.5 / SIZE, (BUCKETS, SIZE)).astype(np.float32), rng.normal(0, 0.1, (SIZE, n)), np.full(n, -2.0)
 
 
 def fit(gradients, n: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -272,35 +273,6 @@ def decision_weights(logits: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
-def _packed(examples: DataFrame, names: list[str], known: frozenset[str]) -> DataFrame:
-    """PARTS rows (k, part, flat, size, label, held): the examples (subject, text, held) of a bounded sample as buckets."""
-    sent, name = examples.sparkSession.sparkContext.broadcast(known), token()
-    kind = "k int, part int, flat binary, size binary, label binary, held binary"
-    arrow = pa.schema([("k", pa.int32()), ("part", pa.int32()), *((x, pa.binary()) for x in ("flat", "size", "label", "held"))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        rows = []
-        for b in batches:
-            rows += example_lists(b.column("text").to_pylist(), b.column("subject").to_pylist(), b.column("held").to_pylist(), names, kept(name, lambda: sent.value))
-        if rows:
-            flat = np.concatenate([np.array(x, np.int32) for x, _, _ in rows])
-            columns = [flat, np.array([len(x) for x, _, _ in rows], np.int32), np.array([k for _, k, _ in rows], np.int32), np.array([h for *_, h in rows], np.int8)]
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], schema=arrow)
-
-    spread = examples.repartition(PARTS, F.xxhash64("text"))
-    return checkpointed(spread.mapInArrow(run, kind))
-
-
-def _unpacked(row: dict, n: int, held: bool) -> Rows:
-    flat, size, label = (np.frombuffer(row[x], np.int32) for x in ("flat", "size", "label"))
-    take = np.frombuffer(row["held"], np.int8).astype(bool) == held
-    labels = np.zeros((int(take.sum()), n))
-    labels[np.arange(len(labels)), label[take]] = 1
-    return Rows(flat[np.repeat(take, size)], size[take], labels)
-
-
 def _known(examples: DataFrame) -> frozenset[str]:
     """Words that at least two of the examples hold: at most those of a bounded sample."""
 
@@ -312,59 +284,78 @@ def _known(examples: DataFrame) -> frozenset[str]:
     return frozenset(r[0] for r in rows.select("word").collect())
 
 
+def _parts(spark: SparkSession) -> int:
+    """PARTS where a barrier stage of so many tasks can run, else 1: the sample is bounded, so one task can train on it."""
+    conf = spark.sparkContext.getConf()
+    if conf.get("spark.dynamicAllocation.enabled", "false") == "true" or spark.sparkContext.defaultParallelism < PARTS:
+        return 1
+    return PARTS
+
+
+class Exchange:
+    """Gives every task of a barrier stage what each of them sends, in order of the tasks; the first task passes it on."""
+
+    WAIT = 600  #: seconds for a task that sends nothing, after which the stage fails and is repeated
+
+    def __init__(self, task, key: bytes):
+        self.rank = task.partitionId()
+        host = task.getTaskInfos()[0].address.rsplit(":", 1)[0]
+        hub = Listener(("", 0), backlog=64, authkey=key) if self.rank == 0 else None
+        port = int(next(x for x in task.allGather(str(hub.address[1]) if hub else "") if x))
+        if hub:
+            others = [hub.accept() for _ in task.getTaskInfos()[1:]]
+            self.others = dict(sorted((self._got(c), c) for c in others))
+            hub.close()
+        else:
+            self.hub = Client((host, port), authkey=key)
+            self.hub.send(self.rank)
+
+    def _got(self, connection):
+        if not connection.poll(self.WAIT):
+            raise TimeoutError("a task of the stage sends nothing")
+        return connection.recv()
+
+    def exchange(self, own) -> list:
+        if self.rank:
+            self.hub.send(own)
+            return self._got(self.hub)
+        every = [own, *(self._got(c) for c in self.others.values())]
+        for c in self.others.values():
+            c.send(every)
+        return every
+
+
 def _fit(examples: DataFrame, names: list[str], rounds: int) -> Parameters:
-    """Trains on the partitions of (subject, text, held), a bounded sample.
+    """Trains on the partitions of (subject, text, held), a bounded sample; the driver gets the trained table and the logits of the examples left out."""
+    spark, n, parts, known, key = examples.sparkSession, len(names), _parts(examples.sparkSession), _known(examples), os.urandom(16)
+    sent = spark.sparkContext.broadcast(known)
+    kind = "part int, logits binary, bias binary, score binary, label binary"
+    arrow = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("logits", "bias", "score", "label"))])
 
-    Parameters travel as one row (those that training has touched), joined to the packed partitions; the
-    driver gets one gradient a partition, no larger than the parameters.
-    """
-    spark, n, name, known = examples.sparkSession, len(names), token(), _known(examples)
-    packed = _packed(examples, names, known)
-    kind = pa.schema([("t", pa.binary()), ("g", pa.binary()), ("o", pa.binary()), ("b", pa.binary()), ("k", pa.int64())])
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = kept(f"{name}:{row['part']}", lambda: _unpacked(row, n, False))
-                if not len(rows.size):
-                    continue
-                active, values, out, bias = pickle.loads(row["p"])
-                emb = kept(f"{name}:start", lambda: start(n)[0].astype(np.float32)).copy()
-                emb[active] = values
-                touched, g, o, b = gradient(rows, emb, out, bias)
-                yield pa.RecordBatch.from_pydict({"t": [touched.tobytes()], "g": [g.astype(np.float32).tobytes()], "o": [o.tobytes()], "b": [b.tobytes()], "k": [len(rows.size)]}, schema=kind)
-
-    active = np.zeros(0, np.int64)
-
-    def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray) -> Iterator[tuple]:
-        nonlocal active
-        blob = pickle.dumps((active, emb[active].astype(np.float32), out, bias))
-        now = spark.createDataFrame(pa.table({"k": pa.array([0], pa.int32()), "p": pa.array([blob], pa.binary())}))
-        seen = [active]
-        # PARTS rows, each no larger than the parameters
-        for r in packed.join(F.broadcast(now), "k").mapInArrow(part, "t binary, g binary, o binary, b binary, k bigint").collect():
-            touched = np.frombuffer(r["t"], np.int64)
-            seen.append(touched)
-            yield touched, np.frombuffer(r["g"], np.float32).reshape(-1, SIZE), np.frombuffer(r["o"]).reshape(SIZE, n), np.frombuffer(r["b"]), r["k"]
-        active = np.unique(np.concatenate(seen))
-
-    logits, bias = fit(gradients, n, rounds)
-    sent = spark.sparkContext.broadcast((logits, bias))
-
-    def score(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"part": c["part"], "score": [], "label": []}
-        for i in range(len(c["part"])):
-            rows = _unpacked({x: v[i] for x, v in c.items()}, n, True)
-            scores = np.add.reduceat(sent.value[0][rows.flat], rows.start, axis=0) / rows.size[:, None] + sent.value[1] if len(rows.size) else np.zeros((0, n))
-            out["score"].append(scores.astype(np.float32).tobytes())
-            out["label"].append(rows.labels.astype(np.int8).tobytes())
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext, TaskContext
+
+        lists = []
+        for b in batches:
+            lists += example_lists(b.column("text").to_pylist(), b.column("subject").to_pylist(), b.column("held").to_pylist(), names, sent.value)
+        rows, held = (pack([(x, k) for x, k, h in lists if h == left], n) for left in (False, True))
+        ring = Exchange(BarrierTaskContext.get(), key) if parts > 1 else None
+
+        def gradients(*parameters: np.ndarray) -> Iterator[tuple]:
+            own = (*gradient(rows, *parameters), len(rows.size)) if len(rows.size) else None
+            yield from (got for got in (ring.exchange(own) if ring else [own]) if got is not None)
+
+        logits, bias = fit(gradients, n, rounds)
+        score = np.add.reduceat(logits[held.flat], held.start, axis=0) / held.size[:, None] + bias if len(held.size) else np.zeros((0, n))
+        part = TaskContext.get().partitionId()
+        model = (logits.tobytes(), bias.tobytes()) if part == 0 else (None, None)
+        yield pa.RecordBatch.from_pylist([{"part": part, "logits": model[0], "bias": model[1], "score": score.astype(np.float32).tobytes(), "label": held.labels.astype(np.int8).tobytes()}], schema=arrow)
 
-    # the logits of the examples left out: a part of a bounded sample
-    held = sorted(map(tuple, map_columns(packed, score, "part int, score binary, label binary").collect()))
+    out = sorted(examples.repartition(parts, F.xxhash64("text")).mapInArrow(run, kind, barrier=parts > 1).collect(), key=lambda r: r["part"])
     sent.destroy()
-    scores = np.concatenate([np.frombuffer(h[1], np.float32).reshape(-1, n) for h in held]).astype(float)
-    return logits, bias, known, decision_weights(scores, np.concatenate([np.frombuffer(h[2], np.int8).reshape(-1, n) for h in held]))
+    scores = np.concatenate([np.frombuffer(r["score"], np.float32).reshape(-1, n) for r in out]).astype(float)
+    labels = np.concatenate([np.frombuffer(r["label"], np.int8).reshape(-1, n) for r in out])
+    return np.frombuffer(out[0]["logits"], np.float32).reshape(-1, n), np.frombuffer(out[0]["bias"], np.float32), known, decision_weights(scores, labels)
 
 
 def _clear_documents(docs: DataFrame, names: list[str], parameters: Parameters) -> DataFrame:
