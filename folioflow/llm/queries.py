@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_cleaned": repeats.cleaned,
     "p4_found": splitting.found,
     "p4_pieces": splitting.pieces,
+    "p4_rejoined": splitting.rejoined,
     "p5_found": lookalike.found,
     "p5_normalised": lookalike.normalised,
     "p6_found": quality.found,
@@ -33,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "p3_found": repeats.FOUND_SQL,
     "p3_cleaned": repeats.CLEANED_SQL,
     "p4_found": splitting.FOUND_SQL,
+    "p4_rejoined": splitting.REJOINED_SQL,
 }

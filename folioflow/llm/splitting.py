@@ -1,10 +1,11 @@
 """Problem 4: cutting oversized items at natural boundaries.
 
-A text (a column, or a file of any size) is handled in ranges.  Workers detect the
-boundaries of their range, reading a halo on both sides so that a boundary at an edge is
-seen whole; boundary tables are stitched in order of the ranges, lengths being summed
-as they pass; pieces are offsets, and each is read by its offsets.  No worker holds more than
-one range and the open piece.
+A text (a column, or a file of any size) is handled in ranges, and every oversized item goes the same way, whatever
+its size.  The edge of a range is moved to the next letter or digit, which no boundary mark can hold, so a
+mark is seen whole in one range: for that a worker reads a halo beyond its range, and more if the halo has no letter.  Workers
+detect the boundaries of ranges; boundary tables are stitched in order, lengths being summed as they pass;
+pieces are offsets, and each is cut out of the ranges it lies in.  No worker holds more than one range and the open piece
+(and, for a column, the row that the range comes from).
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql.types import StructType
 
 from folioflow.sources.tables import checkpointed, table
 
-#: Code points (of a column) or bytes (of a file) of one range, and of its halo.
-RANGE = 1 << 20
-HALO = 64
+#: Code points of one range of a column, bytes of one range of a file, and bytes that are read beyond it at first.
+RANGE = 1024
+RANGE_BYTES = 64 << 20
+HALO = 256
 
 # Boundaries by strength; each match ends where a cut may be made.
 _CLOSE = "”»›)\\]’'\"」』）】"
@@ -36,20 +38,26 @@ _STRENGTH = {"p": 4, "s": 3, "c": 2, "w": 1}
 _BOUND = re.compile("[\\u0300-\\u036f\\u0483-\\u0489\\u0591-\\u05bd\\u064b-\\u065f\\u0900-\\u0903\\u093a-\\u094f\\u0e31\\u0e34-\\u0e3a\\u0e47-\\u0e4e\\u200c\\u200d\\u20d0-\\u20ff\\u3099\\u309a\\ufe00-\\ufe0f]")
 
 
-def boundaries(text: str, at: int, size: int, lead: int) -> list[tuple[int, int]]:
-    """(place, strength) of the cuts in the ``size`` signs after the first ``lead`` of ``text``.
+#: A range may begin with such a sign: no boundary holds it.
+_PLAIN = re.compile(r"[^\W_]")
+
+
+def boundaries(text: str, at: int) -> list[tuple[int, int]]:
+    """(place, strength) of the cuts in a range that begins at place ``at`` of its item."""
+    return [(at + m.end(), _STRENGTH[m.lastgroup]) for m in _BOUNDARY.finditer(text)]
+
+
+def joined(text: str, at: int) -> list[int]:
+    """Places of a range that a cut may not stand at."""
+    return [at + m.start() for m in _BOUND.finditer(text)]
 
-    ``at`` is the place of those signs in the item; a match that begins in the halo
-    before them counts where it ends.
-    """
-    out = []
-    for m in _BOUNDARY.finditer(text):
-        end = m.end() - lead
-        if end > size:
-            break
-        if end > 0:
-            out.append((at + end, _STRENGTH[m.lastgroup]))
-    return out
+
+def edges(text: str, size: int) -> list[int]:
+    """Where the ranges of a text begin, and its end; every range begins with a letter or digit, but for the first."""
+    out, n = [0], len(text)
+    while (m := _PLAIN.search(text, out[-1] + size)) is not None:
+        out.append(m.start())
+    return [*out, n]
 
 
 class Stitch:
@@ -120,171 +128,179 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of one text, as one range."""
     if not text:
         return []
-    return list(Stitch(limit, overlap).add(boundaries(text, 0, len(text), 0), len(text), [m.start() for m in _BOUND.finditer(text)], True))
-
+    return list(Stitch(limit, overlap).add(boundaries(text, 0), len(text), joined(text, 0), True))
 
-def split_column(items: DataFrame, keys: list[str], text: str, limit: str, overlap: str) -> DataFrame:
-    """(keys, piece_no, start, end, text): pieces of every item longer than its limit.
 
-    ``limit`` and ``overlap`` are columns.  piece_no counts from 1; start and end are code
-    points of the item; without the repeated parts the pieces join to the item.  Items within the
-    limit, and null texts, have no pieces.  Items of one range are cut where they are; longer ones
-    are shuffled range by range.
-    """
-    long = items.where(F.length(text) > F.col(limit)).select(*keys, F.col(text).alias("_t"), F.col(limit).alias("_limit"), F.col(overlap).alias("_overlap"), F.length(text).cast("bigint").alias("_n"))
-    # the oversized items alone are written, so the table is read once for both ways below
-    long = checkpointed(long)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long.select(*keys).schema)
-    kind = f"{key_schema}, piece_no int, start bigint, end bigint, text string"
+def ranges_of(items: DataFrame, keys: list[str], text: str, limit: str, overlap: str) -> DataFrame:
+    """(keys, _limit, _overlap, _n, _r, _at, _part): the ranges of every item longer than its limit, spread over the workers and written once."""
+    long = items.where(F.length(text) > F.col(limit)).select(*keys, F.col(limit).cast("int").alias("_limit"), F.col(overlap).cast("int").alias("_overlap"), F.length(text).cast("bigint").alias("_n"), F.col(text).alias("_t"))
+    fixed = [*keys, "_limit", "_overlap", "_n"]
+    kind = StructType([*long.select(*fixed).schema.fields, *StructType.fromDDL("_r int, _at bigint, _part string").fields])
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, limits, overlaps = (batch.column(k).to_pylist() for k in ("_t", "_limit", "_overlap"))
-            take, no, a, b, out = [], [], [], [], []
-            for i, t in enumerate(texts):
-                for k, (s, e) in enumerate(split_text(t, limits[i], overlaps[i]), 1):
-                    take.append(i), no.append(k), a.append(s), b.append(e), out.append(t[s:e])
-            picked = batch.select(keys).take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.string())], [*keys, "piece_no", "start", "end", "text"])
-
-    one = long.where(F.col("_n") <= RANGE).mapInArrow(small, kind)
-    return one.unionByName(_split_ranges(long.where(F.col("_n") > RANGE), keys, key_schema))
-
-
-def _split_ranges(long: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
-    """Pieces of items longer than a range; their text is cut out again by offset."""
-    ranged = long.select("*", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / RANGE).cast("int"))).alias("_r"))
-    at = F.col("_r").cast("bigint") * RANGE
-    lead = F.least(at, F.lit(HALO))
-    part = F.expr(f"substring(_t, int(_r * {RANGE}L - least(_r * {RANGE}L, {HALO}L)) + 1, {RANGE + 2 * HALO})")
-    ranged = ranged.select(*keys, "_limit", "_overlap", "_n", "_r", at.alias("_at"), lead.alias("_lead"), part.alias("_p"))
-    mark_schema = f"{key_schema}, _limit int, _overlap int, _n bigint, _r int, _known bigint, _places array<bigint>, _strengths array<int>, _joined array<bigint>"
+            for i, t in enumerate(batch.column("_t").to_pylist()):
+                at = edges(t, RANGE)
+                for k in range(0, len(at) - 1, 4096):
+                    some = list(zip(at[k:], at[k + 1 : k + 4097]))
+                    picked = batch.select(fixed).take(pa.array([i] * len(some), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(range(k, k + len(some)), pa.int32()), pa.array([a for a, _ in some], pa.int64()), pa.array([t[a:b] for a, b in some], pa.string())], [*fixed, "_r", "_at", "_part"])
+
+    return checkpointed(long.mapInArrow(cut, kind).repartition(*keys, "_r"))
+
+
+def piece_table(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, piece_no, start, end, _from, _to): pieces by offset, with the first and last range they lie in."""
+    fixed = [*keys, "_limit", "_overlap", "_n", "_r"]
+    kind = StructType([*ranges.select(*fixed).schema.fields, *StructType.fromDDL("_at bigint, _known bigint, _places array<bigint>, _strengths array<int>, _joined array<bigint>").fields])
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in ("_n", "_at", "_lead", "_p")}
-            known, places, strengths, joined = [], [], [], []
-            for n, at, lead, p in zip(*cols.values()):
-                size = min(RANGE, n - at)
-                marks = boundaries(p, at, size, lead)
-                known.append(at + size), places.append([x for x, _ in marks]), strengths.append([s for _, s in marks])
-                joined.append([at + m.start() - lead for m in _BOUND.finditer(p) if 0 < m.start() - lead <= size])
-            fixed = batch.select([*keys, "_limit", "_overlap", "_n", "_r"]).columns
+            ats, parts = batch.column("_at").to_pylist(), batch.column("_part").to_pylist()
+            marks = [boundaries(p, a) for a, p in zip(ats, parts)]
             yield pa.RecordBatch.from_arrays(
-                [*fixed, pa.array(known, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(strengths, pa.list_(pa.int32())), pa.array(joined, pa.list_(pa.int64()))],
-                [*keys, "_limit", "_overlap", "_n", "_r", "_known", "_places", "_strengths", "_joined"],
-            )
+                [
+                    *batch.select(fixed).columns, pa.array(ats, pa.int64()), pa.array([a + len(p) for a, p in zip(ats, parts)], pa.int64()),
+                    pa.array([[x for x, _ in m] for m in marks], pa.list_(pa.int64())), pa.array([[x for _, x in m] for m in marks], pa.list_(pa.int32())), pa.array([joined(p, a) for a, p in zip(ats, parts)], pa.list_(pa.int64())),
+                ],
+                [*fixed, "_at", "_known", "_places", "_strengths", "_joined"],
+            )
 
-    marks = ranged.mapInArrow(detect, mark_schema).repartition(*keys).sortWithinPartitions(*keys, "_r")
+    out_kind = StructType([*ranges.select(*keys).schema.fields, *StructType.fromDDL("piece_no int, start bigint, end bigint, _from int, _to int").fields])
+    out_schema = to_arrow_schema(out_kind)
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fold, no = None, None, 0
+        now, fold, no, starts = None, None, 0, []
         for batch in batches:
+            rows = []
             for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
-                if key != now:
-                    now, fold, no = key, Stitch(row["_limit"], row["_overlap"]), 0
-                pieces = list(fold.add(list(zip(row["_places"], row["_strengths"])), row["_known"], row["_joined"], row["_known"] == row["_n"]))
-                if pieces:
-                    yield pa.RecordBatch.from_pylist([dict(zip(keys, key)) | {"piece_no": no + k, "start": s, "end": e} for k, (s, e) in enumerate(pieces, 1)], schema=out_schema)
-                    no += len(pieces)
+                if key != now or row["_r"] == 0:
+                    now, fold, no, starts = key, Stitch(row["_limit"], row["_overlap"]), 0, []
+                starts = [x for x in starts if x[1] > fold.start] + [(row["_at"], row["_known"], row["_r"])]
+                for s, e in fold.add(list(zip(row["_places"], row["_strengths"])), row["_known"], row["_joined"], row["_known"] == row["_n"]):
+                    no += 1
+                    first, last = (next(r for a, b, r in starts if a <= x < b) for x in (s, e - 1))
+                    rows.append(dict(zip(keys, key)) | {"piece_no": no, "start": s, "end": e, "_from": first, "_to": last})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+
+    return ranges.mapInArrow(detect, kind).repartition(*keys).sortWithinPartitions(*keys, "_r").mapInArrow(stitch, out_kind)
 
-    out_kind = f"{key_schema}, piece_no int, start bigint, end bigint"
-    out_schema = to_arrow_schema(StructType.fromDDL(out_kind))
-    pieces = marks.mapInArrow(stitch, out_kind)
-    return pieces.join(long.select(*keys, "_t"), keys).select(*keys, "piece_no", "start", "end", F.expr("substring(_t, int(start) + 1, int(end - start))").alias("text"))
 
+def split_column(items: DataFrame, keys: list[str], text: str, limit: str, overlap: str) -> DataFrame:
+    """(keys, piece_no, start, end, text): pieces of every item longer than its limit; keys are unique.
 
-def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, range_bytes: int = 64 << 20) -> DataFrame:
+    ``limit`` and ``overlap`` are columns.  piece_no counts from 1; start and end are code
+    points of the item; without the repeated parts the pieces join to the item.  Items within the
+    limit, and null texts, have no pieces.  A piece is put together from the ranges it lies in.
+    """
+    ranges = ranges_of(items, keys, text, limit, overlap)
+    pieces = piece_table(ranges, keys).withColumn("_r", F.explode(F.sequence("_from", "_to"))).alias("p")
+    parts = ranges.select(*keys, "_r", "_at", "_part").alias("r")
+    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    both = pieces.join(parts, [*on, F.col("p._r") == F.col("r._r")]).select(*(F.col(f"p.{k}") for k in (*keys, "piece_no", "start", "end", "_from", "_to", "_r")), "_at", "_part")
+    inside = F.expr("substring(_part, int(greatest(start - _at, 0L)) + 1, int(end - greatest(start, _at)))")
+    one = both.where("_from = _to").select(*keys, "piece_no", "start", "end", inside.alias("text"))
+    several = both.where("_from < _to").groupBy(*keys, "piece_no", "start", "end").agg(F.array_sort(F.collect_list(F.struct("_r", inside.alias("x")))).alias("a"))
+    return one.unionByName(several.select(*keys, "piece_no", "start", "end", F.array_join(F.col("a.x"), "").alias("text")))
+
+
+def _decode(data: bytes) -> str:
+    """UTF-8, with every byte that isn't as one sign, so that signs and bytes can be counted against each other."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _bytes_of(text: str) -> int:
+    return len(text.encode("utf-8", "surrogateescape"))
+
+
+def _edge(f, nominal: int, size: int) -> int:
+    """The byte of the first letter or digit at or after ``nominal``, or the size: the same for whoever looks."""
+    if nominal <= 0:
+        return 0
+    halo = HALO
+    while nominal < size:
+        f.seek(nominal)
+        data = f.read(halo)
+        skip = next((i for i, b in enumerate(data) if b & 0xC0 != 0x80), len(data))
+        # a sign that the halo cuts is left for the longer look
+        text = _decode(data[skip:])
+        for m in _PLAIN.finditer(text):
+            return nominal + skip + _bytes_of(text[: m.start()])
+        if nominal + halo >= size:
+            return size
+        halo *= 4
+    return size
+
+
+def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, piece_no, start, end, text) of UTF-8 files of any size on storage all workers see.
 
-    start and end are bytes.  Bytes that aren't UTF-8 are read as U+FFFD.  Every worker reads
-    only its range and halo, then only the pieces it emits.
+    The limit and the overlap are signs, start and end are bytes.  A byte that isn't UTF-8 counts as one sign and reads as U+FFFD.
+    Every worker reads only its range and halo, then only the ranges of the pieces it emits.
     """
-    ranges = [(p, k, range_bytes, os.path.getsize(p)) for p in paths for k in range(max(1, -(-os.path.getsize(p) // range_bytes)))]
-    if not ranges:
+    sizes = [(p, os.path.getsize(p)) for p in dict.fromkeys(paths)]
+    work = [(p, k, n) for p, n in sizes for k in range(-(-n // range_bytes))]
+    if not work:
         return spark.createDataFrame([], "path string, piece_no int, start bigint, end bigint, text string")
-    df = spark.createDataFrame(ranges, "path string, r int, size bigint, n bigint").repartition(len(ranges))
-
-    def text_of(path: str, a: int, b: int) -> tuple[int, str]:
-        """(first byte, text): widened to whole characters on both sides."""
-        with open(path, "rb") as f:
-            f.seek(max(0, a - 3))
-            data = f.read(b - max(0, a - 3) + 3)
-        skip = a - max(0, a - 3)
-        while skip and data[skip : skip + 1] and data[skip] & 0xC0 == 0x80:
-            skip -= 1
-        end = min(len(data), b - max(0, a - 3))
-        while end < len(data) and data[end] & 0xC0 == 0x80:
-            end += 1
-        return max(0, a - 3) + skip, data[skip:end].decode("utf-8", "replace")
+    df = spark.createDataFrame(work, "path string, r int, n bigint").repartition(min(len(work), 10_000), "path", "r")
+    mark_kind = StructType.fromDDL("path string, r int, last boolean, first_byte bigint, end_byte bigint, signs bigint, places array<bigint>, strengths array<int>, joined array<bigint>")
+    mark_arrow = to_arrow_schema(mark_kind)
 
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a, b, n = row["r"] * row["size"], min((row["r"] + 1) * row["size"], row["n"]), row["n"]
-                first, text = text_of(row["path"], max(0, a - HALO * 4), min(n, b + HALO * 4))
-                places, strengths, letters, byte, last = [], [], [], first, 0
-                sizes = text.encode("utf-8", "replace")
-                exact = len(sizes) == len(sizes.decode("utf-8", "replace").encode("utf-8"))
-                chars = 0
-                for m in _BOUNDARY.finditer(text) if exact else ():
-                    byte += len(text[last : m.end()].encode("utf-8"))
-                    chars += m.end() - last
-                    last = m.end()
-                    if a < byte <= b:
-                        places.append(byte), strengths.append(_STRENGTH[m.lastgroup]), letters.append(chars)
-                lead = len(text_of(row["path"], max(0, a - HALO * 4), a)[1]) if a else 0
-                whole = len(text_of(row["path"], a, b)[1])
-                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "r": [row["r"]], "n": [n], "last": [b >= n], "chars": pa.array([whole], pa.int64()), "known": pa.array([b], pa.int64()), "places": pa.array([places], pa.list_(pa.int64())), "strengths": pa.array([strengths], pa.list_(pa.int32())), "letters": pa.array([[x - lead for x in letters]], pa.list_(pa.int64()))}, schema=mark_arrow)
-
-    mark_kind = "path string, r int, n bigint, last boolean, chars bigint, known bigint, places array<bigint>, strengths array<int>, letters array<bigint>"
-    mark_arrow = to_arrow_schema(StructType.fromDDL(mark_kind))
-    piece_kind = "path string, piece_no int, start bigint, end bigint"
-    piece_arrow = to_arrow_schema(StructType.fromDDL(piece_kind))
-    text_arrow = to_arrow_schema(StructType.fromDDL(piece_kind + ", text string"))
+                with open(row["path"], "rb") as f:
+                    a, b = (_edge(f, k * range_bytes, row["n"]) for k in (row["r"], row["r"] + 1))
+                    f.seek(a)
+                    text = _decode(f.read(b - a)) if b > a else ""
+                marks = boundaries(text, 0)
+                out = {"path": row["path"], "r": row["r"], "last": (row["r"] + 1) * range_bytes >= row["n"], "first_byte": a, "end_byte": b, "signs": len(text)}
+                yield pa.RecordBatch.from_pylist([out | {"places": [x for x, _ in marks], "strengths": [x for _, x in marks], "joined": joined(text, 0)}], schema=mark_arrow)
+
+    piece_kind = StructType.fromDDL("path string, piece_no int, r int, first_byte bigint, end_byte bigint, skip bigint, size bigint")
+    piece_arrow = to_arrow_schema(piece_kind)
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fold, no, base, byte_of = None, None, 0, 0, {}
+        now, fold, no, base, open_ranges = None, None, 0, 0, []
         for batch in batches:
+            rows = []
             for row in batch.to_pylist():
                 if row["path"] != now:
-                    now, fold, no, base, byte_of = row["path"], Stitch(limit, overlap), 0, 0, {0: 0}
-                marks = [(base + c, s) for c, s in zip(row["letters"], row["strengths"])]
-                byte_of |= {base + c: p for c, p in zip(row["letters"], row["places"])}
-                base += row["chars"]
-                byte_of[base] = row["known"]
-                pieces = list(fold.add(marks, base, [], row["last"]))
-                rows = []
-                for a, b in pieces:
+                    now, fold, no, base, open_ranges = row["path"], Stitch(limit, overlap), 0, 0, []
+                # prefix sum of the lengths: a range's signs begin at ``base``
+                open_ranges = [x for x in open_ranges if x[1] > fold.start] + [(base, base + row["signs"], row["r"], row["first_byte"], row["end_byte"])]
+                marks = [(base + c, s) for c, s in zip(row["places"], row["strengths"])]
+                base += row["signs"]
+                for s, e in fold.add(marks, base, [base - row["signs"] + c for c in row["joined"]], row["last"]):
                     no += 1
-                    rows.append({"path": now, "piece_no": no, "start": _byte(byte_of, a, now), "end": _byte(byte_of, b, now)})
-                byte_of = {c: p for c, p in byte_of.items() if c >= fold.start - 1 or c == base} | {max(c for c in byte_of if c <= fold.start): byte_of[max(c for c in byte_of if c <= fold.start)]}
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=piece_arrow)
+                    a, _, r, first, end = next(x for x in open_ranges if x[0] <= s < x[1])
+                    rows.append({"path": now, "piece_no": no, "r": r, "first_byte": first, "end_byte": end, "skip": s - a, "size": e - s})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=piece_arrow)
+
+    out_kind = StructType.fromDDL("path string, piece_no int, start bigint, end bigint, text string")
+    out_arrow = to_arrow_schema(out_kind)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text, at, byte = None, "", 0, 0
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                with open(row["path"], "rb") as f:
-                    f.seek(row["start"])
-                    row["text"] = f.read(row["end"] - row["start"]).decode("utf-8", "replace")
-            yield pa.RecordBatch.from_pylist(rows, schema=text_arrow)
+            rows = []
+            for row in batch.to_pylist():
+                if (row["path"], row["r"]) != now:
+                    now, at, byte = (row["path"], row["r"]), 0, row["first_byte"]
+                    with open(row["path"], "rb") as f:
+                        f.seek(byte)
+                        text = _decode(f.read(row["end_byte"] - byte + 4 * limit))
+                # pieces of a range come in order, so bytes are counted from the one before
+                byte, at = byte + _bytes_of(text[at : row["skip"]]), row["skip"]
+                own = text[at : at + row["size"]]
+                rows.append({"path": row["path"], "piece_no": row["piece_no"], "start": byte, "end": byte + _bytes_of(own), "text": re.sub("[\udc80-\udcff]", "\ufffd", own)})
+            yield pa.RecordBatch.from_pylist(rows, schema=out_arrow)
 
     marks = df.mapInArrow(detect, mark_kind).repartition("path").sortWithinPartitions("path", "r")
-    return marks.mapInArrow(stitch, piece_kind).repartition("path", "piece_no").mapInArrow(emit, piece_kind + ", text string")
-
-
-def _byte(byte_of: dict[int, int], place: int, path: str) -> int:
-    """The byte of a code point, from the nearest known one before it."""
-    if place in byte_of:
-        return byte_of[place]
-    near = max(c for c in byte_of if c <= place)
-    with open(path, "rb") as f:
-        f.seek(byte_of[near])
-        text = f.read((place - near) * 4 + 4).decode("utf-8", "replace")
-    return byte_of[near] + len(text[: place - near].encode("utf-8"))
+    return marks.mapInArrow(stitch, piece_kind).repartition("path", "r").sortWithinPartitions("path", "r", "piece_no").mapInArrow(emit, out_kind)
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,8 +326,17 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_table, book, item_no): items that came out as more than one piece; null texts have no row."""
     keys = ["item_table", "book", "item_no"]
-    cut = split_column(_items(spark, sf_dir), keys, "text", "max_chars", "overlap_chars")
-    return cut.where(F.col("piece_no") == 2).select(*keys).distinct()
+    items = _items(spark, sf_dir).where(F.length("text") > F.col("max_chars")).dropDuplicates(keys)
+    return piece_table(ranges_of(items, keys, "text", "max_chars", "overlap_chars"), keys).where(F.col("piece_no") == 2).select(*keys)
+
+
+def rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_table, book, item_no, text): every oversized item put together again from its pieces without their repeated parts."""
+    keys = ["item_table", "book", "item_no"]
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "text")))
+    rows = pieces(spark, sf_dir).groupBy(*keys).agg(parts.alias("a"))
+    new = F.expr("transform(a, (x, i) -> if(i = 0, x.text, substring(x.text, int(a[i - 1].end - x.start) + 1, int(x.end - a[i - 1].end))))")
+    return rows.select(*keys, F.array_join(new, "").alias("text"))
 
 
 FOUND_SQL = """
@@ -321,3 +346,11 @@ UNION ALL
 SELECT DISTINCT 'chunk_plan', book, chunk_idx FROM chunk_plan
 WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_table = 'chunk_plan')
 """
+
+REJOINED_SQL = """
+SELECT DISTINCT 'blocks' AS item_table, book, block_no AS item_no, text FROM blocks
+WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_table = 'blocks')
+UNION ALL
+SELECT DISTINCT 'chunk_plan', book, chunk_idx, text FROM chunk_plan
+WHERE length(text) > (SELECT max_chars FROM split_limits WHERE item_table = 'chunk_plan')
+"""

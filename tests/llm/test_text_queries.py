@@ -110,19 +110,62 @@ def test_same_as_sql(spark, name):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
+LONG = "Hello there, this is a sentence. And another one; yes.\n" * 200 + "日本語の文です。次の文。" * 50 + " " * 700 + "é" * 300 + "." * 300 + "\n \n" * 90 + "end"
+
+
 def test_ranges_give_the_same_pieces(spark, tmp_path, monkeypatch):
     from folioflow.llm import splitting
 
-    text = "Hello there, this is a sentence. And another one; yes.\n" * 200 + "日本語の文です。次の文。" * 50
-    df = spark.createDataFrame([(1, text, 100, 10), (2, "x" * 950, 100, 10), (3, None, 100, 10)], "k int, text string, l int, o int")
+    df = spark.createDataFrame([(1, LONG, 100, 10), (2, "x" * 950, 100, 10), (3, None, 100, 10)], "k int, text string, l int, o int")
     pieces = lambda: sorted(map(tuple, splitting.split_column(df, ["k"], "text", "l", "o").collect()))
-    one = pieces()
-    monkeypatch.setattr(splitting, "RANGE", 997)
-    assert pieces() == one
+    one = [(k, no, a, b, t[a:b]) for k, t in ((1, LONG), (2, "x" * 950)) for no, (a, b) in enumerate(splitting.split_text(t, 100, 10), 1)]
+    for size in (splitting.RANGE, 997, 61):
+        monkeypatch.setattr(splitting, "RANGE", size)
+        assert pieces() == one
     f = tmp_path / "big.txt"
-    f.write_text(text, encoding="utf-8")
-    cut = sorted(map(tuple, splitting.split_files(spark, [str(f)], 100, 10, range_bytes=4096).collect()), key=lambda r: r[1])
-    assert [r[4] for r in cut] == [r[4] for r in one if r[0] == 1]
+    f.write_text(LONG, encoding="utf-8")
+    for size in (4096, 1001, 64):
+        cut = sorted(map(tuple, splitting.split_files(spark, [str(f)], 100, 10, range_bytes=size).collect()), key=lambda r: r[1])
+        assert [r[4] for r in cut] == [r[4] for r in one if r[0] == 1]
+
+
+@pytest.mark.parametrize("size", [1000, 998, 37, 1 << 20])
+def test_files_without_stops_and_with_other_bytes(spark, tmp_path, size):
+    from folioflow.llm import splitting
+
+    rng = __import__("random").Random(3)
+    whole = {"zh": ("汉" * 4000).encode(), "mixed": bytes(rng.choice([32, 65, 46, 0xC3, 0xA9, 0xE6, 0xB1, 0x89, 0xFF, 0x80]) for _ in range(5000)), "none": b"", "blank": b" " * 3000}
+    for name, data in whole.items():
+        (tmp_path / name).write_bytes(data)
+    rows = splitting.split_files(spark, [str(tmp_path / n) for n in whole], 100, 10, range_bytes=size).collect()
+    for name, data in whole.items():
+        own = sorted((r for r in rows if r["path"].endswith(name)), key=lambda r: r["piece_no"])
+        joined, last = b"", 0
+        for r in own:
+            assert 0 < len(r["text"]) <= 100 and last >= r["start"] and r["end"] > last
+            assert r["text"].count("\ufffd") == sum("\udc80" <= c <= "\udcff" for c in data[r["start"] : r["end"]].decode("utf-8", "surrogateescape"))
+            joined += data[last : r["end"]]
+            last = r["end"]
+        assert joined == data
+        text = data.decode("utf-8", "surrogateescape")
+        assert [len(r["text"]) for r in own] == [b - a for a, b in splitting.split_text(text, 100, 10)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_the_stitching_decides(spark, monkeypatch):
+    """Items of the tables lie in several ranges, and without the stitching the queries have no rows."""
+    from folioflow.llm import splitting
+
+    keys = ["item_table", "book", "item_no"]
+    ranges = splitting.ranges_of(splitting._items(spark, DATA).dropDuplicates(keys), keys, "text", "max_chars", "overlap_chars")
+    assert ranges.groupBy(*keys).count().where("count > 1").count() > 0
+
+    class Silent(splitting.Stitch):
+        def add(self, *_):
+            return iter(())
+
+    monkeypatch.setattr(splitting, "Stitch", Silent)
+    assert splitting.found(spark, DATA).count() == splitting.pieces(spark, DATA).count() == 0
 
 
 def test_mixing_and_packing_invariants(spark, odd):
