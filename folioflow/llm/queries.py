@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_sentences": sentences.sentences,
     "p3_found": repeats.found,
     "p3_cleaned": repeats.cleaned,
+    "p3_passages": repeats.passages,
     "p4_found": splitting.found,
     "p4_pieces": splitting.pieces,
     "p4_rejoined": splitting.rejoined,

@@ -150,15 +150,23 @@ def test_sentences_with_invisible_signs():
 
 def test_chunks_tell_equal_lines():
     rng = random.Random(4)
-    long = "".join(rng.choice("abcdefgh ") for _ in range(3000))
-    texts = ["Some line of words 12\nshort\n" + long, long.upper() + "\n  some LINE of words 7 ", "", "\n\n", long[:1500] + "!" + long[1500:]]
-    owner, number, whole, chunks = repeats.line_chunks(texts)
-    at = {(o, n): (w, c.tolist()) for o, n, w, c in zip(owner.tolist(), number.tolist(), whole.tolist(), chunks)}
-    assert set(at) == {(0, 1), (0, 3), (1, 1), (1, 2), (4, 1)}
-    assert at[0, 1] == at[1, 2] and at[0, 3] == at[1, 1] and len(at[0, 3][1]) > 3
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3000)).strip()
+    texts = ["Some line of words 12\nshort\n" + long, long.upper() + "\n  some LINE of words 7 ", "", "\n\n", long[:1500] + "!" + long[1500:], "x\n" + long[:900] + "\n" + long[901:]]
+    own = repeats.Chunks(texts)
+    line, first, end = own.lines()
+    at = {(own.owner[k], own.number[k]): own.own[a:b].tolist() for k, a, b in zip(line, first, end)}
+    assert set(at) == {(0, 1), (0, 3), (1, 1), (1, 2), (4, 1), (5, 2), (5, 3)}
+    assert at[0, 1] == at[1, 2] and len(at[0, 3]) > 40
+    assert len(set(at[0, 3]) & set(at[1, 1])) >= len(at[0, 3]) - 2
     # chunks before and after an inserted sign stay the same
-    assert len(set(at[0, 3][1]) & set(at[4, 1][1])) >= len(at[0, 3][1]) - 2
-    assert at[0, 3][0] != at[4, 1][0]
+    assert len(set(at[0, 3]) & set(at[4, 1])) >= len(at[0, 3]) - 3
+    # chunks join to the texts, and run over line ends
+    assert "".join(own.text[a:b] for a, b in zip(own.a, own.b)) == own.text
+    assert any("\n" in own.text[a : b - 1] for a, b in zip(own.a, own.b))
+
+
+def test_chunks_of_no_texts():
+    assert len(repeats.Chunks([""]).lines()[0]) == 0
 
 
 # problem 4

@@ -110,6 +110,34 @@ def test_same_as_sql(spark, name):
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
 
 
+def test_passages_within_longer_lines(spark, tmp_path, monkeypatch):
+    """A notice without a line of its own, wrapped anywhere, is found by its chunks; lines alone would not tell it."""
+    from folioflow.llm import repeats
+
+    notice = "this edition was read by the harbour volunteers for members only and must not be sold or lent to anyone outside the society of readers"
+    rng = __import__("random").Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    fill = lambda: " ".join(word() for _ in range(30))
+    texts = [f"{fill()} {notice if i % 2 else notice.replace(' volunteers ', chr(10) + 'volunteers ')} {fill()}" for i in range(6)]
+    blocks = [(f"b{i}", 1, "body", t, 1, None) for i, t in enumerate(texts)]
+    jobs = [(f"b{i}", None, None, "/shelf", "A", "prose", None) for i in range(6)]
+    d = write(spark, tmp_path, {"blocks": blocks, "jobs": jobs})
+    got = {r["book"]: r["text"].replace("\n", " ") for r in repeats.passages(spark, d).collect()}
+    assert set(got) == {f"b{i}" for i in range(6)} and all(len(x) > 60 and x.strip() in notice for x in got.values())
+    assert repeats.found(spark, d).count() == 0
+
+    class Uncut(repeats.Chunks):  # without the rolling hash there are no cuts
+        def __init__(self, texts):
+            super().__init__(texts)
+            first = [i for i, k in enumerate(self.number) if k == 1]
+            self.a, self.b = self.starts[first], [*self.starts[first][1:], self.ends[-1] + 1]
+            self.b = self.a * 0 + self.b
+            self.hash, self.line = self.digest(self.a, self.b), self.a * 0 - 1
+
+    monkeypatch.setattr(repeats, "Chunks", Uncut)
+    assert repeats.passages(spark, d).count() == 0
+
+
 LONG = "Hello there, this is a sentence. And another one; yes.\n" * 200 + "日本語の文です。次の文。" * 50 + " " * 700 + "é" * 300 + "." * 300 + "\n \n" * 90 + "end"
 
 
