@@ -54,6 +54,15 @@ def map_columns(df: DataFrame, fn: Callable[..., dict[str, Any] | list], schema:
     return df.mapInArrow(run, kind)
 
 
+#: Tables of up to so many short rows are sent to every task, larger ones joined by a shuffle.
+MAX_SENT = 1_000_000
+
+
+def sent_if_small(written: DataFrame, rows: int = MAX_SENT) -> DataFrame:
+    """A written table of short rows, marked to be sent to every task if it has at most so many rows."""
+    return F.broadcast(written) if written.count() <= rows else written
+
+
 def spoken_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, block_no, text) of body and dialogue blocks whose text isn't null."""
     blocks = table(spark, sf_dir, "blocks")

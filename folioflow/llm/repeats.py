@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import map_columns, spoken_blocks
+from folioflow.llm.common import map_columns, sent_if_small, spoken_blocks
 from folioflow.sources.tables import checkpointed, jobs_once
 
 MIN_BOOKS = 5
@@ -29,8 +29,6 @@ MIN_LETTERS = 12
 WINDOW = 8
 #: A cut after about so many signs.
 MEAN_CHUNK = 32
-#: Repeated keys are sent to every task up to this number (8 bytes a chunk, 16 a line), else joined by a shuffle.
-MAX_SENT = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = re.compile(r"[^\S\n]*\n[^\S\n]*")
@@ -131,8 +129,8 @@ def _keyed(hashes: np.ndarray, folders: np.ndarray) -> np.ndarray:
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, block_no, folder, text) of spoken blocks in books with a folder."""
-    folders = jobs_once(spark, sf_dir, "folder").where(F.col("folder").isNotNull())
-    return spoken_blocks(spark, sf_dir).join(folders, "book").select("book", "block_no", F.xxhash64("folder").alias("folder"), "text")
+    folders = checkpointed(jobs_once(spark, sf_dir, "folder").where(F.col("folder").isNotNull()).select("book", F.xxhash64("folder").alias("folder")))
+    return spoken_blocks(spark, sf_dir).join(sent_if_small(folders), "book").select("book", "block_no", "folder", "text")
 
 
 def _excessive(texts: DataFrame) -> DataFrame:
@@ -160,11 +158,6 @@ def _excessive(texts: DataFrame) -> DataFrame:
     return checkpointed(once.groupBy("chunk").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_BOOKS).select("chunk"))
 
 
-def _among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is in ``keys``, a written table: sent to every task if it is small, else joined by a shuffle."""
-    return rows.join(F.broadcast(keys) if keys.count() <= MAX_SENT else keys, on, "left_semi")
-
-
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, block_no, line_no) of every line to remove.
 
@@ -186,10 +179,11 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = map_columns(texts, cut, "folder bigint, book string, block_no int, line_no int, line binary, chunks array<bigint>")
     key = ["folder", "book", "block_no", "line_no", "line"]
     parts = lines.select(*key, F.size(F.array_distinct("chunks")).alias("n"), F.explode(F.array_distinct("chunks")).alias("chunk"))
-    hit = _among(parts, excessive, ["chunk"])
+    hit = parts.join(sent_if_small(excessive), "chunk", "left_semi")
     full = checkpointed(hit.groupBy(*key, "n").agg(F.count_distinct("chunk").alias("hits")).where(F.col("n") == F.col("hits")).select(key))
     books = full.select("folder", "line", "book").distinct().groupBy("folder", "line").agg(F.count("*").alias("books"))
-    return _among(full, checkpointed(books.where(F.col("books") >= MIN_BOOKS).select("folder", "line")), ["folder", "line"]).select("book", "block_no", "line_no")
+    repeated = checkpointed(books.where(F.col("books") >= MIN_BOOKS).select("folder", "line"))
+    return full.join(sent_if_small(repeated), ["folder", "line"], "left_semi").select("book", "block_no", "line_no")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +202,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {"book": [c["book"][i] for i in owners], "block_no": [c["block_no"][i] for i in owners], "chunk_no": np.arange(len(owner)) - np.searchsorted(owner, owner), "text": [own.text[a:b] for a, b in zip(own.a.tolist(), own.b.tolist())], "chunk": keys}
 
     rows = map_columns(texts, cut, "book string, block_no int, chunk_no bigint, text string, chunk bigint")
-    hit = _among(rows, excessive, ["chunk"]).dropDuplicates(["book", "block_no", "chunk_no"])
+    hit = rows.join(sent_if_small(excessive), "chunk", "left_semi").dropDuplicates(["book", "block_no", "chunk_no"])
     # runs: the chunk's number less its rank among the hits of its block stays the same
     rank = F.row_number().over(Window.partitionBy("book", "block_no").orderBy("chunk_no"))
     runs = hit.withColumn("run", F.col("chunk_no") - rank).groupBy("book", "block_no", "run").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("a"))
