@@ -56,25 +56,34 @@ def start_page(lines: DataFrame, outline: DataFrame, key: str, pages: int = 80,
 def contained(passages: DataFrame, texts: DataFrame, key: str, passage_id: str, text_id: str) -> DataFrame:
     """(key, passage_id, text_id): passages (key, id, text) that stand in a text of their key (JON07).
 
-    Instead of comparing all pairs, a passage is looked up by its first three words among the word triples of
-    the texts (by one word where it has fewer), and the pairs found are checked sign by sign.  A passage must begin where a word begins.
+    Instead of comparing all pairs, a passage is looked up by words of its own, and the pairs found are checked sign by sign.  A
+    passage may begin and end inside a word, so only its inner words are sure: three of them where it has as many, else
+    the first one.  Passages of two words are looked up by the end of one word and the beginning of the next, single words by all
+    parts of words that have their length.  Blank passages stand in no text.
     """
-    words = lambda c: F.filter(F.split(c, r"(?U)\s+", -1), lambda w: w != "")
+    words = lambda c: F.filter(F.split(c, rf"{T.WS}+", -1), lambda w: w != "")
+    word = lambda i: F.get("_w", i if isinstance(i, Column) else F.lit(i))
     p = passages.select(key, passage_id, words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    t = texts.select(key, text_id, words(F.col("text")).alias("_w"))
-    # only ids and digests are shuffled; the last word of a passage may be cut, so it counts only where another follows
-    three = p.where(F.size("_w") > 3).select(key, passage_id, F.xxhash64(F.get("_w", F.lit(0)), F.get("_w", F.lit(1)), F.get("_w", F.lit(2))).alias("_a"))
-    triples = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
-    grams = t.where(F.size("_w") > 2).select(key, text_id, F.explode(F.array_distinct(triples)).alias("_a"))
-    pairs = three.join(grams, [key, "_a"]).select(key, passage_id, text_id)
-    two = p.where(F.size("_w").between(2, 3)).select(key, passage_id, F.get("_w", F.lit(0)).alias("_a"))
-    firsts = t.join(two.select(key).distinct(), key, "left_semi").select(key, text_id, F.explode(F.array_distinct("_w")).alias("_a"))
-    pairs = pairs.unionByName(two.join(firsts, [key, "_a"]).select(key, passage_id, text_id))
-    # a single word, maybe cut, is looked up among the beginnings of its length
-    one = p.where(F.size("_w") == 1).select(key, passage_id, F.get("_w", F.lit(0)).alias("_a"))
-    sizes = one.groupBy(key).agg(F.collect_set(F.length("_a")).alias("_l"))
-    heads = t.join(sizes, key).select(key, text_id, "_l", F.explode(F.array_distinct("_w")).alias("_x"))
-    heads = heads.select(key, text_id, F.explode(F.transform("_l", lambda n: F.substring("_x", F.lit(1), n))).alias("_a"))
-    pairs = pairs.unionByName(one.join(heads, [key, "_a"]).select(key, passage_id, text_id)).distinct()
+    t = texts.select(key, text_id, words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
+    places = lambda n: F.sequence(F.lit(0), F.size("_w") - n)
+    each = lambda rows, marks: rows.select(key, text_id, F.explode(F.array_distinct(marks)).alias("_a"))
+    # only ids and digests are shuffled
+    three = p.where(F.size("_w") > 4).select(key, passage_id, F.xxhash64(word(1), word(2), word(3)).alias("_a"))
+    triples = F.transform(places(3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))
+    pairs = three.join(each(t.where(F.size("_w") > 2), triples), [key, "_a"]).select(key, passage_id, text_id)
+    inner = p.where(F.size("_w").between(3, 4)).select(key, passage_id, F.xxhash64(word(1)).alias("_a"))
+    own = t.join(inner.select(key).distinct(), key, "left_semi")
+    pairs = pairs.unionByName(inner.join(each(own, F.transform("_w", lambda w: F.xxhash64(w))), [key, "_a"]).select(key, passage_id, text_id))
+    # lengths that occur among the short passages of a key: few, as words are short
+    two = p.where(F.size("_w") == 2).select(key, passage_id, word(0).alias("_x"), word(1).alias("_y"))
+    sizes = two.groupBy(key).agg(F.collect_set(F.struct(F.length("_x").alias("x"), F.length("_y").alias("y"))).alias("_l"))
+    cut = lambda i: F.transform("_l", lambda n: F.when((n["x"] <= F.length(word(i))) & (n["y"] <= F.length(word(i + 1))), F.xxhash64(F.substring(word(i), -n["x"], n["x"]), F.substring(word(i + 1), F.lit(1), n["y"]))))
+    both = each(t.where(F.size("_w") > 1).join(sizes, key), F.flatten(F.transform(places(2), cut)))
+    pairs = pairs.unionByName(two.select(key, passage_id, F.xxhash64("_x", "_y").alias("_a")).join(both, [key, "_a"]).select(key, passage_id, text_id))
+    one = p.where(F.size("_w") == 1).select(key, passage_id, word(0).alias("_x"))
+    sizes = one.groupBy(key).agg(F.collect_set(F.length("_x")).alias("_l"))
+    parts = lambda w: F.flatten(F.transform("_l", lambda n: F.when(n <= F.length(w), F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.xxhash64(F.substring(w, i, n)))).otherwise(F.array().cast("array<bigint>"))))
+    pieces = each(t.join(sizes, key).withColumn("_w", F.array_distinct("_w")), F.flatten(F.transform("_w", parts)))
+    pairs = pairs.unionByName(one.select(key, passage_id, F.xxhash64("_x").alias("_a")).join(pieces, [key, "_a"]).select(key, passage_id, text_id)).distinct()
     full = pairs.join(passages.select(key, passage_id, F.col("text").alias("_pt")), [key, passage_id]).join(texts.select(key, text_id, F.col("text").alias("_tt")), [key, text_id])
     return full.where(F.contains("_tt", "_pt")).select(key, passage_id, text_id).distinct()

@@ -66,7 +66,7 @@ def prose_paragraphs(lines: DataFrame, keys: list[str], order: str, leading: str
 def verse_paragraphs(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys, para_no, text): a line that ends a sentence closes the paragraph, a heading stands alone (SEQ09)."""
     w = Window.partitionBy(*keys).orderBy(order)
-    rows = lines.withColumn("_h", F.col("text").rlike(T.HEADING_LINE)).withColumn("_c", F.substring("text", -1, 1).isin(*'.?!”"'))
+    rows = lines.withColumn("_h", T.is_heading_line(F.col("text"))).withColumn("_c", F.substring("text", -1, 1).isin(*'.?!”"'))
     before = F.coalesce(F.lag("_h").over(w) | F.lag("_c").over(w), F.lit(True))
     return _joined(rows.withColumn("_new", F.col("_h") | before), keys, order)
 

@@ -91,9 +91,9 @@ def plan_hash(plan: DataFrame, key: str, order: str, columns: list[str], width:
     """(key, digest): SHA-256 over the rows in order, of the given columns only (AGG21).
 
     Rows are hashed in blocks of ``width`` orders and the blocks' digests once more, so no task
-    holds the text of a whole key.  Nulls count as empty.
+    holds the text of a whole key.  A row is the JSON array of its values, so null isn't empty and no sign in a value divides it.
     """
-    row = F.concat_ws(chr(31), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+    row = F.to_json(F.array(*(F.col(c).cast("string") for c in columns)), {"ignoreNullFields": "false"})
     rows = plan.select(key, F.col(order).alias("_o"), F.floor(F.col(order) / width).cast("bigint").alias("_b"), F.sha2(row, 256).alias("_h"))
     joined = lambda o, h: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, h))), lambda r: r[h]), chr(30))
     blocks = rows.groupBy(key, "_b").agg(F.sha2(joined("_o", "_h"), 256).alias("_h"))

@@ -18,6 +18,7 @@ def stitch_pages(blocks: DataFrame, key: str, page: str, order: str, width: int
     A page's first block joins the last one before it if both are bodies and that one doesn't
     end in a terminal sign; joins chain.  ``order`` is an integer that orders the blocks of a key over all pages and
     keeps each page together.  Blank and null texts are left out.  The order of a joined block is that of its first part.
+    A joined block ends on the last page that any of its parts names.
     Long keys are spread (operators.ordered): only one row per block of ``width`` orders is carried on.
     """
     rows = blocks.where(F.col("text").isNotNull() & ~T.is_blank(F.col("text"))).select(key, order, "type", "text", F.col(page).alias("source_page"), F.col("source_page_end"))
@@ -36,14 +37,15 @@ def stitch_pages(blocks: DataFrame, key: str, page: str, order: str, width: int
         return F.when(i < F.size("a") - 1, F.regexp_replace(x, rf"(?U){T.WS}+\z", "")).otherwise(x)
 
     texts = F.transform("a", trimmed)
-    lead, last = F.element_at("a", 1), F.element_at("a", -1)
+    lead = F.element_at("a", 1)
+    ends = F.filter(F.transform("a", lambda r: r["e"]), lambda e: e.isNotNull())
     return whole.select(
         key,
         lead["o"].alias(order),
         lead["t"].alias("type"),
         F.array_join(texts, " ").alias("text"),
         lead["p"].alias("source_page"),
-        F.when(F.size("a") > 1, last["e"]).otherwise(lead["s"]).alias("source_page_end"),
+        F.when(F.size("a") > 1, F.try_element_at(ends, F.lit(-1))).otherwise(lead["s"]).alias("source_page_end"),
     )
 
 

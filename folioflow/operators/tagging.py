@@ -39,8 +39,8 @@ def classified(lines: DataFrame, keys: list[str], order: str, line: str) -> Data
         "*",
         (kind == "blank").alias("bl"),
         T.is_table_row(c).alias("tr"),
-        F.col("plain").rlike(T.DICE_HEADER).alias("hd"),
-        F.col("plain").rlike(T.DICE_ROW).alias("dr"),
+        T.is_dice_header(c, F.col("plain")).alias("hd"),
+        T.is_dice_row(c, F.col("plain")).alias("dr"),
         T.is_number_list(c).alias("nl"),
         kind.isin("page_number", "running_header", "markup", "code_fence").alias("sk"),
         (kind == "html_table").alias("ht"),

@@ -42,7 +42,7 @@ def outline_marks(outline: DataFrame, starts: DataFrame) -> DataFrame:
 
 def spoken_chapters(rows: DataFrame) -> DataFrame:
     """(book, start_ms, title) of the pieces whose heading names a division (PRD12)."""
-    return rows.where(F.col("heading").rlike(T.CHAPTER_PREFIX)).select("book", "start_ms", F.col("heading").alias("title"))
+    return rows.where(T.is_chapter(F.col("heading"))).select("book", "start_ms", F.col("heading").alias("title"))
 
 
 def chosen_chapters(outline: DataFrame, spoken: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def _runs_sql() -> str:
     s = S.strip("line")
     return f"""
 c0 AS (SELECT book, page, line_no, line, {S.strip_markdown('line')} AS plain, {S.line_class('line')} AS kind FROM {LINES}),
-c1 AS (SELECT *, kind = 'blank' AS bl, (starts_with({s}, '|') AND ends_with({s}, '|') AND length({s}) > 1) AS tr, {S.match('plain', S.rx(T.DICE_HEADER))} AS hd, {S.match('plain', S.rx(T.DICE_ROW))} AS dr,
+c1 AS (SELECT *, kind = 'blank' AS bl, (starts_with({s}, '|') AND ends_with({s}, '|') AND length({s}) > 1) AS tr, {S.match('plain', S.DICE)} AS hd, {S.match('plain', S.ROLL + S.NOT_WS)} AS dr,
   kind IN ('page_number', 'running_header', 'markup', 'code_fence') AS sk, kind = 'html_table' AS ht, {S.number_list('line')} AS nl FROM c0),
 c2 AS (SELECT *, hd OR dr AS dm FROM c1),
 c3 AS (SELECT *, {cont('tr')} AS n_tr, {cont('dm')} AS n_dm, {cont('nl')} AS n_nl FROM c2 WINDOW w AS {w}),
@@ -73,7 +73,7 @@ c6 AS (SELECT *, list_sort(list(length(plain)) FILTER (dr AND line_no > start_dm
 _DICE = "(coalesce(len(lens), 0) >= 3 AND line_no >= start_dm)"
 _MED = "lens[len(lens) // 2 + 1]"
 _HEADING = f"(length(plain) BETWEEN 2 AND 60 AND NOT {S.match('plain', '[.:,;]$')} AND {S.match('plain', chr(92) + 'p{L}')} AND NOT {S.match(S.sub('plain', chr(92) + 'p{Lu}'), chr(92) + 'p{L}')})"
-_ROLL = S.sub("plain", S.rx(T.ROLL_PREFIX), "", "")
+_ROLL = S.sub("plain", S.ROLL, "", "")
 TAG_SQL = f"""WITH {_runs_sql()},
 d AS (SELECT *, CASE
   WHEN bl THEN NULL
@@ -83,7 +83,7 @@ d AS (SELECT *, CASE
   WHEN sk THEN NULL
   WHEN ht THEN ['table', '{tagging.TABLE_MARK}', 'n']
   WHEN {_HEADING} THEN ['heading', plain, 'n']
-  WHEN {S.match('plain', S.rx(T.DIALOGUE))} THEN ['dialogue', plain, 'n']
+  WHEN {S.match('plain', S.SPEAKER)} THEN ['dialogue', plain, 'n']
   ELSE ['body', plain, 'y'] END AS o FROM c6),
 e AS (SELECT book, page, line_no, o[1] AS type, o[2] AS text, o[3] = 'y' AS pb FROM d WHERE o IS NOT NULL),
 f AS (SELECT *, pb AND coalesce(lag(type) OVER w = 'body' AND lag(text) OVER w = text, false) AS dropped FROM e WINDOW w AS (PARTITION BY book, page ORDER BY line_no)),
@@ -145,7 +145,7 @@ g AS (SELECT *, sum(CASE WHEN pt IS NOT NULL AND source_page IS DISTINCT FROM pp
 n AS (SELECT *, row_number() OVER (PARTITION BY book, grp ORDER BY block_no) AS i, count(*) OVER (PARTITION BY book, grp) AS k FROM g)
 SELECT book, CAST(min(block_no) AS INTEGER) AS block_no, arg_min(type, block_no) AS type,
  string_agg(CASE WHEN i > 1 AND i < k THEN {S.strip('text')} WHEN i > 1 THEN {S.sub('text', '^' + S.WS + '+')} WHEN k > 1 THEN {S.sub('text', S.WS + '+$')} ELSE text END, ' ' ORDER BY block_no) AS text,
- first(source_page ORDER BY block_no) AS source_page, CASE WHEN count(*) > 1 THEN last(coalesce(source_page_end, source_page) ORDER BY block_no) ELSE first(source_page_end ORDER BY block_no) END AS source_page_end
+ first(source_page ORDER BY block_no) AS source_page, CASE WHEN count(*) > 1 THEN last(coalesce(source_page_end, source_page) ORDER BY block_no) FILTER (coalesce(source_page_end, source_page) IS NOT NULL) ELSE first(source_page_end ORDER BY block_no) END AS source_page_end
 FROM n GROUP BY book, grp"""
 
 
@@ -159,7 +159,7 @@ def _para_sql(new: str, text: str = "text") -> str:
 SELECT book, page, CAST(para_no AS BIGINT) AS para_no, string_agg({text}, ' ' ORDER BY line_no) AS text FROM q GROUP BY book, page, para_no"""
 
 
-_P = f"""WITH p AS (SELECT *, {S.match('text', S.rx(T.HEADING_LINE))} AS h, lag({S.match('text', S.rx(T.HEADING_LINE))}) OVER w AS ph, y0 - lag(y0) OVER w AS step, min(x0) OVER (PARTITION BY book, page) AS x1, lag(text) OVER w AS pt FROM {PLACED} WINDOW w AS (PARTITION BY book, page ORDER BY line_no)),"""
+_P = f"""WITH p AS (SELECT *, {S.match(S.strip('text'), S.HEADING_LINE)} AS h, lag({S.match(S.strip('text'), S.HEADING_LINE)}) OVER w AS ph, y0 - lag(y0) OVER w AS step, min(x0) OVER (PARTITION BY book, page) AS x1, lag(text) OVER w AS pt FROM {PLACED} WINDOW w AS (PARTITION BY book, page ORDER BY line_no)),"""
 
 
 @query("seq08_prose", _P + _para_sql("ph IS NULL OR h OR ph OR x0 > x1 + 6 OR coalesce(step > 18 OR step < -18, false)"))
@@ -172,7 +172,7 @@ def seq09(spark, d):
     return layout.verse_paragraphs(placed_lines(spark, d), PAGE, "line_no")
 
 
-_TYPED = f"SELECT book, block_no, CASE WHEN {S.match(S.strip('text'), S.rx(T.HEADING_LINE))} OR {S.line_is_heading('text')} THEN 'heading' ELSE 'body' END AS type, {S.strip_markdown('text')} AS text FROM {S.BLOCKS} b WHERE text IS NOT NULL"
+_TYPED = f"SELECT book, block_no, CASE WHEN {S.match(S.strip('text'), S.HEADING_LINE)} OR {S.line_is_heading('text')} THEN 'heading' ELSE 'body' END AS type, {S.strip_markdown('text')} AS text FROM {S.BLOCKS} b WHERE text IS NOT NULL"
 
 
 @query("seq10_paragraph_blocks", _TYPED)

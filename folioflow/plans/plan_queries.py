@@ -226,7 +226,7 @@ def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUTLINE = f"(SELECT book, block_no AS ord, CASE WHEN text = upper(text) THEN 1 ELSE 2 END AS level, text AS title, source_page AS page FROM {S.BLOCKS} b WHERE type = 'heading' AND text IS NOT NULL AND source_page IS NOT NULL)"
-_DIVISION = " OR ".join(S.match(S.collapse("title"), S.rx(p)) for p in (T.DIVISION_PREFIX, T.NUMBERED_TITLE, T.ROMAN_TITLE))
+_DIVISION = S.match(S.collapse("title"), S.OUTLINE)
 MARKS = f"""(SELECT book, ms AS start_ms, {S.collapse('title')} AS title FROM (SELECT *, row_number() OVER (PARTITION BY book, ms ORDER BY level DESC, ord DESC) AS r FROM
  (SELECT o.*, s.ms FROM (SELECT o.* FROM {_OUTLINE} o JOIN (SELECT book, min(page) AS a, max(page) AS b FROM {STARTS} GROUP BY book) e USING (book) WHERE page BETWEEN a AND b AND ({_DIVISION})) o ASOF JOIN {STARTS} s ON o.book = s.book AND o.page <= s.page)) WHERE r = 1)"""
 
@@ -236,7 +236,7 @@ def jon04(spark, d):
     return timeline.outline_marks(outline(spark, d), timeline.page_starts(timed(spark, d)))
 
 
-SPOKEN = f"(SELECT book, start_ms, heading AS title FROM {TIME} WHERE {S.match('heading', S.rx(T.CHAPTER_PREFIX))})"
+SPOKEN = f"(SELECT book, start_ms, heading AS title FROM {TIME} WHERE {S.match('heading', S.CHAPTER)})"
 CHOSEN = f"""(WITH o AS (SELECT * FROM {MARKS}), s AS (SELECT * FROM {SPOKEN}), k AS (SELECT coalesce(a.book, b.book) AS book, coalesce(a.n, 0) > coalesce(b.n, 0) AS out_ FROM (SELECT book, count(*) AS n FROM o GROUP BY book) a FULL JOIN (SELECT book, count(*) AS n FROM s GROUP BY book) b ON a.book = b.book)
  SELECT o.* FROM o JOIN k USING (book) WHERE out_ UNION ALL SELECT s.* FROM s JOIN k USING (book) WHERE NOT out_)"""
 OPENED = f"(SELECT * FROM {CHOSEN} UNION ALL SELECT book, 0, 'Opening' FROM {CHOSEN} GROUP BY book HAVING min(start_ms) > 1500)"
@@ -298,7 +298,7 @@ def win10(spark, d):
     return rows.where(F.col("place") % 10 == 0).select("book", "chunk_idx", F.col("place").cast("bigint").alias("place"))
 
 
-_ROW = "concat_ws(chr(31), coalesce(type, ''), coalesce(text, ''))"
+_ROW = "CAST(to_json([type, text]) AS VARCHAR)"
 
 
 @query(

@@ -8,7 +8,19 @@ from __future__ import annotations
 
 from folioflow.functions import text as T
 
-WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+WS, NOT_WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]", r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
+# The rules for lines as patterns of this engine; END is the end of a word.
+END = r"(?:[^\p{L}\p{M}\p{N}\p{Pc}]|$)"
+_UNITS = "one|two|three|four|five|six|seven|eight|nine"
+_TENS = "ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred"
+HEADING_LINE = rf"(?i)^(?:(?:book|chapter|part|canto){WS}+(?:[0-9]+|[ivxlcdm]+|(?:{_UNITS}|{_TENS})(?:[ -](?:{_UNITS}))?)|prologue|epilogue|introduction|preface|foreword|afterword)$"
+CHAPTER = rf"(?i)^(?:book|chapter|part|canto|prologue|epilogue|introduction|preface){END}"
+OUTLINE = rf"(?i)^(?:(?:book|chapter|part|canto|prologue|epilogue|introduction|preface|foreword|afterword){END}|(?:[0-9]+|[ivxlcdm]+) ?(?:[-:–—]|$))"
+START = rf"(?i)^(?:prologue|(?:book|chapter|part|canto) (?:0*1|one|i)){END}"
+RUNNING = r"(?i)^(?:chapter|appendix|part)(?:\||[^|\p{L}\p{M}\p{N}\p{Pc}][^|]{0,23}\|)"
+DICE, ROLL = r"(?i)^[0-9]*d[0-9]+\b", rf"^[0-9]+{WS}*(?:[-–—]{WS}*[0-9]+)?{WS}+"
+TABLE_TAG = rf"(?i)<{WS}*(?:table|tr|td|th|thead|tbody)\b"
+SPEAKER = rf"^[A-Z][a-zA-Z]+(?:{WS}[A-Z][a-zA-Z]+)?:{WS}+{NOT_WS}"
 BLOCKS = "(SELECT DISTINCT * FROM blocks)"
 JOBS = "(SELECT DISTINCT * FROM jobs)"
 PLAN = "(SELECT DISTINCT * FROM chunk_plan)"
@@ -41,7 +53,7 @@ def emphasis(x: str, passes: int) -> str:
 
 
 def strip_markdown(x: str) -> str:
-    return collapse(sub(sub(strip(emphasis(x, T.PASSES)), r"^#{1,6}\s*", "", ""), T.HTML_TAG, " "))
+    return collapse(sub(sub(strip(emphasis(x, 6)), rf"^#{{1,6}}{WS}*", "", ""), T.HTML_TAG, " "))
 
 
 def lines(x: str) -> str:
@@ -61,7 +73,7 @@ def clauses(x: str) -> str:
 
 def number_list(x: str) -> str:
     s = strip(x)
-    rest = sub(strip(sub(s, "^[-•]+", "", "")), r"^[A-Za-z][A-Za-z0-9 ]{0,15}:\s*", "", "")
+    rest = sub(strip(sub(s, "^[-•]+", "", "")), rf"^[A-Za-z][A-Za-z0-9 ]{{0,15}}:{WS}*", "", "")
     words = f"list_filter(string_split_regex({rest}, {q(WS + '+')}), lambda w: w <> '')"
     numbers = f"len(list_filter({words}, lambda w: {match(sub('w', '^[.,;]+|[.,;]+$'), '^(?:[0-9]+|dead)$')}))"
     return f"({match(s, '^[-•]')} AND len({words}) > 0 AND {numbers} >= greatest(1, len({words}) // 2))"
@@ -74,27 +86,21 @@ def line_is_heading(x: str) -> str:
 
 def line_class(x: str) -> str:
     s, m = strip(x), strip_markdown(x)
-    java = lambda p: p.replace(r"\A", "^").replace(r"\z", "$")
     return f"""CASE WHEN {s} = '' THEN 'blank'
  WHEN {match(s, '^[0-9]{1,4}$')} THEN 'page_number'
- WHEN {match(m, java(T.RUNNING_HEADER))} THEN 'running_header'
+ WHEN {match(m, RUNNING)} THEN 'running_header'
  WHEN NOT {match(sub(s, '<[^>]+>'), '[' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')} THEN 'markup'
  WHEN {match(s, '^`{3,}[' + chr(92) + 'w-]*$')} THEN 'code_fence'
- WHEN {match(s, T.HTML_TABLE)} THEN 'html_table'
+ WHEN {match(s, TABLE_TAG)} THEN 'html_table'
  WHEN starts_with({s}, '|') AND ends_with({s}, '|') AND length({s}) > 1 THEN 'table_row'
- WHEN {match(m, java(T.DICE_HEADER))} THEN 'dice_header'
- WHEN {match(m, java(T.DICE_ROW))} THEN 'dice_row'
+ WHEN {match(m, DICE)} THEN 'dice_header'
+ WHEN {match(m, ROLL + NOT_WS)} THEN 'dice_row'
  WHEN {number_list(x)} THEN 'number_list'
  WHEN {line_is_heading(x)} THEN 'heading'
- WHEN {match(m, java(T.DIALOGUE))} THEN 'dialogue'
+ WHEN {match(m, SPEAKER)} THEN 'dialogue'
  ELSE 'body' END"""
 
 
-def rx(pattern: str) -> str:
-    """A pattern of the text functions for this engine."""
-    return pattern.replace(r"\A", "^").replace(r"\z", "$")
-
-
 def quoted_ellipsis(x: str) -> str:
     """Spans taken and rewritten one pair of quotes after the other."""
     for a, b in T.QUOTE_PAIRS:

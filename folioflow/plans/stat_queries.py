@@ -63,9 +63,9 @@ def src22(spark, d):
     return voices.select("voice", F.row_number().over(w).alias("place"))
 
 
-@query("src16_embedded", f"SELECT book, block_no, type AS role, text, block_no AS after_ms FROM {S.BLOCKS} b WHERE text IS NOT NULL AND source_page = 5")
+@query("src16_embedded", f"SELECT book, block_no, type AS role, text, block_no AS after_ms FROM {S.BLOCKS} b WHERE text IS NOT NULL")
 def src16(spark, d):
-    """Segments read back from a quoted command line: every block with text, written so and recovered.  The SQL holds page 5 only."""
+    """Segments read back from a quoted command line: every block with text, written so and recovered."""
     rows = blocks_once(spark, d)
     quote = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
     command = F.concat(F.lit("say role = "), quote(F.col("type")), F.lit(" text = "), quote(F.col("text")), F.lit(" after_ms = "), F.col("block_no").cast("string"))
@@ -178,12 +178,12 @@ def agg05(spark, d):
 
 
 _NUMBERED = f"(SELECT book, page, row_number() OVER (PARTITION BY book, page ORDER BY line_no) AS line_no, text FROM {PLACED})"
-_START = S.match(S.collapse("text"), S.rx(T.START_HEADING))
+_START = S.match(S.collapse("text"), S.START)
 
 
 @query(
     "agg10_start_page",
-    f"""WITH o AS (SELECT book, min(page) AS po FROM {_OUTLINE} WHERE {S.match(S.collapse('title'), S.rx(T.START_HEADING))} AND page >= 1 GROUP BY book),
+    f"""WITH o AS (SELECT book, min(page) AS po FROM {_OUTLINE} WHERE {S.match(S.collapse('title'), S.START)} AND page >= 1 GROUP BY book),
  f AS (SELECT book, page, count(*) FILTER ({_START}) AS m, count(*) FILTER ({_START} AND line_no <= 20) AS h, count(*) FILTER (line_no <= 10 AND contains(lower(text), 'contents')) AS c FROM {_NUMBERED} WHERE page <= 80 GROUP BY book, page),
  p AS (SELECT book, min(page) AS pp FROM f WHERE h > 0 AND c = 0 AND m < 3 GROUP BY book)
  SELECT k.book, coalesce(po, pp, 1) AS page, CASE WHEN po IS NOT NULL THEN 'outline' WHEN pp IS NOT NULL THEN 'page heading' END AS reason FROM (SELECT DISTINCT book FROM {PLACED} UNION SELECT book FROM {_OUTLINE}) k LEFT JOIN o USING (book) LEFT JOIN p USING (book)""",
@@ -272,13 +272,13 @@ def agg16(spark, d):
 
 @query(
     "agg17_stratified",
-    f"""WITH n AS (SELECT book, max(chunk_idx) + 1 AS n FROM {S.PLAN} p GROUP BY book), r AS (SELECT d.book, chunk_idx, n, frames::DOUBLE AS v FROM {DONE} d JOIN n USING (book) WHERE chunk_idx % 5 = 0 AND chunk_idx < n),
+    f"""WITH n AS (SELECT book, max(chunk_idx) + 1 AS n FROM {S.PLAN} p GROUP BY book), r AS (SELECT d.book, chunk_idx, n, frames::DOUBLE AS v FROM {DONE} d JOIN n USING (book) WHERE chunk_idx < n),
  e AS (SELECT book, max(n) AS n, avg(v) AS al FROM r GROUP BY book), c AS (SELECT book, n, al, i, floor(n * i / 4) AS lo, floor(n * (i + 1) / 4) AS hi FROM e, range(4) t(i)),
  m AS (SELECT c.book, c.i, avg(v) AS mean FROM c JOIN r ON r.book = c.book AND chunk_idx >= lo AND chunk_idx < hi GROUP BY c.book, c.i)
  SELECT c.book, round(sum(coalesce(mean, al) * (hi - lo)), 3) AS estimate FROM c LEFT JOIN m USING (book, i) GROUP BY c.book""",
 )
 def agg17(spark, d):
-    """Each book's frames, from all finished pieces.  The SQL takes every fifth piece only."""
+    """Each book's frames, from all finished pieces."""
     n = table(spark, d, "chunk_plan").groupBy("book").agg((F.max("chunk_idx") + 1).alias("n"))
     rows = finished(spark, d).join(n, "book").where(F.col("chunk_idx") < F.col("n")).select("book", "chunk_idx", "n", F.col("frames").cast("double").alias("v"))
     return metrics.stratified_total(rows, ["book"], "chunk_idx", "n", "v").select("book", F.round("estimate", 3).alias("estimate"))
@@ -425,7 +425,7 @@ def src05(spark, d):
     return rows.join(most, ["folder", "pages"]).groupBy("folder", "pages").agg(F.min("path").alias("path")).select("folder", "path", "pages")
 
 
-_PARAS = f"list_filter(list_transform(string_split_regex(text, '\\n[\\t-\\r ]*\\n'), lambda p: {S.collapse('p')}), lambda p: p <> '')"
+_PARAS = f"list_filter(list_transform(string_split_regex(text, '\\n{S.WS}*\\n'), lambda p: {S.collapse('p')}), lambda p: p <> '')"
 
 
 @query("src10_paragraphs", f"SELECT doc_id, unnest({_PARAS}) AS paragraph, CAST(generate_subscripts({_PARAS}, 1) AS INTEGER) AS pos FROM documents WHERE text IS NOT NULL")
@@ -491,9 +491,9 @@ def arr05(spark, d):
     return rows.groupBy("book", F.col("source_page").alias("page")).agg(F.array_join(F.transform(parts, lambda r: r["text"]), "\n").alias("text"))
 
 
-@query("arr04_silence", "SELECT book, chunk_idx, floor(24000 * before_ms / 1000.0)::INTEGER + floor(24000 * after_ms / 1000.0)::INTEGER AS zeros FROM (SELECT DISTINCT * FROM chunk_plan) WHERE after_ms < 200")
+@query("arr04_silence", "SELECT book, chunk_idx, floor(24000 * before_ms / 1000.0)::INTEGER + floor(24000 * after_ms / 1000.0)::INTEGER AS zeros FROM (SELECT DISTINCT * FROM chunk_plan)")
 def arr04(spark, d):
-    """The zeros around every piece.  The SQL holds pieces with after_ms below 200 only."""
+    """The zeros around every piece."""
     quiet = lambda c: F.size(A.silence(F.lit(24000), F.col(c)))
     return plan_once(spark, d).select("book", "chunk_idx", (quiet("before_ms") + quiet("after_ms")).alias("zeros"))
 

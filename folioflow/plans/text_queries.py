@@ -85,8 +85,8 @@ def str10(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.length("text").cast("bigint").alias("chars"))
 
 
-_DROP = S.sub("text", r"""^(\s*["“]?)([A-Z])\s+([a-z])""", r"\1\2\3", "")
-_ROLL = S.sub("line", S.rx(T.ROLL_PREFIX), "", "")
+_DROP = S.sub("text", rf"""^({S.WS}*["“]?)([A-Z]){S.WS}+([a-z])""", r"\1\2\3", "")
+_ROLL = S.sub("line", S.ROLL, "", "")
 
 
 @query("str11_drop_caps", f"SELECT book, block_no, {_DROP} AS text FROM {_B}")
@@ -132,15 +132,15 @@ def prd_line_class(spark, d):
     return rows.select("book", "block_no", "line_no", T.line_class(F.col("line"), F.col("plain")).alias("kind"))
 
 
-_H = [S.match(S.strip("line"), S.rx(T.HEADING_LINE)), S.match("line", S.rx(T.CHAPTER_PREFIX)), S.match(S.collapse("line"), S.rx(T.START_HEADING))]
-_OUT = " OR ".join(S.match(S.collapse("line"), S.rx(p)) for p in (T.DIVISION_PREFIX, T.NUMBERED_TITLE, T.ROMAN_TITLE))
+_H = [S.match(S.strip("line"), S.HEADING_LINE), S.match("line", S.CHAPTER), S.match(S.collapse("line"), S.START)]
+_OUT = S.match(S.collapse("line"), S.OUTLINE)
 
 
 @query("prd11_headings", f"SELECT book, block_no, line_no, {_H[0]} AS heading_line, {_H[1]} AS chapter, {S.collapse('line')} <> '' AND ({_OUT}) AS outline_title, {_H[2]} AS start FROM {LINES_SQL}")
 def prd11(spark, d):
     c = F.col("line")
     return block_lines(spark, d).select(
-        "book", "block_no", "line_no", T.is_heading_line(c).alias("heading_line"), c.rlike(T.CHAPTER_PREFIX).alias("chapter"), T.is_outline_title(c).alias("outline_title"), T.is_start_heading(c).alias("start")
+        "book", "block_no", "line_no", T.is_heading_line(c).alias("heading_line"), T.is_chapter(c).alias("chapter"), T.is_outline_title(c).alias("outline_title"), T.is_start_heading(c).alias("start")
     )
 
 

@@ -37,8 +37,7 @@ def job_files(spark: SparkSession, paths: str | list[str], schema: str) -> DataF
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of one text file, from 1.
 
-    The whole file is one record, so files must fit one task; larger ones go through
-    llm.splitting or a format with its own keys.
+    The whole file is one record, so files must fit one task; larger ones need a format with its own keys.
     """
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(T.lines(F.col("value"))).alias("i", "value")).select((F.col("i") + 1).alias("line_no"), "value")
@@ -51,7 +50,7 @@ def json_record(spark: SparkSession, path: str, number: int, schema: str) -> Dat
 
 def paragraphs(c: Column) -> Column:
     """Array of the paragraphs that blank lines divide, inner line ends as blanks (SRC10)."""
-    parts = F.transform(F.split(c, r"\n[\s]*\n", -1), T.collapse)
+    parts = F.transform(F.split(c, rf"\n{T.WS}*\n", -1), T.collapse)
     return F.filter(parts, lambda p: p != "")
 
 

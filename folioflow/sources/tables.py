@@ -24,11 +24,13 @@ def jobs_once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder for checkpoints: spark.checkpoint.dir, or, on one machine only, a temporary one where that is unset."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current is None:
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = configured or os.path.join(tempfile.gettempdir(), "folioflow-checkpoints")
         sc.setCheckpointDir(path)
         return path
