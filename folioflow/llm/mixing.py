@@ -1,20 +1,22 @@
 """Problem 8: mixing sources to target weights.
 
-A mix aims at the tokens that its sources hold together.  A source's quota is its share of that aim,
-or, where it has less, all its documents max_repeats times; a source without text gives none.
-Quotas are cut into blocks of equal size, and blocks are scheduled as a proportionate-fair
-task set: block k of a source of weight w is released at floor(k / w) and due at ceil((k + 1) / w);
-each slot goes to the released block that is due first.  So at any slot each source
-is less than one block from its share.  Documents take the slot of the block in which they begin.
-
-The schedule has at most ``SLOTS`` blocks a mix, whatever the corpus holds, and is made on the driver from
-one total per source of mix_targets.  Documents are placed by prefix sums in two levels (hash
-buckets of a source, then within a bucket), so a source with most of the rows is spread.
+The weights are the target shares of the sources that have text (those of sources without are shared out among the others).  A mix
+has the largest total for which every source can give its share without more than max_repeats copies, so the scarcest source
+sets it and every share is met; what the others hold beyond that is left out and reported.  A larger ``total`` may be asked for;
+scarce sources then give all they may and fall short.
+
+Each source is cut into blocks of ``BLOCK`` tokens, and blocks are scheduled as a proportionate-fair task set: block k of a source
+of weight w is released at floor(k / w) and due at ceil((k + 1) / w); each slot goes to the released block that is due first.
+So at any slot each source is less than one block from its share.  With integer weights that schedule repeats after their sum, so it is made
+once for one period (at most ``PERIOD`` slots), and block k of a source has its slot in closed form, whatever the size of the corpus.
+Documents take the slot of the block in which they begin.  They are placed by prefix sums in two levels (hash buckets of a source,
+then within a bucket), so a source with most of the rows is spread.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,16 +25,34 @@ from pyspark.sql import functions as F
 from folioflow.llm.tokens import document_sizes
 from folioflow.sources.tables import checkpointed, table
 
-#: At most so many blocks a mix, and no block smaller than this many tokens.
-SLOTS = 8192
-LEAST_BLOCK = 2048
-BUCKETS = 256
+#: Tokens of a block, and the most slots of a period; a weight is met to half a slot of a period.
+BLOCK = 2048
+PERIOD = 10_000
+#: Documents of one bucket of a source.
+BUCKET_ROWS = 20_000
+
+
+def weights(shares: dict[str, float]) -> dict[str, int]:
+    """Integer weights in proportion to the shares above 0, with a sum of at most PERIOD: exact if that is possible, else by the largest remainders."""
+    exact = {s: Fraction(repr(float(x))) for s, x in sorted(shares.items()) if x > 0}
+    total = sum(exact.values())
+    exact = {s: x / total for s, x in exact.items()}
+    period = math.lcm(*(x.denominator for x in exact.values())) if exact else 1
+    if period <= PERIOD:
+        return {s: int(x * period) for s, x in exact.items()}
+    out = {s: max(1, int(x * PERIOD)) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (exact[s] * PERIOD - out[s], s), reverse=True)[: max(0, PERIOD - sum(out.values()))]:
+        out[s] += 1
+    return out
 
 
-def quotas(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None) -> dict[str, int]:
-    """Tokens that each source is to give: (source, share, max_repeats) against what it has."""
-    aim = sum(available.get(s, 0) for s, _, _ in targets) if total is None else total
-    return {s: min(round(share * aim), available.get(s, 0) * max(0, repeats)) for s, share, repeats in targets}
+def quotas(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None) -> tuple[dict[str, int], dict[str, int]]:
+    """(integer weights, tokens to give) of the sources (source, share, max_repeats) that have text."""
+    most = {s: available.get(s, 0) * max(0, repeats) for s, _, repeats in targets}
+    own = weights({s: share for s, share, _ in targets if most[s] > 0})
+    period = sum(own.values())
+    aim = min((Fraction(most[s] * period, n) for s, n in own.items()), default=Fraction(0)) if total is None else Fraction(total)
+    return own, {s: min(int(aim * n / period), most[s]) for s, n in own.items()}
 
 
 def schedule(blocks: dict[str, int]) -> list[tuple[str, int]]:
@@ -72,45 +92,51 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf_dir: str, total: int | None):
-    """(sizes, targets with quotas, blocks with slots); the last two are bounded by mix_targets and SLOTS."""
+    """(sizes, buckets of a source, targets with quotas, slots of one period); the last two are bounded by mix_targets and PERIOD."""
     targets = [tuple(r) for r in _targets(spark, sf_dir).collect()]
     sizes = checkpointed(document_sizes(spark, sf_dir).where(F.col("source").isNotNull()))
+    # mix_targets is the same at every scale
     names = _targets(spark, sf_dir).select("source").distinct()
-    sums = sizes.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
-    has = {r["source"]: r["tokens"] for r in sums.collect()}
+    sums = sizes.join(F.broadcast(names), "source").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")).collect()
+    has = {r["source"]: r["tokens"] for r in sums}
+    buckets = max([1, *(-(-r["docs"] // BUCKET_ROWS) for r in sums)])
     rows, slots = [], []
     for mix in sorted({t[0] for t in targets}):
         own = sorted(t[1:] for t in targets if t[0] == mix)
-        quota = quotas(own, has, total)
-        block = max(LEAST_BLOCK, -(-sum(quota.values()) // max(1, SLOTS - len(own))))
-        count = {s: -(-q // block) for s, q in quota.items()}
-        rows += [(mix, s, share, repeats, has.get(s, 0), quota[s], block) for s, share, repeats in own]
-        slots += [(mix, s, k, slot) for slot, (s, k) in enumerate(schedule(count))] if sum(count.values()) else []
-    quota_df = spark.createDataFrame(rows, "mix string, source string, target_share double, max_repeats int, available bigint, quota bigint, block bigint")
-    slot_df = spark.createDataFrame(slots, "mix string, source string, block_no bigint, slot int")
-    return sizes, quota_df, slot_df
+        weight, quota = quotas(own, has, total)
+        period = sum(weight.values())
+        rows += [(mix, s, share, repeats, has.get(s, 0), quota.get(s, 0), weight.get(s, 0), period, share > 0 and (s not in weight or total is not None and quota[s] < total * weight[s] // period)) for s, share, repeats in own]
+        slots += [(mix, s, k, slot) for slot, (s, k) in enumerate(schedule(weight))]
+    quota_df = spark.createDataFrame(rows, "mix string, source string, target_share double, max_repeats int, available bigint, quota bigint, weight bigint, period bigint, short boolean")
+    slot_df = spark.createDataFrame(slots, "mix string, source string, turn bigint, in_period bigint")
+    return sizes, buckets, quota_df, slot_df
 
 
 def mixed(spark: SparkSession, sf_dir: str, total: int | None = None) -> DataFrame:
     """(mix, slot, source, doc_id, copy, position, tokens): the documents of every mix in order of slot.
 
-    ``total`` is the aim in tokens; by default what the sources of a mix hold.  copy counts from 1 up
+    ``total`` is the aim in tokens; by default the largest for which all shares are met.  copy counts from 1 up
     to max_repeats; position is the place in tokens of the document within its source's stream and orders the documents of
     a slot.  Documents without tokens or source are in no mix.
     """
-    sizes, quota, slots = _plan(spark, sf_dir, total)
-    placed = _prefix(sizes)
+    return _mixed(*_plan(spark, sf_dir, total))
+
+
+def _mixed(sizes: DataFrame, buckets: int, quota: DataFrame, slots: DataFrame) -> DataFrame:
+    placed = _prefix(sizes, buckets)
     copies = placed.join(F.broadcast(quota.where("quota > 0")), "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("max_repeats", F.ceil(F.col("quota") / F.col("available")).cast("int")))))
     at = (F.col("copy") - 1) * F.col("available") + F.col("before")
     # the document that crosses the quota's end is taken if at least half of it is within
     taken = copies.withColumn("position", at).where(F.col("position") + F.col("tokens") / 2 <= F.col("quota"))
-    keyed = taken.withColumn("block_no", F.floor(F.col("position") / F.col("block")))
-    return keyed.join(F.broadcast(slots), ["mix", "source", "block_no"]).select("mix", "slot", "source", "doc_id", "copy", "position", "tokens")
+    block = F.floor(F.col("position") / BLOCK)
+    keyed = taken.withColumn("turn", F.pmod(block, F.col("weight"))).withColumn("_round", F.floor(block / F.col("weight")))
+    both = keyed.join(F.broadcast(slots), ["mix", "source", "turn"])
+    return both.select("mix", (F.col("_round") * F.col("period") + F.col("in_period")).alias("slot"), "source", "doc_id", "copy", "position", "tokens")
 
 
-def _prefix(sizes: DataFrame) -> DataFrame:
-    """``before``: the tokens of the source's documents that come earlier in its order of hashes."""
-    hashed = sizes.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)))
+def _prefix(sizes: DataFrame, count: int) -> DataFrame:
+    """``before``: the tokens of the source's documents that come earlier in its order of hashes, in ``count`` buckets a source."""
+    hashed = sizes.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 20), F.lit(count)))
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     buckets = hashed.groupBy("source", "bucket").agg(F.sum("tokens").alias("in_bucket"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,12 +146,18 @@ def _prefix(sizes: DataFrame) -> DataFrame:
 
 
 def shares(spark: SparkSession, sf_dir: str, total: int | None = None) -> DataFrame:
-    """(mix, source, target_share, tokens, share, most_copies, short): what every source reached.
+    """(mix, source, target_share, available, quota, tokens, share, most_copies, left_out, short): what every source reached.
 
-    A source that gives nothing has tokens 0; short marks those whose text didn't suffice.
+    A source that gives nothing has tokens 0; left_out is what it holds and the mix doesn't take; short marks those
+    whose text didn't suffice for their share.
     """
-    rows = mixed(spark, sf_dir, total).groupBy("mix", "source").agg(F.sum("tokens").alias("tokens"), F.max("copy").alias("most_copies"))
-    joined = _targets(spark, sf_dir).join(rows, ["mix", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    sizes, buckets, quota, slots = _plan(spark, sf_dir, total)
+    rows = _mixed(sizes, buckets, quota, slots).groupBy("mix", "source").agg(F.sum("tokens").alias("tokens"), F.max("copy").alias("most_copies"))
+    joined = quota.join(rows, ["mix", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    # one row a source of mix_targets
     all_of = F.sum("tokens").over(Window.partitionBy("mix"))
     share = F.coalesce(F.col("tokens") / F.nullif(all_of, F.lit(0)), F.lit(0.0))
-    return joined.select("mix", "source", "target_share", F.col("tokens"), F.round(share, 6).alias("share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (share < F.col("target_share") * 0.98).alias("short"))
+    return joined.select(
+        "mix", "source", "target_share", "available", "quota", "tokens", F.round(share, 6).alias("share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        F.greatest(F.lit(0), F.col("available") - F.col("tokens")).alias("left_out"), "short",
+    )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.tokens import document_sizes
 from folioflow.sources.tables import checkpointed, table
 
-SHARD = 50_000
+SHARD = 25_000
 WINDOWS = 64
 #: A container that is at least this full stays as it is at the end.
 CLOSED = 0.98
@@ -148,6 +148,8 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
                     col.append(v)
         return pa.table(rows, schema=schema)
 
+    # a partition for each group, however few bytes they have
+    work = work.repartition(min(10_000, shards * max(1, kinds.count())), "container", "shard")
     return work.groupBy("container", "shard").applyInArrow(fill, "container string, container_no bigint, doc_id bigint, piece_no int, first_token bigint, end_token bigint")
 
 

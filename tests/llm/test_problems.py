@@ -284,8 +284,18 @@ def test_schedule_is_fair():
 
 
 def test_quotas():
-    got = mixing.quotas([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 1)], {"a": 900, "b": 100})
-    assert got == {"a": 500, "b": 200, "c": 0}
+    own, got = mixing.quotas([("a", 0.5, 2), ("b", 0.3, 2), ("c", 0.2, 1)], {"a": 900, "b": 100})
+    assert own == {"a": 5, "b": 3} and got == {"a": 333, "b": 200}  # b sets the total, c has no text
+    assert mixing.quotas([("a", 0.5, 2), ("b", 0.5, 2)], {"a": 900, "b": 100}, 1000)[1] == {"a": 500, "b": 200}
+    assert mixing.quotas([("a", 0.5, 2)], {}) == ({}, {})
+
+
+def test_weights():
+    assert mixing.weights({"a": 0.4, "b": 0.3, "c": 0.1, "none": 0.0}) == {"a": 4, "b": 3, "c": 1}
+    odd = {"a": 0.123456789, "b": 0.3, "c": 1e-9, "d": 0.576543210}
+    got = mixing.weights(odd)
+    assert sum(got.values()) <= mixing.PERIOD + 1 and got["c"] == 1
+    assert all(abs(got[s] / sum(got.values()) - x) < 2 / mixing.PERIOD for s, x in odd.items())
 
 
 # problem 9

@@ -203,3 +203,20 @@ def test_mixing_and_packing_invariants(spark, odd):
     assert set(packed.container) == {"small", "large"}
     mixed = queries.QUERIES["p8_mixed"](spark, odd).toPandas()
     assert (mixed.groupby(["mix", "source", "doc_id"], dropna=False).size() <= 2).all()
+
+
+def test_shares_are_met_within_a_document(spark, tmp_path):
+    rng = __import__("random").Random(8)
+    docs = [(i, "word " * rng.randrange(20, 400), "en", ("large", "middle", "small")[min(2, i % 7 // 3)], 1, None) for i in range(700)]
+    d = write(spark, tmp_path, {"documents": docs, "mix_targets": [("m", "large", 0.5, 1), ("m", "middle", 0.3, 2), ("m", "small", 0.2, 3), ("m", "none", 0.25, 9)]})
+    from folioflow.llm import mixing
+
+    got = {r["source"]: r for r in mixing.shares(spark, d).collect()}
+    assert got["none"]["tokens"] == 0 and got["none"]["short"]
+    for s, share in (("large", 0.5), ("middle", 0.3), ("small", 0.2)):
+        assert abs(got[s]["share"] - share) < 0.01 and abs(got[s]["tokens"] - got[s]["quota"]) <= 400
+    rows = mixing.mixed(spark, d).orderBy("slot", "position").toPandas()
+    total = got["large"]["quota"] + got["middle"]["quota"] + got["small"]["quota"]
+    for s, share in (("large", 0.5), ("middle", 0.3), ("small", 0.2)):
+        ahead = (rows.tokens.where(rows.source == s, 0).cumsum() - share * rows.tokens.cumsum()).abs().max()
+        assert ahead < 2 * mixing.BLOCK + 800 < total / 10
