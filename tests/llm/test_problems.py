@@ -226,6 +226,22 @@ def test_foreign_words_stay():
     assert lookalike.visual_form(mixed) == lookalike.visual_form(latin) == latin
 
 
+def test_only_the_score_decides():
+    """Letters that all have images, between neighbours that tell no script: the counted pairs choose."""
+    latin = lookalike.Model({**lookalike.pair_counts(["the cork of the copter, the stopper and the corner"] * 50), **lookalike.pair_counts(["соль сорт сосна"])})
+    russian = lookalike.Model({**lookalike.pair_counts(["сорт и сосна, рост и сор на дворе"] * 50), **lookalike.pair_counts(["map"])})
+    word = "сор"
+    assert latin.decode(word, "") == "cop" and russian.decode("cop", "") == word
+    # whatever letters stand for them, equal looks give equal forms
+    for m in (latin, russian):
+        assert m.form("cop") == m.form("сор") == m.form("cор")
+
+
+def test_pairs_of_sure_words_only():
+    got = lookalike.pair_counts(["mill мол сор cop", "mіll"])
+    assert got["latin", "il"] == 1 and got["cyrillic", "мо"] == 1 and ("latin", "co") not in got and got["latin", "^m"] == 2
+
+
 # problem 6
 
 
