@@ -1,16 +1,18 @@
 """Problem 2: sentences across languages and scripts.
 
-A text is cut at line breaks; within a line every place where a sentence may end is a
+A text is cut at line breaks; within a line every place where a sentence may end (a mark, in Thai a blank) is a
 node, and a semi-Markov dynamic programme picks the sequence of whole spans with the best
-sum of scores.  A span's score joins its closing words and mark (abbreviation, initial,
-number, ellipsis), the words that open the next span, its length, the words that open
-it and whether its brackets are balanced.  Places whose evidence alone is overwhelming
-split the programme, so its cost stays linear in the length of the text.
+sum of scores.  A node's score joins the closing words and the mark before it (abbreviation, initial, number, ellipsis) with the
+words that follow; a span's score, never above 0, joins its length, its opening and closing words and whether its
+brackets and quotations are balanced.  A node whose score is below ``-LEAST_SPAN``, what a span can lose at most, is in no best sequence
+and is left out beforehand; going back from a node stops where no span can win any more.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,8 @@ CHINESE_REPORTING = re.compile("[说說问問道喊叫答]")
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 BEFORE_ORDINAL = set("am der dem den des vom zum im beim die das bis ab".split())
 
+# Opening and closing quotation marks of the scripts.
+QUOTES = [("“„", "”"), ("«‹", "»›"), ("「『", "」』")]
 CLOSING = "”»›)\\]’'\"」』）】》〉}"
 _END = re.compile(rf"(?:[.!?…।॥]+|[。！？])[。！？.!?…]*(?:[{CLOSING}]|[      ]+[»›])*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -58,13 +62,43 @@ _NEXT = re.compile(r"[\s“”„\"«»‘'’(\[{¿¡‹›—–-]*")
 _NEXT_WORDS = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
 _IGNORE = re.compile(f"[{IGNORABLE_CHARS}]")
 _DOTTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\.[  ]?)+[^\W\d_]$")
-_SURE = 6.0
-#: Signs after a mark that are looked at.
-AHEAD = 1000
+#: What a span's score can't fall below, and scores of nodes: no end at all, hardly one, an end.
+LEAST_SPAN = -18.0
+_NEVER, _HARDLY, _SURE = LEAST_SPAN - 2.0, -7.0, 6.0
+#: Median length of a sentence in words (in signs where blanks don't divide words), the spread of its logarithm, and the most that a length costs.
+LENGTHS = {"words": 9.0, "cjk": 18.0, "thai": 40.0}
+SPREAD, LENGTH_COST = 0.9, 1.5
+
+
+_NOT_BLANK, _CJK_STOP, _HINDI_STOP = re.compile(r"\S|$"), re.compile(r"[。！？!?…]|$"), re.compile(r"[।॥?!.]|$")
+_NO_WORD = re.compile(r"[\s(\[{“”„\"«»‘,;:]")
+
+
+def _upto(stop: re.Pattern, line: str, at: int) -> str:
+    """The line from ``at`` to the next stop."""
+    return line[at : stop.search(line, at).start()]
+
+
+def _word_before(line: str, at: int) -> str:
+    """The last word before ``at``, divided by blanks only; empty if there is none."""
+    end = at
+    while end and line[end - 1].isspace():
+        end -= 1
+    first = end
+    while first and not line[first - 1].isspace():
+        first -= 1
+    return line[first:end]
+
+
+def _dotted_from(line: str, at: int) -> int:
+    """Where the letters with stops that end before ``at`` may begin."""
+    while at and (line[at - 1].isalpha() or line[at - 1] in ". \u00a0\u202f") and not (at > 1 and line[at - 1].isalpha() and line[at - 2].isalpha()):
+        at -= 1
+    return max(0, at - 1)
 
 
 def _evidence(line: str, start: int, end: int, cjk: bool) -> tuple[float, bool]:
-    """(log-odds that a sentence ends here, whether the mark is weak) from the words on both sides."""
+    """(score of an end here, whether the mark is weak) from the words on both sides."""
     mark = line[start:end]
     stop = mark.rstrip(CLOSING.replace("\\", "") + "“      ")
     closed = mark[len(stop) :].strip()
@@ -74,72 +108,73 @@ def _evidence(line: str, start: int, end: int, cjk: bool) -> tuple[float, bool]:
         return _SURE, False
     ellipsis = stop[0] == "…" or (len(stop) > 1 and set(stop) <= {".", "…"})
     if ellipsis and (cjk or wide):
-        return -_SURE, True
+        return _NEVER, True
     quote = any(c in "”»›’'\"」』“" for c in closed)
-    rest = line[end : end + AHEAD]
     if cjk:
         if stop[0] == ".":
-            if not after.isspace() or line[max(0, start - 1)].isdigit() and rest.lstrip()[:1].isdigit():
-                return -_SURE, True
+            if not after.isspace() or line[max(0, start - 1)].isdigit() and _NOT_BLANK.search(line, end).group().isdigit():
+                return _NEVER, True
         if quote:
-            if rest[0] in "とってい":
-                return -_SURE, False
-            clause = re.split(r"[。！？!?…]", rest, maxsplit=1)[0]
+            if after in "とってい":
+                return _HARDLY, False
+            clause = _upto(_CJK_STOP, line, end)
             if not re.search("[「『“]", clause) and (CHINESE_REPORTING.search(clause) and not re.search("[，、,]", clause)):
-                return -_SURE, False
+                return _HARDLY, False
             if after in "，、,":
-                return -_SURE, False
+                return _NEVER, False
         return _SURE, False
     if not after.isspace() and not wide and stop[0] not in "।॥":
         # a mark inside a word, number or address, or before a comma
         if not (after in "“„«(¿¡「" and not closed):
-            return -_SURE, True
-    nxt = _NEXT.match(rest).end()
-    lead, head = rest[:nxt], rest[nxt : nxt + 1]
+            return _NEVER, True
+    nxt = _NEXT.match(line, end).end()
+    lead, head = line[end:nxt], line[nxt : nxt + 1]
     if re.match(r"\s*[—–-]\s", lead) and quote:
-        return -_SURE, False
+        return _HARDLY, False
     if not head:
-        return (_SURE, False) if not lead.strip("—–- ") else (-_SURE, False)
+        return (_SURE, False) if not lead.strip("—–- ") else (_NEVER, False)
     if head in ",;:.!?…":
-        return -_SURE, True
+        return _NEVER, True
     opens = any(c in "“„«\"(¿¡‘" for c in lead)
     if quote and not opens:
         if head.islower():
-            return -_SURE, False
+            return _HARDLY, False
         if not head.isupper() and not head.isdigit():  # scripts without capitals
-            clause = re.split(r"[।॥?!.]", rest, maxsplit=1)[0]
+            clause = _upto(_HINDI_STOP, line, end)
             if HINDI_REPORTING.search(clause) and not re.search("[“\"]", clause):
-                return -_SURE, False
+                return _HARDLY, False
             return _SURE, False
         if stop[-1] in "!?…":
-            words = [w.lower() for w in _NEXT_WORDS.findall(rest[:80])[:4]]
-            if any(w in REPORTING for w in words[1:3]) or words[0] in REPORTING:
-                return -_SURE, False
+            words = [m.group().lower() for m in islice(_NEXT_WORDS.finditer(line, nxt), 3)]
+            if any(w in REPORTING for w in words):
+                return _HARDLY, False
         return _SURE, False
     if head.islower():
-        return (-_SURE, True) if not opens or stop[-1] == "." else (3.0, False)
+        return (_NEVER, True) if not opens or stop[-1] == "." else (3.0, False)
     if ellipsis:
-        return (4.0, False) if head.isupper() or opens else (-_SURE, True)
+        return (4.0, False) if head.isupper() or opens else (_NEVER, True)
     if stop != ".":
         return _SURE, False
     if closed:
         return _SURE, False
-    word = _LAST_WORD.search(line, max(0, start - 40), start)
-    last = word.group().lower() if word else ""
-    if last not in NEVER_END and len(last) == 1 and last.isalpha() and (d := _DOTTED.search(line, max(0, start - 12), start)):
+    first = start
+    while first and not _NO_WORD.match(line[first - 1]):
+        first -= 1
+    last = line[first:start].lower()
+    if last not in NEVER_END and len(last) == 1 and last.isalpha() and (d := _DOTTED.search(line, _dotted_from(line, start), start)):
         last = re.sub(r"\s", "", d.group().lower())  # z. B., т. е., p. ej.
     if not last:
         return 0.0, True
     if last in NEVER_END:
-        return -_SURE, True
+        return _NEVER, True
     if last in MAY_END:
         return 1.0, True
     if last[-1].isdigit():
-        ahead = _NEXT_WORDS.match(rest, nxt)
-        before = line[: word.start()].split()
+        ahead = _NEXT_WORDS.match(line, nxt)
+        before = _word_before(line, first)
         if not before or ahead and ahead.group().lower() in MONTHS:
-            return -_SURE, True
-        if before[-1].lower() in BEFORE_ORDINAL and last.isdigit():
+            return _NEVER, True
+        if before.lower() in BEFORE_ORDINAL and last.isdigit():
             return -2.0, True
         return 3.0, True
     if len(last) == 1 and last.isalpha():
@@ -149,72 +184,70 @@ def _evidence(line: str, start: int, end: int, cjk: bool) -> tuple[float, bool]:
     return _SURE, False
 
 
-def _span_score(line: str, a: int, b: int, weak: bool) -> float:
-    """How well line[a:b] makes a sentence by itself."""
+def _length_cost(size: int, unit: str) -> float:
+    """How unusual a length is: up to LENGTH_COST."""
+    return min(LENGTH_COST, 0.15 * (math.log(max(1, size) / LENGTHS[unit]) / SPREAD) ** 2)
+
+
+def _span_score(line: str, a: int, b: int, weak: bool, unit: str = "words") -> float:
+    """How well line[a:b] makes a sentence by itself, from LEAST_SPAN to 0."""
     span = line[a:b]
-    words = span.split(None, 5)
-    score = 0.0
+    words = span.split()
     if not words:
         return -9.0
+    score = -_length_cost(len(words) if unit == "words" else b - a, unit)
     first = words[0].lstrip("“„\"«‘'(¿¡")
     if first[:1].islower() and a:
         score -= 2.0
-    if weak:
+    if weak and unit == "words":
         if len(words) <= 3:
             score -= 3.0
         if first.lower() in OPENERS and len(words) <= 4:
             score -= 3.0
-    tail = span.rsplit(None, 1)[-1].rstrip(".!?…").lower()
-    if tail in LINKS:
+    if words[-1].rstrip(".!?…").lower() in LINKS:
         score -= 2.0
     if span.count("(") > span.count(")"):
         score -= 2.0
-    if (span.count("“") + span.count("„")) < span.count("”"):
-        score -= 0.25
+    for opening, closing in QUOTES:  # a quotation may hold several sentences, so this counts for little
+        if sum(map(span.count, opening)) != sum(map(span.count, closing)):
+            score -= 0.25
     return score
 
 
-def _line_ends(line: str) -> list[int]:
-    """Ends of the sentences of one line without invisible characters."""
-    size = len(line.rstrip())
-    if not size:
-        return []
-    thai = _THAI.search(line)
-    if thai:
-        ends = []
+def _nodes(line: str, size: int) -> tuple[list[tuple[int, float, bool]], str]:
+    """((place, score, weak) of every place where a sentence may end before the line does, unit of length)."""
+    if _THAI.search(line):
+        nodes = []
         for m in _THAI_BLANK.finditer(line, 0, size):
             a, b = m.span()
-            if a and not line[a - 1].isdigit() and not line[b].isdigit() and line[a - 1] not in ":：":
-                ends.append(a)
-        return [*ends, size]
+            if a:
+                number = line[a - 1].isdigit() or line[b].isdigit()
+                nodes.append((a, _NEVER if line[a - 1] in ":：" else _HARDLY if number else _SURE, False))
+        return nodes, "thai"
     cjk = bool(_CJK.search(line))
-    nodes: list[tuple[int, float, bool]] = []
-    out: list[int] = []
-    base = 0
+    nodes = []
     for m in _END.finditer(line, 0, size):
         end = m.end()
         if line[end : end + 1] == "“" and line.count("„", 0, end) > line.count("“", 0, end):
             end += 1  # “ closes what „ opened
         if end >= size:
             break
-        e, weak = _evidence(line, m.start(), end, cjk)
-        if e <= -_SURE:
-            continue
-        if e >= _SURE:
-            if nodes:
-                out += _best(line, base, end, nodes)
-                nodes = []
-            else:
-                out.append(end)
-            base = end
-        else:
-            nodes.append((end, e, weak))
-    out += _best(line, base, size, nodes) if nodes else [size]
-    return out
-
-
-def _best(line: str, base: int, end: int, nodes: list[tuple[int, float, bool]]) -> list[int]:
-    """The semi-Markov programme between two sure ends."""
+        nodes.append((end, *_evidence(line, m.start(), end, cjk)))
+    return nodes, "cjk" if cjk else "words"
+
+
+def _line_ends(line: str) -> list[int]:
+    """Ends of the sentences of one line without invisible characters."""
+    size = len(line.rstrip())
+    if not size:
+        return []
+    nodes, unit = _nodes(line, size)
+    kept = [n for n in nodes if n[1] >= LEAST_SPAN]
+    return _best(line, 0, size, kept, unit) if kept else [size]
+
+
+def _best(line: str, base: int, end: int, nodes: list[tuple[int, float, bool]], unit: str = "words") -> list[int]:
+    """The semi-Markov programme over the nodes of line[base:end]."""
     at = [(base, 0.0, False), *nodes, (end, 0.0, False)]
     best: list[tuple[float, int]] = [(0.0, -1)]
     most = [0.0]  # the best score up to each node; a span's own score is never above 0, so what is below the bound can't win
@@ -226,7 +259,7 @@ def _best(line: str, base: int, end: int, nodes: list[tuple[int, float, bool]])
             start = at[i][0]
             while start < at[j][0] and line[start].isspace():
                 start += 1
-            got = best[i][0] + at[j][1] + _span_score(line, start, at[j][0], at[j][2])
+            got = best[i][0] + at[j][1] + _span_score(line, start, at[j][0], at[j][2], unit)
             if got > top:
                 top, back = got, i
         best.append((top, back))

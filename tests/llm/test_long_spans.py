@@ -2,7 +2,7 @@
 
 import random
 
-from folioflow.llm.sentences import _best, _span_score
+from folioflow.llm.sentences import LEAST_SPAN, _best, _span_score
 
 
 def every_span(line, end, nodes):
@@ -25,3 +25,18 @@ def test_spans_cross_any_number_of_doubtful_marks():
     for _ in range(20):
         nodes = [(m, rng.choice([-4.0, -2.0, 0.0, 0.5, 1.0]), True) for m in marks]
         assert _best(line, 0, len(line), nodes) == every_span(line, len(line), nodes)
+
+
+WORDS = ["the", "Lee", "(so", "over)", "“Run", "away”", "at", "to", "„so", "«no", "x" * 300, "9", "and"]
+
+
+def test_what_is_left_out_is_in_no_best_sequence():
+    rng = random.Random(7)
+    for _ in range(60):
+        line = " ".join(rng.choice(WORDS) + rng.choice(["", ".", "."]) for _ in range(25))
+        nodes = [(i + 1, rng.choice([LEAST_SPAN - 0.01, -30.0, -7.0, 0.5, 6.0]), rng.random() < 0.5) for i, ch in enumerate(line[:-1]) if ch == "."]
+        kept = [n for n in nodes if n[1] >= LEAST_SPAN]
+        assert _best(line, 0, len(line), kept) == every_span(line, len(line), nodes)
+        a, b = sorted(rng.sample(range(len(line)), 2))
+        for unit in ("words", "cjk", "thai"):
+            assert LEAST_SPAN <= _span_score(line, a, b, True, unit) <= 0
