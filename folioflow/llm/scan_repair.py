@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
@@ -95,7 +96,7 @@ def _like_title(words: str, title: str) -> bool:
 def is_furniture(line: str, title: str, page: int | None) -> bool:
     """Whether a line of a scanned block is a page number or a running header."""
     s = line.strip()
-    if not s or len(s) > 120:
+    if not s:
         return False
     if m := PAGE_NUMBER.match(s):
         number = m.group(1)
@@ -119,15 +120,32 @@ def is_furniture(line: str, title: str, page: int | None) -> bool:
 
 
 class Trie:
-    """Words with their counts; ``candidates`` walks it together with a word's automaton."""
+    """Words with their counts, packed; ``candidates`` walks it together with a word's automaton.
+
+    Nodes are numbered level by level, so a node's children stand side by side: ``labels`` holds the letter of every node, ``first`` where
+    its children begin (they end where those of the next node begin) and ``counts`` the count of the word that ends there, 0 for none.
+    """
 
     def __init__(self, words: dict[str, int]):
-        self.root: dict = {}
-        for w, n in words.items():
-            node = self.root
-            for ch in w:
-                node = node.setdefault(ch, {})
-            node[""] = n
+        ordered = sorted(words)
+        labels, first, counts, level, depth = ["\0"], array("I"), array("q"), [(0, len(ordered))], 0
+        while level:
+            below = []
+            for lo, hi in level:
+                ends = lo < hi and len(ordered[lo]) == depth
+                counts.append(words[ordered[lo]] if ends else 0)
+                lo += ends
+                first.append(len(labels))
+                while lo < hi:
+                    ch, k = ordered[lo][depth], lo + 1
+                    while k < hi and ordered[k][depth] == ch:
+                        k += 1
+                    labels.append(ch)
+                    below.append((lo, k))
+                    lo = k
+            level, depth = below, depth + 1
+        first.append(len(labels))
+        self.labels, self.first, self.counts = "".join(labels), first, counts
 
     def candidates(self, word: str, misreads: int = 2, free: int = 0) -> list[tuple[str, int, int]]:
         """(vocabulary word, edits, count) of all words within so many misreadings and free edits.
@@ -135,20 +153,21 @@ class Trie:
         A state is (letters of ``word`` used, misreadings, free edits, letters still due).
         """
         n, found = len(word), {}
+        labels, first, counts = self.labels, self.first, self.counts
         longs: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for seen, true in CONFUSIONS_LONG:
             at = word.find(seen)
             while at >= 0:
                 longs[at].append((at + len(seen), true))
                 at = word.find(seen, at + 1)
-        stack = [(self.root, "", {(0, 0, 0, "")})]
+        stack = [(0, "", {(0, 0, 0, "")})]
         while stack:
             node, prefix, states = stack.pop()
-            if "" in node:
+            if counts[node]:
                 for i, m, f, due in states:
                     rest = n - i  # letters too many at the end
                     if not due and f + rest <= free:
-                        found[prefix] = min(found.get(prefix, (9, 0)), (m + f + rest, node[""]))
+                        found[prefix] = min(found.get(prefix, (9, 0)), (m + f + rest, counts[node]))
             step: dict[str, set] = defaultdict(set)
             any_letter = set()
             for i, m, f, due in states:
@@ -165,15 +184,18 @@ class Trie:
                             step[true[0]].add((end, m + 1, f, true[1:]))
                     if f < free:
                         any_letter.add((i + 1, m, f + 1, ""))  # another letter
-                        if i + 1 <= n:  # a letter too many, then what follows it
-                            nxt = word[i + 1] if i + 1 < n else None
-                            if nxt:
-                                step[nxt].add((i + 2, m, f + 1, ""))
+                        if i + 1 < n:  # a letter too many, then what follows it
+                            step[word[i + 1]].add((i + 2, m, f + 1, ""))
                 if f < free:
                     any_letter.add((i, m, f + 1, ""))  # a letter is missing
-            for ch in node if any_letter else [c for c in step if c in node]:
-                if ch and (nxt_states := step.get(ch, set()) | any_letter):
-                    stack.append((node[ch], prefix + ch, nxt_states))
+            lo, hi = first[node], first[node + 1]
+            if any_letter:
+                for k in range(lo, hi):
+                    stack.append((k, prefix + labels[k], step.get(labels[k], set()) | any_letter))
+            else:
+                for ch, after in step.items():
+                    if (k := labels.find(ch, lo, hi)) >= 0:
+                        stack.append((k, prefix + ch, after))
         return sorted(((w, e, c) for w, (e, c) in found.items()), key=lambda x: (x[1], -x[2], x[0]))
 
 
@@ -211,30 +233,35 @@ def capitals(word: str, counts: dict[str, int]) -> float:
     return counts.get("^" + word, 0) / max(1, counts.get(word, 0))
 
 
-def cleaned_vocabulary(counts: dict[str, int]) -> dict[str, int]:
-    """``counts`` without the words that are misreadings of a much more frequent word.
+def is_sound(w: str, n: int, counts: dict[str, int], trie: Trie) -> bool:
+    """Whether a word of the corpus isn't the misreading of a much more frequent one.
 
     A word that mostly has a capital (a name) is no misreading of one that hardly ever has.
     """
+    if SURE.search(w):
+        return False
+    name = capitals(w, counts) > 0.5
+    return not any(e and c >= MISREAD_RATIO * n and not (name and capitals(x, counts) < LEAST_CAPITALS) for x, e, c in trie.candidates(w, 2 if len(w) > 4 else 1))
+
+
+def cleaned_vocabulary(counts: dict[str, int]) -> dict[str, int]:
+    """``counts`` without the words that aren't sound."""
     trie = Trie({w: n for w, n in counts.items() if w[0] != "^"})
-    good = {}
-    for w, n in counts.items():
-        if w[0] == "^" or SURE.search(w):
-            continue
-        name = capitals(w, counts) > 0.5
-        if any(e and c >= MISREAD_RATIO * n and not (name and capitals(x, counts) < LEAST_CAPITALS) for x, e, c in trie.candidates(w, 2 if len(w) > 4 else 1)):
-            continue
-        good[w] = n
-    return good | {w: n for w, n in counts.items() if w[0] == "^" and w[1:] in good}
+    return with_capitals(counts, [w for w, n in counts.items() if w[0] != "^" and is_sound(w, n, counts, trie)])
+
+
+def with_capitals(counts: dict[str, int], words: list[str]) -> dict[str, int]:
+    """Counts of the words and of their occurrences with a capital."""
+    return {x: counts[x] for w in words for x in (w, "^" + w) if x in counts}
 
 
 class Scan:
     """What a worker needs to judge words: the vocabulary, its trie and verdicts so far."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int] | None = None):
+    def __init__(self, words: dict[str, int], pairs: dict[str, int] | None = None, trie: Trie | None = None):
         self.counts, self.verdicts = words, {}
         self.words = {w: n for w, n in words.items() if w[:1] != "^"}
-        self.trie = Trie(self.words)
+        self.trie = trie or Trie(self.words)
         self.total = sum(self.words.values()) or 1
         self.pairs = pairs or {}
 
@@ -257,8 +284,10 @@ class Scan:
             return 0, core
         if core.rstrip("'’s") in self.words:
             return 0, core
-        if SURE.search(core) and sum(map(str.isalpha, core)) >= 2:
-            return 1, core
+        if SURE.search(core):
+            # misread in any case, as no word holds such a sign; the automaton finds the form that a word is behind, if any is
+            forms = dict.fromkeys([core, bare.lstrip("!")])
+            return 1, next((f for f in forms if self.trie.candidates(f, 3)), core)
         if "-" in core or "‐" in core or "‑" in core:
             parts = [x for x in re.split(r"[-‐‑]", core) if x]
             return max((self.verdict(x) for x in parts), key=lambda v: v[0] == 1) if parts else (0, core)
@@ -420,43 +449,57 @@ def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.select("book", "block_no", "source_page", "text").join(jobs, "book")
 
 
-def _counted(texts: DataFrame, pairs: bool) -> tuple[dict[str, int], DataFrame, int]:
-    """Words (or pairs of words) with a share of at least MIN_SHARE, collected: at most 1 / MIN_SHARE; all of them; the least count."""
+def _counted(texts: DataFrame, pairs: bool) -> tuple[dict[str, int], dict[str, int], DataFrame, int]:
+    """(words, pairs, all words, least): words, and with ``pairs`` pairs of them, with a share of at least MIN_SHARE, collected, so at most 1 / MIN_SHARE of each."""
 
     def count(columns: dict[str, list]) -> dict[str, list]:
-        counts: Counter = Counter()
+        cased, both = Counter(), Counter()
         for text in columns["text"]:
             words = [w.strip(EDGE).rstrip("!") for w in TOKEN.findall(_folded(text))]
+            cased.update(words)
             if pairs:
                 low = [w.lower() for w in words]
-                counts.update(zip(low, low[1:]))
-            else:
-                counts.update(words)
-        counts.pop("", None)
+                both.update(zip(low, low[1:]))
+        cased.pop("", None)
+        counts: Counter = Counter()
+        for w, n in cased.items():
+            counts[low := w.lower()] += n
+            if w[0].isupper() and not w.isupper():
+                counts["^" + low] += n
+        counts[""] = sum(counts.values())
         if pairs:
-            counts = Counter({f"{a} {b}": n for (a, b), n in counts.items()})
-        total = sum(counts.values())
-        if not pairs:
-            cased, counts = counts, Counter()
-            for w, n in cased.items():
-                counts[low := w.lower()] += n
-                if w[0].isupper() and not w.isupper():
-                    counts["^" + low] += n
-        counts[""] = total
+            counts[" "] = sum(both.values())
+            for (a, b), n in both.items():
+                if a and b:
+                    counts[f"{a} {b}"] += n
         return {"word": list(counts), "n": list(counts.values())}
 
     sums = checkpointed(map_columns(texts.select("text"), count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
-    total = sums.where(F.col("word") == "").select("n").first()
-    least = max(MIN_COUNT, math.ceil((total[0] if total else 0) * MIN_SHARE))
-    return {r[0]: r[1] for r in sums.where((F.col("word") != "") & (F.col("n") >= least)).collect()}, sums, least
+    totals = {r[0]: r[1] for r in sums.where(F.col("word").isin("", " ")).collect()}
+    least = {k: max(MIN_COUNT, math.ceil(totals.get(k, 0) * MIN_SHARE)) for k in ("", " ")}
+    is_pair = F.contains("word", F.lit(" "))
+    often = sums.where(~F.col("word").isin("", " ") & (F.col("n") >= F.when(is_pair, least[" "]).otherwise(least[""])))
+    words, common = {}, {}
+    for w, n in often.collect():
+        (common if " " in w else words)[w] = n
+    return words, common, sums.where(~is_pair), least[""]
 
 
 def _model(blocks: DataFrame, context: bool):
-    """A function that gives a worker its Scan, the counts of all words and the vocabulary's least; it has at most 1 / MIN_SHARE words."""
-    counts, sums, least = _counted(blocks, False)
-    words = cleaned_vocabulary(counts)
-    pairs = _counted(blocks, True)[0] if context else {}
-    sent, name = blocks.sparkSession.sparkContext.broadcast((words, pairs)), token()
+    """A function that gives a worker its Scan, the counts of all words and the vocabulary's least; it has at most 1 / MIN_SHARE words.
+
+    The words are judged by the tasks, and the trie is packed once and sent.
+    """
+    counts, pairs, sums, least = _counted(blocks, context)
+    context_ = blocks.sparkSession.sparkContext
+    raw = context_.broadcast((counts, Trie({w: n for w, n in counts.items() if w[0] != "^"})))
+
+    def judge(c: dict[str, list]) -> dict[str, list]:
+        return {"word": [w for w, n in zip(c["word"], c["n"]) if is_sound(w, n, *raw.value)]}
+
+    often = sums.where((F.col("word") != "") & ~F.col("word").startswith("^") & (F.col("n") >= least))
+    words = with_capitals(counts, [r[0] for r in map_columns(often, judge, "word string").collect()])
+    sent, name = context_.broadcast((words, pairs, Trie({w: n for w, n in words.items() if w[0] != "^"}))), token()
     return lambda: kept(name, lambda: Scan(*sent.value)), sums, least
 
 
