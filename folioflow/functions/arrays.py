@@ -61,6 +61,24 @@ def pad(a: Column, size: Column, by: Column) -> Column:
     return F.concat(a, F.array_repeat(by, F.greatest(size - F.size(a), F.lit(0))))
 
 
+def trim_back(a: Column, tokens: Column, longest: Column) -> Column:
+    """What ``tokens`` of ``longest`` tokens gave of a padded output: round(size / longest * tokens) samples, half to even (ARR07)."""
+    return F.slice(a, F.lit(1), F.bround(F.size(a) / longest.cast("double") * tokens).cast("int"))
+
+
+def channel_mean(*channels: Column) -> Column:
+    """The mean of channels of equal length, sample by sample (SRC19)."""
+    total = doubles(channels[0])
+    for c in channels[1:]:
+        total = F.zip_with(total, doubles(c), lambda x, y: x + y)
+    return F.transform(total, lambda x: x / len(channels))
+
+
+def loudness_scale(a: Column, target: float, most: float = 0.99) -> Column:
+    """What to multiply with for a root mean square of ``target``, unless a peak would pass ``most`` (AGG25); 1 for silence."""
+    return F.when(rms(a) > 0, F.least(F.lit(target) / rms(a), F.lit(most) / peak(a))).otherwise(1.0)
+
+
 def positions(mask: Column) -> Column:
     """Places among the set entries of a 0/1 mask, 0 where unset (ARR08)."""
     sums = F.transform(mask, lambda m, i: F.aggregate(F.slice(mask, F.lit(1), i + 1), F.lit(0), lambda s, x: s + x))

@@ -33,6 +33,22 @@ def shared_paths(jobs: DataFrame, key: str, path: str) -> DataFrame:
     return rows.join(many, "_p", "left_semi").select(key)
 
 
+def in_use(jobs: DataFrame, key: str, path: str, status: str, unfinished: list[str]) -> DataFrame:
+    """(key) of the jobs whose file another job needs that isn't finished, letter case aside (JON06): such a file isn't put away.
+
+    Jobs are counted by file first, so a file of many jobs gives one row.
+    """
+    rows = jobs.select(key, F.lower(F.col(path)).alias("_p"), F.col(status).isin(unfinished).cast("int").alias("_u")).where(F.col("_p").isNotNull()).distinct()
+    counts = rows.groupBy("_p").agg(F.sum("_u").alias("_n"))
+    return rows.join(counts, "_p").where(F.col("_n") > F.coalesce("_u", F.lit(0))).select(key)
+
+
+def covers(images: DataFrame, key: str, order: str, least: int = 200) -> DataFrame:
+    """(key, order): the largest image of each document by bytes, the first of equal ones, of those with both sides at least ``least`` (SRC05)."""
+    rows = images.where((F.col("width") >= least) & (F.col("height") >= least))
+    return rows.groupBy(key).agg(F.max(F.struct("bytes", -F.col(order))).alias("_b")).select(key, (-F.col("_b")["col2"]).alias(order))
+
+
 def start_page(lines: DataFrame, outline: DataFrame, key: str, pages: int = 80, head: int = 20, contents: int = 10, markers: int = 3) -> DataFrame:
     """(key, page, reason): where reading should begin (AGG10).
 

@@ -100,7 +100,25 @@ def plan_hash(plan: DataFrame, key: str, order: str, columns: list[str], width:
     return blocks.groupBy(key).agg(F.sha2(joined("_b", "_h"), 256).alias("digest"))
 
 
-def staleness(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """(key, state): fresh without an old digest, current if it is equal, else stale (AGG22)."""
-    both = new.select(key, "digest").join(old.select(key, F.col("digest").alias("_old")), key, "left")
-    return both.select(key, F.when(F.col("_old").isNull(), "fresh").when(F.col("_old") == F.col("digest"), "current").otherwise("stale").alias("state"))
+def pack_paragraphs(c: Column, ceiling: int = CEILING) -> Column:
+    """Array of (text, end_of_paragraph): every paragraph of an array packed by itself (FLD01b)."""
+    one = lambda p: F.transform(pack_text(p, ceiling), lambda x, i: F.struct(x.alias("text"), i.alias("i")))
+    marked = lambda a: F.transform(a, lambda r: F.struct(r["text"].alias("text"), (r["i"] == F.size(a) - 1).alias("end_of_paragraph")))
+    return F.flatten(F.transform(c, lambda p: marked(one(p))))
+
+
+def identity(digests: DataFrame, jobs: DataFrame, key: str, parts: list[str], version: str) -> DataFrame:
+    """(key, identity): SHA-256 over a plan's digest, the named columns of its job (null as empty) and the planner's version (AGG21)."""
+    own = [F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]
+    return digests.join(jobs.select(key, *parts), key).select(key, F.sha2(F.to_json(F.array("digest", *own, F.lit(version))), 256).alias("identity"))
+
+
+def staleness(new: DataFrame, old: DataFrame, key: str, prefix: str = "v2:") -> DataFrame:
+    """(key, state): fresh without an old digest, current if it is equal, else stale (AGG22).
+
+    Old digests with the prefix are compared with ``digest``, those without, of an earlier form, with ``legacy`` where ``new`` has such a column.
+    """
+    legacy = F.col("legacy") if "legacy" in new.columns else F.col("digest")
+    both = new.select(key, "digest", legacy.alias("_legacy")).join(old.select(key, F.col("digest").alias("_old")), key, "left")
+    same = F.when(F.col("_old").startswith(prefix), F.col("_old") == F.concat(F.lit(prefix), F.col("digest"))).otherwise(F.col("_old") == F.col("_legacy"))
+    return both.select(key, F.when(F.col("_old").isNull(), "fresh").when(same, "current").otherwise("stale").alias("state"))

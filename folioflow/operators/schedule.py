@@ -81,6 +81,13 @@ def first_sound(attempts: DataFrame, keys: list[str], attempt: str, size: Column
     return attempts.groupBy(*keys).agg(F.count("*").alias("attempts"), F.min(F.when(size < cap, F.col(attempt))).alias("sound"))
 
 
+def retried(attempts: DataFrame, keys: list[str], attempt: str, size: Column, cap: int = CAP, most: int = 3) -> DataFrame:
+    """(keys, attempt, state): the first sound attempt of at most ``most`` repeats after the first, "error" where they are used up, else "retry" (FLD04)."""
+    rows = first_sound(attempts.where(F.col(attempt) <= most + 1), keys, attempt, size, cap)
+    state = F.when(F.col("sound").isNotNull(), "sound").when(F.col("attempts") > most, "error").otherwise("retry")
+    return rows.select(*keys, F.col("sound").alias("attempt"), state.alias("state"))
+
+
 def parts(rows: DataFrame, key: str, order: str, seconds: str, ends_block: str, limit: float) -> DataFrame:
     """``rows`` (key, order, seconds, ends_block) with part_no from 1: a part closes at the first end of a block
     at or after ``limit`` seconds (FLD03).  No part is empty.

@@ -72,13 +72,13 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("book").agg(end.alias("_e")).select("book", F.floor(F.col("_e.e") / F.col("_e.sr") * 1000).cast("bigint").alias("total_ms"))
 
 
-def metadata_text(chapters: DataFrame, titles: DataFrame) -> DataFrame:
-    """(book, text): the chapter file of each book (SNK04); empty titles give no tag."""
+def metadata_text(chapters: DataFrame, titles: DataFrame, tags: tuple[str, ...] = ("title",)) -> DataFrame:
+    """(book, text): the chapter file of each book (SNK04), with a tag for each of the columns ``tags`` that isn't empty."""
     entry = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), F.col("start_ms").cast("string"), F.lit("\nEND="), F.col("end_ms").cast("string"), F.lit("\ntitle="), T.ffmeta_escape(F.col("title")))
     listed = F.array_sort(F.collect_list(F.struct(F.col("start_ms").alias("s"), entry.alias("t"))))
     body = chapters.groupBy("book").agg(F.array_join(F.transform(listed, lambda r: r["t"]), "\n").alias("body"))
-    tag = F.when(F.coalesce(T.strip(F.col("title")), F.lit("")) != "", F.concat(F.lit("title="), T.ffmeta_escape(F.col("title"))))
-    return body.join(titles.select("book", "title"), "book").select("book", F.concat_ws("\n", F.lit(";FFMETADATA1"), tag, "body").alias("text"))
+    lines = [F.when(F.coalesce(T.strip(F.col(t)), F.lit("")) != "", F.concat(F.lit(f"{t}="), T.ffmeta_escape(F.col(t)))) for t in tags]
+    return body.join(titles.select("book", *tags), "book").select("book", F.concat_ws("\n", F.lit(";FFMETADATA1"), *lines, "body").alias("text"))
 
 
 def forward_frames(rows: DataFrame, target_ms: int) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -64,23 +64,47 @@ def setting(*candidates: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in candidates))
 
 
+def setting_list(c: Column, sign: str = ";") -> Column:
+    """The parts of a list setting, trimmed, without empty ones (SRC14)."""
+    return F.filter(F.transform(F.split(c, f"\\Q{sign}\\E", -1), T.strip), lambda x: x != "")
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
     """(path, length, content) of all files below a folder (SRC06)."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
-def pdf_checks(found: DataFrame) -> DataFrame:
-    """(path, error): what is wrong with each imported file, null if nothing (SRC18).
+#: Bytes of the largest file that is imported.
+MOST_BYTES = 2 << 30
+
+
+def import_error(name: Column, length: Column, head: Column, encrypted: Column, pages: Column) -> Column:
+    """What is wrong with an imported file, null if nothing (SRC18).
 
-    The file source doesn't list empty files, so they have no row.
+    ``head`` holds the first bytes as text; null where something isn't known yet counts as right.
     """
-    head = F.substring(F.col("content"), 1, 1024).cast("string")
-    error = (
-        F.when(F.col("length") > 2 << 30, "larger than 2 GiB")
-        .when(~F.lower("path").endswith(".pdf"), "not a .pdf")
+    return (
+        F.when(length == 0, "empty")
+        .when(length > MOST_BYTES, "larger than 2 GiB")
+        .when(~F.lower(name).endswith(".pdf"), "not a .pdf")
         .when(~F.contains(head, F.lit("%PDF-")), "no PDF header")
+        .when(encrypted, "encrypted")
+        .when(pages < 1, "no pages")
     )
-    return found.select("path", error.alias("error"))
+
+
+def import_names(found: DataFrame, path: str = "path") -> DataFrame:
+    """``found`` with ``name``: the file name that file systems accept, with (2), (3) and so on for equal ones in order of path (SRC18)."""
+    plain = F.coalesce(F.nullif(T.windows_name(T.file_stem(F.col(path))), F.lit("")), F.lit("document"))
+    rows = found.withColumn("_s", plain)
+    r = F.row_number().over(Window.partitionBy(F.lower("_s")).orderBy(path))
+    return rows.withColumn("_r", r).withColumn("name", F.concat("_s", F.when(F.col("_r") > 1, F.concat(F.lit(" ("), "_r", F.lit(")"))).otherwise(""), F.lit(".pdf"))).drop("_s", "_r")
+
+
+def pdf_checks(found: DataFrame) -> DataFrame:
+    """(path, error) of files with their content; the file source doesn't list empty files, so they have no row (SRC18)."""
+    head = F.substring(F.col("content"), 1, 1024).cast("string")
+    return found.select("path", import_error(F.col("path"), F.col("length"), head, F.lit(False), F.lit(1)).alias("error"))
 
 
 def _little(c: str, at: int, size: int) -> Column:
@@ -89,9 +113,26 @@ def _little(c: str, at: int, size: int) -> Column:
     return F.conv(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size)))), 16, 10).cast("bigint")
 
 
+def heads(found: DataFrame, size: int) -> DataFrame:
+    """(path, head): the first bytes of each file, read by themselves, whatever the size of the file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                fs, place = FileSystem.from_uri(path)
+                with fs.open_input_file(place) as f:
+                    out.append(f.read(size))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], ["path", "head"])
+
+    return found.select("path").mapInArrow(run, "path string, head binary")
+
+
 def wav_headers(found: DataFrame) -> DataFrame:
     """(path, channels, sr, bits, frames) from the first 44 bytes of plain PCM files (SRC11)."""
-    rows = found.select("path", F.substring(F.col("content"), 1, 44).alias("h"))
+    rows = heads(found, 44).withColumnRenamed("head", "h")
     out = rows.select("path", _little("h", 22, 2).cast("int").alias("channels"), _little("h", 24, 4).cast("int").alias("sr"), _little("h", 34, 2).cast("int").alias("bits"), _little("h", 40, 4).alias("_b"))
     return out.select("path", "channels", "sr", "bits", F.floor(F.try_divide(F.col("_b") * 8, F.col("bits") * F.col("channels"))).alias("frames"))
 

@@ -48,6 +48,23 @@ def chapter_files(parts: DataFrame, path: str) -> None:
     rows.repartition("book", "chapter").sortWithinPartitions("book", "chapter", "order_no").select("book", "chapter", "value").write.partitionBy("book", "chapter").mode("overwrite").text(path)
 
 
+def combined_book(parts: DataFrame) -> DataFrame:
+    """(book, part_no, value): all chapters of a book with a line before each, as rows in order (SNK11); rows, so no task holds a book."""
+    text = parts.select("book", "chapter", F.col("order_no").cast("bigint").alias("order_no"), F.col("text").alias("value"))
+    marks = parts.select("book", "chapter").distinct().select("book", "chapter", F.lit(-1).cast("bigint").alias("order_no"), F.format_string("===== CHAPTER %d =====", F.col("chapter").cast("bigint")).alias("value"))
+    return text.unionByName(marks)
+
+
+def write_tagged(blocks: DataFrame, path: str) -> None:
+    """Blocks as JSON lines, one file a task (SNK12)."""
+    blocks.select("book", "block_no", "type", "text").write.mode("overwrite").json(path)
+
+
+def write_facts(facts: DataFrame, path: str) -> None:
+    """(book, name, value): counts, digests and the like beside a plan, in place of small files (SNK13)."""
+    facts.select("book", "name", F.col("value").cast("string").alias("value")).write.mode("overwrite").parquet(path)
+
+
 def report(facts: DataFrame) -> DataFrame:
     """(text): one line "name: value" per row (name, value) in order of name (SNK10); for small tables of facts."""
     line = F.concat_ws(": ", "name", F.coalesce("value", F.lit("-")))

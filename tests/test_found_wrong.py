@@ -59,3 +59,34 @@ def test_emphasis_of_any_depth(spark):
     while (new := rule.sub(lambda m: (m.group(1) or "") + (m.group(2) or ""), want)) != want:
         want = new
     assert spark.createDataFrame([(deep,)], "c string").select(T.strip_markdown(F.col("c"))).first()[0] == " ".join(want.split())
+
+
+def test_covers_and_imports(spark):
+    from folioflow.sources import readers
+
+    images = spark.createDataFrame([("a", 1, 200, 300, 50), ("a", 2, 900, 900, 70), ("a", 3, 300, 300, 70), ("a", 4, 199, 900, 99), ("b", 1, 10, 10, 5)], "k string, o int, width int, height int, bytes int")
+    assert [tuple(r) for r in catalog.covers(images, "k", "o").collect()] == [("a", 2)]
+    df = spark.createDataFrame([("/x/a:b.pdf",), ("/y/A_b.pdf",), ("/z/ ..pdf",)], "path string")
+    assert [r["name"] for r in readers.import_names(df).orderBy("path").collect()] == ["a_b.pdf", "A_b (2).pdf", "document.pdf"]
+    c = F.lit
+    rows = [("a.pdf", 0, "%PDF-", False, 1), ("a.txt", 9, "%PDF-", False, 1), ("a.PDF", 9, "x", False, 1), ("a.pdf", 9, "x%PDF-", True, 1), ("a.pdf", 9, "%PDF-", False, 0), ("a.pdf", 9, "%PDF-", False, None)]
+    got = spark.range(1).select(*(readers.import_error(c(n), c(s).cast("bigint"), c(h), c(e), c(p).cast("int")).alias(f"c{i}") for i, (n, s, h, e, p) in enumerate(rows))).first()
+    assert list(got) == ["empty", "not a .pdf", "no PDF header", "encrypted", "no pages", None]
+
+
+def test_retries_end_in_an_error(spark):
+    from folioflow.operators import schedule
+
+    rows = [("a", 1, 9), ("a", 2, 3), ("b", 1, 9), ("b", 2, 9), ("c", 1, 9), ("c", 2, 9), ("c", 3, 9), ("c", 4, 4), ("d", 1, 4), ("d", 2, 9), ("d", 3, 9), ("d", 4, 9)]
+    rows += [("e", i, 9) for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "k string, attempt int, n int")
+    got = {r["k"]: (r["attempt"], r["state"]) for r in schedule.retried(df, ["k"], "attempt", F.col("n"), 5).collect()}
+    assert got == {"a": (2, "sound"), "b": (None, "retry"), "c": (4, "sound"), "d": (1, "sound"), "e": (None, "error")}
+
+
+def test_job_files_newest_name_first(spark, tmp_path):
+    from folioflow.sources import readers
+
+    for n in ("j1", "j3", "j2"):
+        (tmp_path / f"{n}.json").write_text('{\n "id": "%s"\n}' % n)
+    assert [r["id"] for r in readers.job_files(spark, str(tmp_path), "id string, voice string").collect()] == ["j3", "j2", "j1"]
