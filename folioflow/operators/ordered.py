@@ -17,22 +17,25 @@ def _blocked(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order) / width).cast("bigint"))
 
 
-def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, ties: list[str] | None = None, inclusive: bool = False, width: int = WIDTH) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over the earlier rows of the key (its own too if inclusive).
+def running_sums(df: DataFrame, key: str, order: str, values: dict[str, Column], inclusive: bool = False, ties: list[str] | None = None, width: int = WIDTH) -> DataFrame:
+    """``df`` with, for each name of ``values``, the sum of its column over the earlier rows of the key (its own too if inclusive): one grouping and one join for all.
 
     Null values count as 0.  ``ties`` are further columns that order rows of equal order.
     """
-    rows = _blocked(df.withColumn("_v", F.coalesce(value, F.lit(0))), order, width)
-    base = _bases(rows, key)
+    names = list(values)
+    rows = _blocked(df.select("*", *(F.coalesce(v, F.lit(0)).alias(f"_v_{n}") for n, v in values.items())), order, width)
+    sums = rows.groupBy(F.col(key).alias("_k"), F.col("_block").alias("_b")).agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names))
+    over = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_k", "_b", *(F.coalesce(F.sum(f"_s_{n}").over(over), F.lit(0)).alias(f"_base_{n}") for n in names))
     inner = Window.partitionBy(key, "_block").orderBy(order, *(ties or [])).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    summed = rows.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-    return summed.join(base, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b"))).withColumn(name, F.col("_base") + F.col("_in")).drop("_v", "_block", "_in", "_k", "_b", "_base")
+    summed = rows.select("*", *(F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)).alias(f"_in_{n}") for n in names))
+    both = summed.join(base, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_b")))
+    return both.select(*df.columns, *((F.col(f"_base_{n}") + F.col(f"_in_{n}")).alias(n) for n in names))
 
 
-def _bases(rows: DataFrame, key: str) -> DataFrame:
-    sums = rows.groupBy(F.col(key).alias("_k"), F.col("_block").alias("_b")).agg(F.sum("_v").alias("_s"))
-    over = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("_k", "_b", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_base"))
+def running_sum(df: DataFrame, key: str, order: str, value: Column, name: str, ties: list[str] | None = None, inclusive: bool = False, width: int = WIDTH) -> DataFrame:
+    """``running_sums`` of one value."""
+    return running_sums(df, key, order, {name: value}, inclusive, ties, width)
 
 
 def previous_row(df: DataFrame, key: str, order: str, columns: list[str], prefix: str = "prev_", width: int = WIDTH) -> DataFrame:

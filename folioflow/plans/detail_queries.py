@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import arrays as A
 from folioflow.functions import text as T
 from folioflow.operators import catalog, metrics, planning, schedule, timeline
+from folioflow.operators.ordered import next_row, running_sum, running_sums
 from folioflow.plans import page_queries, sqlgen as S
 from folioflow.plans.plan_queries import DONE, ENDED, PLAN_SQL, built_plan, chapters, finished, pack_sql, plan_once
 from folioflow.plans.text_queries import blocks_once
@@ -196,8 +197,6 @@ _CHAPTERS = f"""(SELECT book, block_no, text, greatest(1, sum(CASE WHEN type = '
 
 
 def _chapter_rows(spark: SparkSession, d: str) -> DataFrame:
-    from folioflow.operators.ordered import running_sum
-
     rows = blocks_once(spark, d).where(F.col("book").isNotNull()).select("book", "block_no", "text", (F.col("type") == "heading").cast("int").alias("h"))
     opened = running_sum(rows, "book", "block_no", F.col("h"), "c", inclusive=True)
     return opened.select("book", F.greatest(F.lit(1), "c").cast("bigint").alias("chapter"), F.col("block_no").alias("order_no"), "text")
@@ -300,8 +299,6 @@ def dat02(spark, d):
 def arr05(spark, d):
     """The samples of a label one after another: places are counted from the sizes before, so no array of a whole label is made."""
     rows = table(spark, d, "embeddings").select("vec_id", "label", A.doubles(F.col("embedding")).alias("v"))
-    from folioflow.operators.ordered import running_sum
-
     placed = running_sum(rows, "label", "vec_id", F.size("v"), "before")
     return placed.select("label", "before", F.posexplode("v").alias("i", "s")).select("label", (F.col("before") + F.col("i") + 1).cast("int").alias("i"), F.round("s", 6).alias("sample"))
 
@@ -358,8 +355,6 @@ def pln02(spark, d):
 )
 def pln03(spark, d):
     """Pieces, and a row of its own for each pause between two of them."""
-    from folioflow.operators.ordered import next_row
-
     plan = plan_once(spark, d)
     spoken = plan.where(F.col("text").isNotNull()).select("book", "chunk_idx", F.lit("speak").alias("kind"), F.length("text").cast("bigint").alias("size"))
     gaps = next_row(plan.select("book", "chunk_idx", "after_ms"), "book", "chunk_idx", ["chunk_idx"], "_n_").where(F.col("_n_chunk_idx").isNotNull() & (F.col("after_ms") > 0))
@@ -525,13 +520,9 @@ _TURNS = f"""(SELECT *, row_number() OVER w AS place, sum(n0) OVER w AS upto, su
 )
 def agg24(spark, d):
     """The run of up to four blocks of 100 to 900 signs with the most quoted turns, short ones counting thrice; the first of equal ones."""
-    from folioflow.operators.ordered import running_sum
-
     turn = T.is_clean_turn(F.col("text"))
     rows = blocks_once(spark, d).select("book", "block_no", F.length("text").cast("bigint").alias("n"), turn.cast("int").alias("t"), (turn & (F.length("text") <= 60)).cast("int").alias("s"))
-    rows = running_sum(rows, "book", "block_no", F.col("n"), "upto", inclusive=True)
-    for value, name in ((F.lit(1), "place"), (F.col("t"), "turns"), (F.col("s"), "short")):
-        rows = running_sum(rows, "book", "block_no", value, name, inclusive=True)
+    rows = running_sums(rows, "book", "block_no", {"upto": F.col("n"), "place": F.lit(1), "turns": F.col("t"), "short": F.col("s")}, inclusive=True)
     first = rows.select("book", "block_no", "place", (F.col("upto") - F.col("n")).alias("a"), (F.col("turns") - F.col("t")).alias("b"), (F.col("short") - F.col("s")).alias("c"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("blocks"))
     last = rows.select("book", F.col("place").alias("_p"), "upto", "turns", "short")
     runs = first.withColumn("_p", F.col("place") + F.col("blocks") - 1).join(last, ["book", "_p"])

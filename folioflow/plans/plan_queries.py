@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import planning, schedule, timeline
 from folioflow.operators.metrics import median_of_counts
-from folioflow.operators.ordered import running_sum
+from folioflow.operators.ordered import running_sum, running_sums
 from folioflow.plans import sqlgen as S
 from folioflow.plans.text_queries import blocks_once
 from folioflow.sources.tables import checkpointed, jobs_once, table
@@ -286,7 +286,7 @@ def win08(spark, d):
 )
 def win09(spark, d):
     rows = blocks_once(spark, d).select("book", "block_no", F.length("text").cast("bigint").alias("n"))
-    rows = running_sum(running_sum(rows, "book", "block_no", F.lit(1), "place", inclusive=True), "book", "block_no", F.col("n"), "upto", inclusive=True)
+    rows = running_sums(rows, "book", "block_no", {"place": F.lit(1), "upto": F.col("n")}, inclusive=True)
     first = rows.select("book", "block_no", (F.col("upto") - F.col("n")).alias("base"), "place", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("blocks")).withColumn("last", F.col("place") + F.col("blocks") - 1)
     last = rows.select("book", F.col("place").alias("last"), "upto")
     return first.join(last, ["book", "last"]).withColumn("signs", F.col("upto") - F.col("base")).where(F.col("signs").between(300, 900)).select("book", "block_no", "blocks", "signs")

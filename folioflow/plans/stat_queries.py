@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import arrays as A
 from folioflow.functions import text as T
 from folioflow.operators import catalog, metrics
-from folioflow.operators.ordered import running_sum, size_rank
+from folioflow.operators.ordered import running_sum, running_sums, size_rank
 from folioflow.operators.timeline import forward_frames
 from folioflow.plans import sqlgen as S
 from folioflow.plans.page_queries import PLACED, placed_lines
@@ -354,7 +354,8 @@ def ord04(spark, d):
     quoted = (F.contains(F.col("text"), F.lit('"')) | F.contains(F.col("text"), F.lit("“"))).cast("int")
     body = plan.where(F.col("heading").isNull() & F.col("text").isNotNull()).select("book", "chunk_idx", F.length("text").alias("n"), quoted.alias("q"))
     body = size_rank(body, "book", "n", "chunk_idx", "r")
-    body = running_sum(running_sum(body, "book", "chunk_idx", F.lit(1), "i"), "book", "chunk_idx", F.col("q"), "qs", inclusive=True)
+    # both sums count the row itself, so its place is one less
+    body = running_sums(body, "book", "chunk_idx", {"i": F.lit(1), "qs": F.col("q")}, inclusive=True).withColumn("i", F.col("i") - 1)
     body = body.join(body.groupBy("book").agg(F.count("*").alias("k")), "book")
     r, k, mid = F.col("r"), F.col("k"), F.floor(F.col("k") / 2)
     spread = (r == 0) | (r == k - 1) | (r == F.floor(k * 0.25)) | (r == F.floor(k * 0.5)) | (r == F.floor(k * 0.75))

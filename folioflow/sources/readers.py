@@ -43,9 +43,22 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(T.lines(F.col("value"))).alias("i", "value")).select((F.col("i") + 1).alias("line_no"), "value")
 
 
+def numbered_records(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value) of the lines of one file between line feeds, from 1.
+
+    The file is read in splits of any number: lines are counted by split, and the counts summed in order of the splits' first bytes.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_i"))
+    counts = rows.groupBy("_s").agg(F.count("*").alias("_n"))
+    # one row a split
+    before = counts.select("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_s").orderBy("_i"))
+    return rows.withColumn("_w", within).join(before, "_s").select((F.col("_before") + F.col("_w")).alias("line_no"), "value")
+
+
 def json_record(spark: SparkSession, path: str, number: int, schema: str) -> DataFrame:
     """The ``number``-th record (from 1) of a JSON lines file; no row if there are fewer (SRC09)."""
-    return numbered_lines(spark, path).where(F.col("line_no") == number).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return numbered_records(spark, path).where(F.col("line_no") == number).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def paragraphs(c: Column) -> Column:

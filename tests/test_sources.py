@@ -70,3 +70,17 @@ def test_stream(spark, tmp_path):
     progress.run_available(out, "made", str(tmp_path / "ck"))
     got = [(r.book, r.pieces, r.seconds) for r in spark.table("made").collect()]
     assert got == [("a", 2, 3.0)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    f = tmp_path / "records.jsonl"
+    f.write_text("".join('{"n": %d, "x": "%s"}\n' % (i, "y" * (i % 90)) for i in range(1, 3001)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = readers.numbered_records(spark, str(f))
+        assert rows.select("value").rdd.getNumPartitions() > 1 and rows.where("line_no != cast(get_json_object(value, '$.n') as bigint)").count() == 0 and rows.count() == 3000
+        assert [r["n"] for r in readers.json_record(spark, str(f), 2999, "n int").collect()] == [2999]
+        assert readers.json_record(spark, str(f), 3001, "n int").collect() == []
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
