@@ -90,7 +90,11 @@ def _like_title(words: str, title: str) -> bool:
     a, b = words.replace("-", " "), title.replace("-", " ")
     if a == b:
         return True
-    return abs(len(a) - len(b)) <= 4 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.9
+    if abs(len(a) - len(b)) > 4:
+        return False
+    match = SequenceMatcher(None, a, b, autojunk=False)
+    # the first two are bounds from above
+    return match.real_quick_ratio() >= 0.9 and match.quick_ratio() >= 0.9 and match.ratio() >= 0.9
 
 
 def is_furniture(line: str, title: str, page: int | None) -> bool:
@@ -259,7 +263,7 @@ class Scan:
     """What a worker needs to judge words: the vocabulary, its trie and verdicts so far."""
 
     def __init__(self, words: dict[str, int], pairs: dict[str, int] | None = None, trie: Trie | None = None):
-        self.counts, self.verdicts = words, {}
+        self.counts, self.verdicts, self.options = words, {}, {}
         self.words = {w: n for w, n in words.items() if w[:1] != "^"}
         self.trie = trie or Trie(self.words)
         self.total = sum(self.words.values()) or 1
@@ -345,7 +349,10 @@ class Scan:
         at = tok.lower().find(core)
         if at < 0:
             return tok
-        options = self.trie.candidates(core, 3) or (self.trie.candidates(core, 2, 1) if len(core) > 4 else [])
+        if (options := self.options.get(core)) is None:
+            if len(self.options) > 100_000:
+                self.options.clear()
+            options = self.options[core] = self.trie.candidates(core, 3) or (self.trie.candidates(core, 2, 1) if len(core) > 4 else [])
         if not options:
             plain = core.translate(str.maketrans("@05968†|1!ſ", "aosgbbtilis"))
             best = plain
@@ -374,6 +381,14 @@ def _folded(text: str) -> str:
     return fold_script(_INLINE.sub("", text))
 
 
+def _hyphen_at_end(line: str) -> re.Match | None:
+    """The last word of a line that ends in a hyphen."""
+    end = len(line)
+    while end and line[end - 1] in " \t":
+        end -= 1
+    return LINE_HYPHEN.search(line, max(line.rfind(" ", 0, end), line.rfind("\n", 0, end)) + 1) if end and line[end - 1] in HYPHENS else None
+
+
 def examine(text: str, title: str, page: int | None, scan: Scan) -> tuple[set[str], set[str], set[tuple[str, str, bool]]]:
     """(defects, unknown words, doubtful forms) of one block."""
     text = _folded(text)
@@ -388,7 +403,7 @@ def examine(text: str, title: str, page: int | None, scan: Scan) -> tuple[set[st
             lines.append(line)
     k = 0
     while k + 1 < len(lines):
-        if (m := LINE_HYPHEN.search(lines[k])) and (r := FIRST_WORD.match(lines[k + 1])):
+        if (m := _hyphen_at_end(lines[k])) and (r := FIRST_WORD.match(lines[k + 1])):
             left, right = m.group(1), r.group(1)
             word = right.rstrip("-‐")
             if LETTER.search(left) and word and word[0].islower():
@@ -424,7 +439,7 @@ def repair(text: str, title: str, page: int | None, scan: Scan, forms: dict[tupl
             continue
         elif re.match(r"[-•|*–]\s|\d+[.)]\s", s) or "\t" in line:
             paragraphs += [s, ""]
-        elif (m := LINE_HYPHEN.search(paragraphs[-1])) and (r := FIRST_WORD.match(s)) and r.group(1)[0].islower():
+        elif (m := _hyphen_at_end(paragraphs[-1])) and (r := FIRST_WORD.match(s)) and r.group(1)[0].islower():
             one = scan.hyphen(m.group(1), r.group(1).rstrip("-‐"))
             paragraphs[-1] = paragraphs[-1].rstrip().rstrip(HYPHENS) + ("" if one else "-") + s
         else:
@@ -435,9 +450,9 @@ def repair(text: str, title: str, page: int | None, scan: Scan, forms: dict[tupl
         words = [p[a:b].lower() for a, b in toks]
         new, last = [], 0
         for k, (a, b) in enumerate(toks):
-            fixed = scan.fix(p[a:b], words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "", forms)
-            new += [p[last:a], fixed]
-            last = b
+            if forms or scan.verdict(p[a:b])[0] == 1:
+                new += [p[last:a], scan.fix(p[a:b], words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "", forms)]
+                last = b
         out.append("".join(new) + p[last:])
     return "\n".join(out)
 
