@@ -25,7 +25,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import kept, map_columns, token
+from folioflow.llm.common import kept, map_columns, sent_if_small, token
 from folioflow.llm.lookalike import IGNORABLE_CHARS, fold_script
 from folioflow.sources.tables import checkpointed, jobs_once, table
 
@@ -36,6 +36,8 @@ MIN_COUNT = 3
 MISREAD_RATIO = 8
 #: A word with a capital isn't taken for one that has a capital more rarely than this.
 LEAST_CAPITALS = 0.005
+#: Jobs with their titles are sent to every task up to this number, else joined by a shuffle.
+MAX_JOBS = 200_000
 #: A form is a misreading of another form of its book if that is this many times as frequent.
 BOOK_RATIO = 3
 
@@ -459,7 +461,7 @@ def repair(text: str, title: str, page: int | None, scan: Scan, forms: dict[tupl
 
 def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body blocks of jobs with path B: (book, block_no, source_page, text, title, pdf_path)."""
-    jobs = jobs_once(spark, sf_dir, "path", "title", "pdf_path").where(F.col("path") == "B").drop("path")
+    jobs = sent_if_small(checkpointed(jobs_once(spark, sf_dir, "path", "title", "pdf_path").where(F.col("path") == "B").drop("path")), MAX_JOBS)
     body = table(spark, sf_dir, "blocks").where((F.col("type") == "body") & F.col("text").isNotNull())
     return body.select("book", "block_no", "source_page", "text").join(jobs, "book")
 
