@@ -85,6 +85,21 @@ def _emitted(rows: DataFrame, keys: list[str], order: str, line: str) -> DataFra
     return out.where(~F.col("_row") | (F.col("text") != "")).drop("_row")
 
 
+def drop_repeats(rows: DataFrame, keys: list[str], order: str, body: Column) -> DataFrame:
+    """``rows`` (order, type, text) of a page without bodies that equal the block before them (SEQ05); ``body`` tells which rows may be dropped."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    same = (F.lag("type").over(w) == "body") & (F.lag("text").over(w) == F.col("text"))
+    return rows.withColumn("_drop", body & F.coalesce(same, F.lit(False))).where(~F.col("_drop")).drop("_drop")
+
+
+def page_facts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, blocks, distinct_share, upper_median, signs) of the texts of a page (SEQ06)."""
+    n = F.length("text")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("blocks"), F.round(F.count_distinct("text") / F.count("*"), 6).alias("distinct_share"), upper_median(n).alias("upper_median"), F.sum(n).alias("signs")
+    )
+
+
 def tag_blocks(lines: DataFrame, keys: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
     """(keys, order, type, text): the blocks of every page.
 
@@ -92,9 +107,7 @@ def tag_blocks(lines: DataFrame, keys: list[str], order: str = "line_no", line:
     itself has no blocks; a page of labels becomes one mark at its first line.
     """
     rows = _emitted(classified(lines.where(F.col(line).isNotNull()).select(*keys, order, line), keys, order, line), keys, order, line)
-    w = Window.partitionBy(*keys).orderBy(order)
-    same = (F.lag("type").over(w) == "body") & (F.lag("text").over(w) == F.col("text"))
-    kept = rows.withColumn("_drop", F.col("_plain_body") & F.coalesce(same, F.lit(False))).where(~F.col("_drop")).drop("_drop", "_plain_body")
+    kept = drop_repeats(rows, keys, order, F.col("_plain_body")).drop("_plain_body")
     texty = F.col("type").isin("body", "heading")
     page = Window.partitionBy(*keys)
     ranked = kept.select(

@@ -129,6 +129,26 @@ def src20(spark, d):
     )
 
 
+@query("src16_pairs", f"SELECT book, block_no, role, text, after_ms FROM (SELECT book, block_no, type AS role, text, 0 AS after_ms FROM {_B} UNION ALL SELECT book, block_no, 'echo', coalesce(type, ''), block_no FROM {_B})")
+def src16(spark, d):
+    """Two segments in a command line of JSON, both read back; one more or less would be an error."""
+    quote = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
+    record = lambda role, text, ms: F.concat(F.lit(" role = "), quote(role), F.lit(" text = "), quote(text), F.lit(" after_ms = "), ms.cast("string"))
+    line = F.concat(F.lit("say"), record(F.col("type"), F.col("text"), F.lit(0)), record(F.lit("echo"), F.coalesce("type", F.lit("")), F.col("block_no")))
+    back = F.from_json(F.to_json(F.struct(line.alias("command"))), "command string")["command"]
+    return blocks_once(spark, d).select("book", "block_no", F.inline(readers.exactly(readers.embedded_segments(back), 2)))
+
+
+@query("src17_by_stem", "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) + 0.0 AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 7 WHERE a.vec_id % 3 > 0")
+def src17(spark, d):
+    """Vectors of two folders matched by the stem of their file names; those without a partner are left out."""
+    rows = table(spark, d, "embeddings")
+    name = lambda folder, n: F.concat(F.lit(f"/{folder}/voice_"), n.cast("string"), F.lit(".npy"))
+    a = rows.where(F.col("vec_id") % 3 > 0).select("vec_id", T.file_stem(name("reference", F.col("vec_id"))).alias("stem"), F.col("embedding").alias("x"))
+    b = rows.select(T.file_stem(name("test", F.col("vec_id") - 7)).alias("stem"), F.col("embedding").alias("y"))
+    return a.join(b, "stem").select("vec_id", (F.round(A.cosine(F.col("x"), F.col("y")), 4) + 0.0).alias("cosine"))
+
+
 @query("src21_json_rows", "SELECT event_id, CASE WHEN props->>'k' IS NULL THEN 'no k' WHEN CAST(props->>'k' AS INTEGER) NOT BETWEEN 0 AND 50 THEN 'out of range' END AS error FROM events")
 def src21(spark, d):
     """Rows of JSON that is no object, has no k, or one out of range."""

@@ -118,10 +118,8 @@ def seq02(spark, d):
  WHERE NOT coalesce(type = 'body' AND pt = type AND px = text, false)""",
 )
 def seq05(spark, d):
-    w = Window.partitionBy("book", "source_page").orderBy("block_no")
     rows = blocks_once(spark, d).where(F.col("source_page").isNotNull())
-    same = (F.col("type") == "body") & (F.lag("type").over(w) == F.col("type")) & (F.lag("text").over(w) == F.col("text"))
-    return rows.withColumn("_s", F.coalesce(same, F.lit(False))).where(~F.col("_s")).select("book", "block_no", "type", "text")
+    return tagging.drop_repeats(rows, ["book", "source_page"], "block_no", F.col("type") == "body").select("book", "block_no", "type", "text")
 
 
 @query(
@@ -130,13 +128,8 @@ def seq05(spark, d):
  FROM {S.BLOCKS} b WHERE text IS NOT NULL AND source_page IS NOT NULL GROUP BY book, source_page""",
 )
 def seq06(spark, d):
-    rows = blocks_once(spark, d).where(F.col("source_page").isNotNull())
-    return rows.groupBy("book", F.col("source_page").alias("page")).agg(
-        F.count("*").alias("blocks"),
-        F.round(F.count_distinct("text") / F.count("*"), 6).alias("distinct_share"),
-        tagging.upper_median(F.length("text")).alias("upper_median"),
-        F.sum(F.length("text")).alias("signs"),
-    )
+    rows = blocks_once(spark, d).where(F.col("source_page").isNotNull()).select("book", F.col("source_page").alias("page"), "text")
+    return tagging.page_facts(rows, PAGE)
 
 
 _STITCH = f"""WITH r AS (SELECT book, block_no, type, text, source_page, source_page_end FROM {S.BLOCKS} b WHERE text IS NOT NULL AND {S.strip('text')} <> ''),

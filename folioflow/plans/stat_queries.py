@@ -70,10 +70,8 @@ def src16(spark, d):
     quote = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
     command = F.concat(F.lit("say role = "), quote(F.col("type")), F.lit(" text = "), quote(F.col("text")), F.lit(" after_ms = "), F.col("block_no").cast("string"))
     rows = rows.select("book", "block_no", command.alias("c"))
-    quoted = r"'([^']*+(?:''[^']*+)*+)'"
-    pattern = rf"role\s*=\s*{quoted}\s+text\s*=\s*{quoted}\s+after_ms\s*=\s*(\d+)"
-    back = lambda i: F.replace(F.regexp_extract("c", pattern, i), F.lit("''"), F.lit("'"))
-    return rows.select("book", "block_no", back(1).alias("role"), back(2).alias("text"), F.regexp_extract("c", pattern, 3).cast("int").alias("after_ms"))
+    rows = rows.select("book", "block_no", F.inline(readers.exactly(readers.embedded_segments(F.col("c")), 1)))
+    return rows.select("book", "block_no", "role", "text", "after_ms")
 
 
 @query("src21_validated", f"SELECT book, chunk_idx, CASE WHEN text IS NULL OR {S.strip('text')} = '' THEN 'blank' WHEN after_ms NOT BETWEEN 0 AND 5000 THEN 'after_ms' END AS error FROM {S.PLAN} p")

@@ -82,6 +82,20 @@ def setting_list(c: Column, sign: str = ";") -> Column:
     return F.filter(F.transform(F.split(c, f"\\Q{sign}\\E", -1), T.strip), lambda x: x != "")
 
 
+def embedded_segments(c: Column) -> Column:
+    """Array of (role, text, after_ms) from a command line that holds records role = '..' text = '..' after_ms = n, quotes doubled inside (SRC16)."""
+    quoted = r"'([^']*+(?:''[^']*+)*+)'"
+    pattern = F.lit(rf"role\s*=\s*{quoted}\s+text\s*=\s*{quoted}\s+after_ms\s*=\s*(\d+)")
+    plain = lambda x: F.replace(x, F.lit("''"), F.lit("'"))
+    role, text, after = (F.regexp_extract_all(c, pattern, F.lit(i)) for i in (1, 2, 3))
+    return F.transform(F.arrays_zip(role.alias("a"), text.alias("b"), after.alias("c")), lambda r: F.struct(plain(r["a"]).alias("role"), plain(r["b"]).alias("text"), r["c"].cast("int").alias("after_ms")))
+
+
+def exactly(segments: Column, n: int) -> Column:
+    """The array if it has n entries; anything else is an error (SRC16)."""
+    return F.when(F.size(segments) == n, segments).otherwise(F.raise_error(F.concat(F.lit(f"expected {n} segments, found "), F.size(segments))).cast("array<struct<role:string,text:string,after_ms:int>>"))
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
     """(path, length, content) of all files below a folder (SRC06)."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
