@@ -261,6 +261,10 @@ def with_capitals(counts: dict[str, int], words: list[str]) -> dict[str, int]:
     return {x: counts[x] for w in words for x in (w, "^" + w) if x in counts}
 
 
+# Signs that no word holds, and the letters they mostly stand for.
+_PLAIN = str.maketrans("@05968†|1!ſ", "aosgbbtilis")
+
+
 class Scan:
     """What a worker needs to judge words: the vocabulary, its trie and verdicts so far."""
 
@@ -354,10 +358,10 @@ class Scan:
         if (options := self.options.get(core)) is None:
             if len(self.options) > 100_000:
                 self.options.clear()
-            options = self.options[core] = self.trie.candidates(core, 3) or (self.trie.candidates(core, 2, 1) if len(core) > 4 else [])
+            # where too many signs are misread, those that no word holds are read first
+            options = self.options[core] = self.trie.candidates(core, 3) or self.trie.candidates(core.translate(_PLAIN), 3) or (self.trie.candidates(core, 2, 1) if len(core) > 4 else [])
         if not options:
-            plain = core.translate(str.maketrans("@05968†|1!ſ", "aosgbbtilis"))
-            best = plain
+            best = core.translate(_PLAIN)
         else:
             def score(o: tuple[str, int, int]) -> float:
                 pair = self.pairs.get(f"{before} {o[0]}", 0) + self.pairs.get(f"{o[0]} {after}", 0)

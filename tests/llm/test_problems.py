@@ -93,6 +93,13 @@ def test_repair():
     assert scan_repair.repair("", "", None, s) == ""
 
 
+@pytest.mark.parametrize("text", ["The southem t@ble.", "The v1!!@ge was po1i5hed.", "c1erk, lantem, cnmson and moming", "The 0!d c!erk c@rried, c@rricd", "SOUTHEM m1rr0r", "rnend-ed and rnended"])
+def test_repair_leaves_nothing_that_detection_flags(text):
+    s = scan()
+    assert "glyph" in scan_repair.examine(text, "", None, s)[0]
+    assert "glyph" not in scan_repair.examine(scan_repair.repair(text, "", None, s), "", None, s)[0]
+
+
 def test_vocabulary_drops_misreadings():
     assert set(scan_repair.cleaned_vocabulary({"southern": 100, "southem": 3, "m@p": 9, "arm": 50})) == {"southern", "arm"}
 
