@@ -295,7 +295,7 @@ def _parts(spark: SparkSession) -> int:
 class Exchange:
     """Gives every task of a barrier stage what each of them sends, in order of the tasks; the first task passes it on."""
 
-    WAIT = 600  #: seconds for a task that sends nothing, after which the stage fails and is repeated
+    WAIT = 120  #: seconds for a task that sends nothing, after which the stage fails and is repeated
 
     def __init__(self, task, key: bytes):
         self.rank = task.partitionId()
@@ -326,8 +326,21 @@ class Exchange:
 
 
 def _fit(examples: DataFrame, names: list[str], rounds: int) -> Parameters:
-    """Trains on the partitions of (subject, text, held), a bounded sample; the driver gets the trained table and the logits of the examples left out."""
-    spark, n, parts, known, key = examples.sparkSession, len(names), _parts(examples.sparkSession), _known(examples), os.urandom(16)
+    """Trains on the partitions of (subject, text, held), a bounded sample; the driver gets the trained table and the logits of the examples left out.
+
+    Where the tasks can't reach one another, the barrier stage fails and one task trains.
+    """
+    parts, known = _parts(examples.sparkSession), _known(examples)
+    try:
+        return _train(examples, names, rounds, known, parts)
+    except Exception:
+        if parts == 1:
+            raise
+        return _train(examples, names, rounds, known, 1)
+
+
+def _train(examples: DataFrame, names: list[str], rounds: int, known: frozenset[str], parts: int) -> Parameters:
+    spark, n, key = examples.sparkSession, len(names), os.urandom(16)
     sent = spark.sparkContext.broadcast(known)
     kind = "part int, logits binary, bias binary, score binary, label binary"
     arrow = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("logits", "bias", "score", "label"))])
