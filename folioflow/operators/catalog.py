@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioflow.functions import text as T
+from folioflow.sources.tables import checkpointed
 
 
 def once_by_path(files: DataFrame, order: list[Column], path: str = "path") -> DataFrame:
@@ -69,37 +75,121 @@ def start_page(lines: DataFrame, outline: DataFrame, key: str, pages: int = 80,
     return out.select(key, F.coalesce("_po", "_pp", F.lit(1)).alias("page"), reason.alias("reason"))
 
 
+#: Windows of passages have a power of two of bytes, so many at most.
+_WIDEST = 512
+#: A passage sets so many bits of the filter, of so many a passage and so many at most (128 MB).
+_PROBES, _ROOM, _MOST_BITS = 4, 32, 1 << 30
+#: Bytes looked at together; longer texts in parts.
+_SHARE = 1 << 20
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _shares(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, n + 1 places where its texts begin and end) of rows of a column; the parts of a long text overlap by a window."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data, row = column.buffers()[2], 0
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + _SHARE, "right")) - 1)
+        for begin in range(at[row], at[end], _SHARE):
+            until = min(at[end], begin + _SHARE + _WIDEST - 1)
+            yield row, data[begin:until], np.clip(at[row : end + 1], begin, until) - begin
+        row = end
+
+
+def _windows(data: np.ndarray, widths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, digests) of all windows of each width, by doubling; windows may run over the ends of texts."""
+    h, width = _BYTE[data], 1
+    while width <= max(widths, default=0) and len(h):
+        if width in widths:
+            yield width, h
+        h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
+        width *= 2
+
+
+def _bits(a: np.ndarray, probe: int, size: int) -> np.ndarray:
+    return (_mixed(a + np.uint64(probe * _BASE % (1 << 64))) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _marked_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids, the width of the widest window that a passage holds, and the digest of its first such window."""
+    for batch in batches:
+        k = batch.column("_k").to_numpy().view(np.uint64)
+        widths, a = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.uint64)
+        for row, data, at in _shares(batch.column("text")):
+            rows = slice(row, row + len(at) - 1)
+            widths[rows] = width = np.minimum(2 ** np.floor(np.log2(np.diff(at))).astype(np.int64), _WIDEST)
+            for n, h in _windows(data, set(width.tolist())):
+                own = width == n
+                a[rows][own] = _mixed(h[at[:-1][own]] ^ _mixed(k[rows][own] + np.uint64(n)))
+        yield pa.record_batch([*batch.columns[:2], pa.array(widths), pa.array(a.view(np.int64))], [*batch.schema.names[:2], "_n", "_a"])
+
+
+def _passage_bits(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column("_a").to_numpy().view(np.uint64)
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([_bits(a, i, size) for i in range(_PROBES)])))], ["bit"])
+
+    return run
+
+
+def _marked_texts(filter_, widths: set[int], size: int):
+    """The id of a text and each digest of its windows that the filter holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(filter_.value, np.uint8)
+        for batch in batches:
+            k = batch.column("_k").to_numpy().view(np.uint64)
+            for row, data, at in _shares(batch.column("text")):
+                of, end = np.repeat(np.arange(row, row + len(at) - 1), np.diff(at)), np.repeat(at[1:], np.diff(at))
+                for n, h in _windows(data, widths):
+                    whole = np.arange(n, n + len(h)) <= end[: len(h)]
+                    i = of[: len(h)][whole]
+                    a = _mixed(h[whole] ^ _mixed(k + np.uint64(n))[i])
+                    for probe in range(_PROBES):
+                        b = _bits(a, probe, size)
+                        there = (bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+                        i, a = i[there], a[there]
+                    order = np.lexsort((a, i))
+                    i, a = i[order], a[order]
+                    new = np.append(True, (i[1:] != i[:-1]) | (a[1:] != a[:-1]))[: len(i)]
+                    yield pa.record_batch([batch.column(0).take(pa.array(i[new])), pa.array(a[new].view(np.int64))], [batch.schema.names[0], "_a"])
+
+    return run
+
+
 def contained(passages: DataFrame, texts: DataFrame, key: str, passage_id: str, text_id: str) -> DataFrame:
     """(key, passage_id, text_id): passages (key, id, text) that stand in a text of their key (JON07).
 
-    Instead of comparing all pairs, a passage is looked up by words of its own, and the pairs found are checked sign by sign.  A
-    passage may begin and end inside a word, so only its inner words are sure: three of them where it has as many, else
-    the first one.  Passages of two words are looked up by the end of one word and the beginning of the next, single words by all
-    parts of words that have their length.  Blank passages stand in no text.
+    Instead of comparing all pairs, a passage is looked up by its first bytes, as many as the greatest power of two that it holds (512 at most), so
+    by more than half of it as a rule, and the pairs found are checked sign by sign.  Texts give the digest of every window of these
+    widths; a Bloom filter of the passages' digests is sent to the tasks, so only windows that may begin a passage are shuffled.
+    Blank passages stand in no text.
     """
-    words = lambda c: F.filter(F.split(c, rf"{T.WS}+", -1), lambda w: w != "")
-    word = lambda i: F.get("_w", i if isinstance(i, Column) else F.lit(i))
-    p = passages.select(key, passage_id, words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    t = texts.select(key, text_id, words(F.col("text")).alias("_w")).where(F.size("_w") > 0)
-    places = lambda n: F.sequence(F.lit(0), F.size("_w") - n)
-    each = lambda rows, marks: rows.select(key, text_id, F.explode(F.array_distinct(marks)).alias("_a"))
-    # only ids and digests are shuffled
-    three = p.where(F.size("_w") > 4).select(key, passage_id, F.xxhash64(word(1), word(2), word(3)).alias("_a"))
-    triples = F.transform(places(3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))
-    pairs = three.join(each(t.where(F.size("_w") > 2), triples), [key, "_a"]).select(key, passage_id, text_id)
-    inner = p.where(F.size("_w").between(3, 4)).select(key, passage_id, F.xxhash64(word(1)).alias("_a"))
-    own = t.join(inner.select(key).distinct(), key, "left_semi")
-    pairs = pairs.unionByName(inner.join(each(own, F.transform("_w", lambda w: F.xxhash64(w))), [key, "_a"]).select(key, passage_id, text_id))
-    # lengths that occur among the short passages of a key: few, as words are short
-    two = p.where(F.size("_w") == 2).select(key, passage_id, word(0).alias("_x"), word(1).alias("_y"))
-    sizes = two.groupBy(key).agg(F.collect_set(F.struct(F.length("_x").alias("x"), F.length("_y").alias("y"))).alias("_l"))
-    cut = lambda i: F.transform("_l", lambda n: F.when((n["x"] <= F.length(word(i))) & (n["y"] <= F.length(word(i + 1))), F.xxhash64(F.substring(word(i), -n["x"], n["x"]), F.substring(word(i + 1), F.lit(1), n["y"]))))
-    both = each(t.where(F.size("_w") > 1).join(sizes, key), F.flatten(F.transform(places(2), cut)))
-    pairs = pairs.unionByName(two.select(key, passage_id, F.xxhash64("_x", "_y").alias("_a")).join(both, [key, "_a"]).select(key, passage_id, text_id))
-    one = p.where(F.size("_w") == 1).select(key, passage_id, word(0).alias("_x"))
-    sizes = one.groupBy(key).agg(F.collect_set(F.length("_x")).alias("_l"))
-    parts = lambda w: F.flatten(F.transform("_l", lambda n: F.when(n <= F.length(w), F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.xxhash64(F.substring(w, i, n)))).otherwise(F.array().cast("array<bigint>"))))
-    pieces = each(t.join(sizes, key).withColumn("_w", F.array_distinct("_w")), F.flatten(F.transform("_w", parts)))
-    pairs = pairs.unionByName(one.select(key, passage_id, F.xxhash64("_x").alias("_a")).join(pieces, [key, "_a"]).select(key, passage_id, text_id)).distinct()
-    full = pairs.join(passages.select(key, passage_id, F.col("text").alias("_pt")), [key, passage_id]).join(texts.select(key, text_id, F.col("text").alias("_tt")), [key, text_id])
+    spark = passages.sparkSession
+    # the same conditions as the joins below have, so that each table is shuffled once for both of its uses
+    p = passages.where(F.col(key).isNotNull() & F.col(passage_id).isNotNull() & ~T.is_blank(F.col("text"))).select(key, passage_id, "text")
+    t = texts.where(F.col(key).isNotNull() & F.col(text_id).isNotNull() & (F.col("text") != "")).select(key, text_id, "text")
+    own, other = p.schema, t.schema
+    marks = StructType([own[key], own[passage_id], StructField("_n", LongType()), StructField("_a", LongType())])
+    marks = checkpointed(p.select(key, passage_id, F.substring("text", 1, _WIDEST).alias("text"), F.xxhash64(key).alias("_k")).mapInArrow(_marked_passages, marks))
+    counts = marks.groupBy("_n").count().collect()
+    size = min(_MOST_BITS, max(1 << 15, 1 << (_ROOM * sum(r["count"] for r in counts)).bit_length()))
+    bits = marks.select("_a").mapInArrow(_passage_bits(size), "bit bigint")
+    pages = bits.groupBy(F.shiftright("bit", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767).cast("bigint"))).alias("bits"))
+    filter_ = bytearray(size // 8)
+    for r in pages.toLocalIterator():
+        filter_[r["page"] * 4096 : (r["page"] + 1) * 4096] = r["bits"]
+    found = _marked_texts(spark.sparkContext.broadcast(bytes(filter_)), {r["_n"] for r in counts}, size)
+    hits = t.select(text_id, "text", F.xxhash64(key).alias("_k")).mapInArrow(found, StructType([other[text_id], StructField("_a", LongType())]))
+    pairs = marks.select(key, passage_id, "_a").join(hits, "_a").select(key, passage_id, text_id)
+    full = pairs.join(p.withColumnRenamed("text", "_pt"), [key, passage_id]).join(t.withColumnRenamed("text", "_tt"), [key, text_id])
     return full.where(F.contains("_tt", "_pt")).select(key, passage_id, text_id).distinct()

@@ -29,6 +29,32 @@ def test_every_contained_passage(spark):
     assert got == {(i, j) for i, x in enumerate(ps) for j, y in enumerate(TEXTS) if x and y and x.strip() and x in y}
 
 
+def _shuffled(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_passages_of_common_words_give_few_pairs(spark):
+    n = 400
+    rows = [("k", i, f"{i:04d} the old red lamp of the house stood here by night {i}") for i in range(n)]
+    p, t = spark.createDataFrame(rows, "k string, i int, text string"), spark.createDataFrame(rows, "k string, j int, text string")
+    before = _shuffled(spark)
+    got = sorted((r["i"], r["j"]) for r in catalog.contained(p, t, "k", "i", "j").collect())
+    assert got == [(i, i) for i in range(n)]
+    assert _shuffled(spark) - before < 50 * n
+
+
+def test_passages_in_long_texts(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcé 雨") for _ in range(900_000))
+    cuts = [(a, n) for a in (0, 524_000, 699_990, 700_100, 899_000) for n in (9, 64, 300, 700)]
+    p = spark.createDataFrame([("k", i, long[a : a + n]) for i, (a, n) in enumerate(cuts)] + [("k", 99, long[5:300] + "x"), ("m", 7, long[:40])], "k string, i int, text string")
+    t = spark.createDataFrame([("k", 1, long), ("k", 2, ""), ("k", 3, "short"), ("m", 1, None)], "k string, j int, text string")
+    got = sorted((r["i"], r["j"]) for r in catalog.contained(p, t, "k", "i", "j").collect())
+    assert got == [(i, 1) for i in range(len(cuts))]
+
+
 def test_span_with_a_null_page(spark):
     rows = [("b", 1, "body", "A sentence that", 7, None), ("b", 2, "body", "goes on", 8, None), ("b", 3, "body", "to here.", None, None), ("b", 4, "body", "Next.", 9, 10)]
     df = spark.createDataFrame(rows, "book string, block_no int, type string, text string, source_page int, source_page_end int")
