@@ -26,9 +26,25 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str], version: str,
     latest(both, keys, [F.desc_nulls_last(version), F.desc("_new")]).drop("_new").write.mode("errorifexists").parquet(path)
 
 
+#: Folders that segments are dealt to by their book; the same for all deliveries to a place.
+SHELVES = 64
+
+
 def write_segments(segments: DataFrame, path: str, key: str = "book") -> None:
-    """Segments by book; books that are written replace what there was, others stay (SNK03, SNK07)."""
-    segments.write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Segments by book; books that are written replace what there was, others stay (SNK03, SNK07).
+
+    A folder (``shelf``) holds many books, as a file for each of many small books takes far longer than its rows.  A shelf that gets
+    books is written again with the books that it keeps, in order of the book.
+    """
+    shelved = lambda x: x.withColumn("shelf", F.pmod(F.xxhash64(key), F.lit(SHELVES)).cast("int"))
+    spark, rows = segments.sparkSession, shelved(segments)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place) and any(x.getPath().getName().startswith("shelf=") for x in files.listStatus(place)):
+        new = segments.select(F.col(key).alias("_k")).distinct()
+        kept = spark.read.option("mergeSchema", "true").parquet(path).join(F.broadcast(shelved(new.withColumnRenamed("_k", key)).select("shelf").distinct()), "shelf", "left_semi")
+        rows = rows.unionByName(kept.join(new, kept[key].eqNullSafe(new["_k"]), "left_anti"), allowMissingColumns=True)
+    rows.hint("rebalance", "shelf").sortWithinPartitions("shelf", key).write.partitionBy("shelf").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_new(df: DataFrame, path: str) -> None:

@@ -84,3 +84,17 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
         assert readers.json_record(spark, str(f), 3001, "n int").collect() == []
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_delivered_books_replace_their_own_rows_only(spark, tmp_path):
+    path, kind = str(tmp_path / "d"), "book string, chunk_idx int, frames bigint"
+    back = lambda: sorted(map(tuple, spark.read.parquet(path).select("book", "chunk_idx", "frames").collect()), key=str)
+    writers.write_segments(spark.createDataFrame([], kind), path)
+    books = [f"b{i}" for i in range(300)] + ["", "a/b=c", None]
+    first = [(b, i, 1) for b in books for i in range(3)]
+    writers.write_segments(spark.createDataFrame(first, kind).repartition(8), path)
+    assert back() == sorted(first, key=str)
+    assert len(list((tmp_path / "d").rglob("*.parquet"))) < 300
+    second = [("b7", 0, 2), ("", 5, 2), (None, 1, 2), ("new", 0, 2)]
+    writers.write_segments(spark.createDataFrame(second, kind), path)
+    assert back() == sorted([r for r in first if r[0] not in ("b7", "", None)] + second, key=str)
